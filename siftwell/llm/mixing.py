@@ -3,7 +3,8 @@
 Every document gets an exponential key, ``-ln(u) / quality``, where ``u`` is a hash of its id and
 ``quality`` a weight of its text; in the order of these keys, a prefix is a weighted sample without
 replacement. A source whose target is e times its size and a bit takes every document e times
-(complete epochs) and then the prefix of keys that fills the rest of its budget.
+(complete epochs) and then the prefix of keys that fills the rest of its budget; the document at the
+prefix's end is taken in part.
 
 The prefix is found without sorting a source: keys are counted in quantile bins of each source, the
 bins are prefix-summed, and only the one bin that a budget ends in is ordered by row. What follows
@@ -127,36 +128,33 @@ def cuts(keyed: DataFrame, weights: Sequence[float] = WEIGHTS, most_epochs: floa
     there = (
         sums.withColumn("before", before)
         .join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
-        .where("n > 0 and before < budget and budget <= before + n")
+        .where("n > 0 and budget > 0 and before < budget and budget <= before + n")
         .select("s", F.col("bin").alias("cut_bin"), "before", "budget")
     )
     within = binned.join(F.broadcast(there), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("cut_bin")))
     w = Window.partitionBy("s").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = within.withColumn("sum", F.sum("size").over(w))
-    upto = upto.withColumn("miss", F.abs(F.col("before") + F.col("sum") - F.col("budget")))
-    # the prefix that ends nearest to the budget; it may be nearer without any row of this bin
-    best = upto.groupBy("s").agg(
-        F.min_by(F.struct("key", "doc_id", "miss"), F.struct("miss", "sum")).alias("b"),
-        F.first(F.col("budget") - F.col("before")).alias("short"),
+    upto = within.withColumn("sum", F.col("before") + F.sum("size").over(w)).where("sum >= budget and size > 0")
+    cut = upto.groupBy("s").agg(
+        F.min_by(F.struct("key", "doc_id", (F.col("budget") - F.col("sum") + F.col("size")).alias("words")), "sum").alias("b"),
         F.min("bin").alias("cut_bin"),
     )
-    cut = best.select("s", F.col("b.key").alias("cut_key"), F.col("b.doc_id").alias("cut_id"), (F.col("short") < F.col("b.miss")).alias("at_edge"), "cut_bin")
-    return (
-        sources.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
-        .select("source", "source_size", "target", "epochs", "cut_key", "cut_id", F.coalesce("at_edge", F.lit(False)).alias("at_edge"), "cut_bin", F.lit(bins).alias("bins"))
+    return sources.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", "source_size", "target", "epochs", F.col("b.key").alias("cut_key"), F.col("b.doc_id").alias("cut_id"), F.round("b.words").cast("long").alias("cut_words"), "cut_bin", F.lit(bins).alias("bins")
     )
 
 
-def with_copies(keyed: DataFrame, cut: DataFrame) -> DataFrame:
-    """``keyed`` (source, size, key, doc_id and more) with ``copies``: how often the mix takes each document."""
+def with_taken(keyed: DataFrame, cut: DataFrame) -> DataFrame:
+    """``keyed`` (source, size, key, doc_id and more) with ``copies``, how often the mix takes the whole
+    document, and ``words``, how many words of it the mix takes once more at its source's cut."""
     cut = cut.withColumnRenamed("source", "__s")
     joined = keyed.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("__s")))
     own = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")), F.col("bins") - 1).cast("long")
-    row_in = (F.col("key") < F.col("cut_key")) | (
-        (F.col("key") == F.col("cut_key")) & (F.col("doc_id").isNull() | (F.col("cut_id").isNotNull() & (F.col("doc_id") <= F.col("cut_id"))))
-    )
-    extra = F.when(F.col("cut_bin").isNull(), F.lit(0)).when(own < F.col("cut_bin"), F.lit(1)).when(F.col("at_edge") | (own > F.col("cut_bin")), F.lit(0)).otherwise(F.when(row_in, 1).otherwise(0))
-    return joined.withColumn("copies", F.col("epochs") + extra).drop("__s", "epochs", "cut_key", "cut_id", "at_edge", "cut_bin", "bins")
+    id_before = F.coalesce(F.col("doc_id") < F.col("cut_id"), F.col("doc_id").isNull() & F.col("cut_id").isNotNull())
+    before = (own < F.col("cut_bin")) | (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & id_before)
+    at = (F.col("key") == F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id"))
+    joined = joined.withColumn("copies", F.col("epochs") + F.when(F.col("cut_key").isNotNull() & before, 1).otherwise(0))
+    joined = joined.withColumn("words", F.when(F.col("cut_key").isNotNull() & at, F.least("cut_words", "size")).otherwise(0))
+    return joined.drop("__s", "epochs", "cut_key", "cut_id", "cut_words", "cut_bin", "bins")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -170,15 +168,20 @@ def keyed_table(docs: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """One row for each document: ``doc_id, size, source_size, target, taken`` and ``source, copies``."""
+    """One row for each document: ``doc_id, size, source_size, target, taken`` and ``source, copies, words``.
+
+    The one document that a source's budget ends in gives only the words that are left, so a source
+    meets its target to the word.
+    """
     keyed = keyed_table(docs, seed)
-    out = with_copies(keyed, cuts(keyed))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    out = with_taken(keyed, cuts(keyed))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("words")).alias("taken"), "source", "copies", "words")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it; columns as in ``docs``.
 
+    Documents stay whole: the one that a budget ends in comes once more if at least half of it fits.
     Keys are recomputed beside the full rows, so texts are neither shuffled nor staged; the cuts of
     the sources are the only thing joined in.
     """
@@ -191,5 +194,6 @@ def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     short = full.select(
         F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__mix_size").alias("size"), F.col("__mix_key").alias("key")
     )
-    taken = with_copies(short, cut).where("copies > 0")
+    copies = F.col("copies") + F.when((F.col("words") > 0) & (F.col("words") * 2 >= F.col("size")), 1).otherwise(0)
+    taken = with_taken(short, cut).withColumn("copies", copies).where("copies > 0")
     return taken.select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")
