@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import embedding_dedup, exact_dedup, mixing, packing, simhash_dedup
+from siftwell.llm import embedding_dedup, exact_dedup, language_model, mixing, packing, simhash_dedup
 from siftwell.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_sequences, op4_simhash_near_dedup, op5_mix_sources, op6_embedding_near_dedup, op8_exact_dedup)
+    f.__name__: f for f in (op1_pack_sequences, op2_hmm_scores, op4_simhash_near_dedup, op5_mix_sources, op6_embedding_near_dedup, op8_exact_dedup)
 }
 
 #: The white space that SQL deletes before texts are compared.
