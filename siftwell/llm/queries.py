@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import embedding_dedup, exact_dedup, language_model, mixing, packing, simhash_dedup
+from siftwell.llm import embedding_dedup, exact_dedup, language_model, mixing, packing, simhash_dedup, toxicity
 from siftwell.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_sequences, op2_hmm_scores, op4_simhash_near_dedup, op5_mix_sources, op6_embedding_near_dedup, op8_exact_dedup)
+    f.__name__: f for f in (op1_pack_sequences, op2_hmm_scores, op3_toxicity, op4_simhash_near_dedup, op5_mix_sources, op6_embedding_near_dedup, op8_exact_dedup)
 }
 
 #: The white space that SQL deletes before texts are compared.
