@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import embedding_dedup, exact_dedup, language_model, line_dedup, mixing, packing, pii, simhash_dedup, toxicity
+from siftwell.llm import embedding_dedup, exact_dedup, language_model, line_dedup, mixing, packing, pii, quality, simhash_dedup, toxicity
 from siftwell.llm.common import read_table
 
 
@@ -46,8 +46,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_sequences, op2_hmm_scores, op3_toxicity, op4_simhash_near_dedup, op5_mix_sources, op6_embedding_near_dedup, op7_pseudonyms, op8_exact_dedup, op9_line_dedup)
+    f.__name__: f for f in (op1_pack_sequences, op2_hmm_scores, op3_toxicity, op4_simhash_near_dedup, op5_mix_sources, op6_embedding_near_dedup, op7_pseudonyms, op8_exact_dedup, op9_line_dedup, op10_quality)
 }
 
 #: The white space that SQL deletes before texts are compared.
