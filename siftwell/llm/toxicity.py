@@ -60,59 +60,53 @@ def core(word: bytes) -> str:
 
 
 class Lexicon:
-    """A trie of terms with weights; ``find`` intersects it with a word's Levenshtein automaton."""
+    """Tries of terms with weights; :meth:`find` intersects them with a word's Levenshtein automaton."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.terms, self.stems = terms, stems
-        self.root: dict = {}
-        for kind, entries in (("", terms), ("*", stems)):
-            for term in sorted(entries):
-                node = self.root
-                for letter in term:
-                    node = node.setdefault(letter, {})
-                node["end" + kind] = term
-        long_terms = [t for t in terms if len(t) >= FUZZY_FROM]
-        # one edit leaves a half of the term whole, at the word's beginning or its end
-        self.heads = {t[: len(t) // 2] for t in long_terms}
-        self.tails = {t[len(t) // 2 :] for t in long_terms}
         self.stem_sizes = sorted({len(s) for s in stems})
-        self.head_sizes = sorted({len(x) for x in self.heads})
-        self.tail_sizes = sorted({len(x) for x in self.tails})
-
-    def possible(self, word: str) -> bool:
-        """Whether :meth:`find` can find anything: no match is lost."""
-        return (
-            word in self.terms
-            or any(word[:n] in self.stems for n in self.stem_sizes)
-            or any(word[:n] in self.heads for n in self.head_sizes)
-            or any(word[-n:] in self.tails for n in self.tail_sizes)
-        )
+        self.root: dict = {}
+        for term in sorted(t for t in terms if len(t) >= FUZZY_FROM):
+            node = self.root
+            for letter in term:
+                node = node.setdefault(letter, {})
+            node["end"] = term
 
     def find(self, word: str) -> tuple[str, int, float] | None:
         """The best match as (kind, edits, weight): fewest edits, then the heaviest term.
 
-        The automaton's state after a path of the trie is a row of edit distances between the path
-        and every prefix of the word; a path dies when its whole row is above the bound.
+        The automaton of one edit is run over the trie state by state: along the path that the word
+        spells, each node is left by every single edit, after which the rest must be spelled exactly.
         """
-        best: tuple[int, float, str] | None = None
-        stack = [(self.root, tuple(range(len(word) + 1)), 0)]
-        while stack:
-            node, row, depth = stack.pop()
-            term = node.get("end")
-            if term is not None and row[-1] <= (1 if len(term) >= FUZZY_FROM else 0):
-                best = min(best or (9, 0.0, ""), (row[-1], -self.terms[term], "term"))
-            stem = node.get("end*")
-            if stem is not None and word.startswith(stem):
-                best = min(best or (9, 0.0, ""), (0, -self.stems[stem], "stem"))
+        exact = [("term", 0, self.terms[word])] if word in self.terms else []
+        exact += [("stem", 0, self.stems[word[:n]]) for n in self.stem_sizes if word[:n] in self.stems]
+        if exact:
+            return max(exact, key=lambda x: x[2])
+        found: list[str] = []
+        node, at, size = self.root, 0, len(word)
+        while node is not None:
+            if at < size:
+                self._spell(node, word, at + 1, size, found)  # a letter too many
             for letter, child in node.items():
-                if len(letter) > 1:
+                if letter == "end":
                     continue
-                after = [row[0] + 1]
-                for i, own in enumerate(word):
-                    after.append(min(after[i] + 1, row[i + 1] + 1, row[i] + (own != letter)))
-                if min(after) <= 1:
-                    stack.append((child, tuple(after), depth + 1))
-        return None if best is None else (best[2], best[0], -best[1])
+                self._spell(child, word, at, size, found)  # a letter too few
+                if at < size and letter != word[at]:
+                    self._spell(child, word, at + 1, size, found)  # another letter
+            if at == size:
+                break
+            node, at = node.get(word[at]), at + 1
+        return ("term", 1, max(self.terms[t] for t in found)) if found else None
+
+    @staticmethod
+    def _spell(node: dict, word: str, at: int, size: int, found: list[str]) -> None:
+        while at < size:
+            node = node.get(word[at])
+            if node is None:
+                return
+            at += 1
+        if "end" in node:
+            found.append(node["end"])
 
 
 # -- learning the lexicon -----------------------------------------------------------------------
@@ -208,9 +202,7 @@ class Matcher:
 
     def verdict(self, word: bytes) -> tuple | None:
         own = core(word)
-        if not own or not self.lexicon.possible(own):
-            return None
-        return self.lexicon.find(own)
+        return self.lexicon.find(own) if own else None
 
     def features(self, column: pa.Array) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
         """A row of FEATURES for each text, and (text, buckets of words around its hits) for texts with hits."""
