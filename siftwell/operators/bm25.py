@@ -27,8 +27,17 @@ CHUNK_WEIGHTS = {"content": 1.0, "breadcrumb": 5.0, "summary": 8.0, "purpose": 7
 
 
 def field_tokens(rows: DataFrame, fields: Sequence[str], key: str = "id", analyse=X.tokens) -> DataFrame:
-    """``key``, and for each field an array column of its tokens."""
-    return rows.select(key, *[analyse(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in fields])
+    """``key``, and for each field an array column ``__field`` of its tokens."""
+    return rows.select(key, *[analyse(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"__{f}") for f in fields])
+
+
+def _named(field: str) -> Column:
+    """The tokens of a field as structs with the field's name."""
+    return F.transform(F.col(f"__{field}"), lambda x: F.struct(F.lit(field).alias("field"), x.alias("term")))
+
+
+def _occurrences(field: str, term: str) -> Column:
+    return F.size(F.filter(F.col(f"__{field}"), lambda x: x == F.lit(term)))
 
 
 def postings(rows: DataFrame, weights: Mapping[str, float], key: str = "id", terms: Sequence[str] | None = None, analyse=X.tokens) -> DataFrame:
@@ -36,15 +45,15 @@ def postings(rows: DataFrame, weights: Mapping[str, float], key: str = "id", ter
     arrays = field_tokens(rows, list(weights), key, analyse)
     if terms is not None:
         wanted = F.array(*map(F.lit, terms))
-        arrays = arrays.select(key, *[F.filter(f, lambda x: F.array_contains(wanted, x)).alias(f) for f in weights])
-    pairs = F.flatten(F.array(*[F.transform(F.col(f), lambda x, f=f: F.struct(F.lit(f).alias("field"), x.alias("term"))) for f in weights]))
+        arrays = arrays.select(key, *[F.filter(f"__{f}", lambda x: F.array_contains(wanted, x)).alias(f"__{f}") for f in weights])
+    pairs = F.flatten(F.array(*[_named(f) for f in weights]))
     return arrays.select(key, F.explode(pairs).alias("p")).groupBy(key, F.col("p.field").alias("field"), F.col("p.term").alias("term")).agg(F.count("*").alias("tf"))
 
 
 def lengths(rows: DataFrame, weights: Mapping[str, float], key: str = "id", analyse=X.tokens) -> DataFrame:
     """``key, len``: tokens of each row over all fields."""
     arrays = field_tokens(rows, list(weights), key, analyse)
-    return arrays.select(key, sum((F.size(f) for f in weights), F.lit(0)).cast("long").alias("len"))
+    return arrays.select(key, sum((F.size(f"__{f}") for f in weights), F.lit(0)).cast("long").alias("len"))
 
 
 def statistics(row_lengths: DataFrame) -> DataFrame:
@@ -98,17 +107,17 @@ class Index:
         distinct = wanted.select("term", "only").distinct()
         hits = self.postings.join(F.broadcast(distinct), "term").where(F.col("only").isNull() | (F.col("field") == F.col("only")))
         per = hits.groupBy("term", "only", self.key).agg(F.sum(weight[F.col("field")] * F.col("tf")).alias("f"))
-        df = per.groupBy("term", "only").agg(F.count("*").alias("df"))
+        df = per.groupBy(F.col("term").alias("df_term"), F.col("only").alias("df_only")).agg(F.count("*").alias("df"))
         stats = statistics(self.lengths)
         weighed = (
-            per.join(F.broadcast(df), (per["term"] == df["term"]) & per["only"].eqNullSafe(df["only"]))
-            .select(per["term"], per["only"], self.key, "f", "df")
+            per.join(F.broadcast(df), (F.col("term") == F.col("df_term")) & F.col("only").eqNullSafe(F.col("df_only")))
             .join(self.lengths, self.key)
             .crossJoin(F.broadcast(stats))
         )
         part = idf(F.col("n_rows"), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
         parts = weighed.select("term", "only", self.key, part.alias("part"))
-        joined = parts.join(F.broadcast(wanted), (parts["term"] == wanted["term"]) & parts["only"].eqNullSafe(wanted["only"])).select(qid, "n_terms", self.key, "part")
+        asked = wanted.select(qid, "n_terms", F.col("term").alias("q_term"), F.col("only").alias("q_only"))
+        joined = parts.join(F.broadcast(asked), (F.col("term") == F.col("q_term")) & F.col("only").eqNullSafe(F.col("q_only"))).select(qid, "n_terms", self.key, "part")
         return joined.groupBy(qid, self.key).agg(F.sum("part").alias("relevance"), F.count("*").alias("held"), F.first("n_terms").alias("n_terms")).where("held = n_terms").select(qid, self.key, "relevance")
 
 
@@ -139,8 +148,8 @@ def search(rows: DataFrame, query: str, weights: Mapping[str, float], key: str =
     if not terms:
         return rows.limit(0).select(key).withColumn("relevance", F.lit(0.0))
     arrays = field_tokens(rows, list(weights), key)
-    size = sum((F.size(f) for f in weights), F.lit(0)).cast("double")
-    counts = [sum((F.lit(w) * F.size(F.filter(f, lambda x, t=t: x == t)) for f, w in weights.items()), F.lit(0.0)).alias(f"f{i}") for i, t in enumerate(terms)]
+    size = sum((F.size(f"__{f}") for f in weights), F.lit(0)).cast("double")
+    counts = [sum((F.lit(w) * _occurrences(f, t) for f, w in weights.items()), F.lit(0.0)).alias(f"f{i}") for i, t in enumerate(terms)]
     flat = arrays.select(key, size.alias("len"), *counts)
     stats = flat.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     held = flat.where(" and ".join(f"f{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
