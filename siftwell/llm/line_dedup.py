@@ -1,20 +1,24 @@
 """Repeated runs of lines, found by winnowing over line hashes; DataFrame and SQL functions only.
 
 A text is cut after every newline and after every sentence end followed by a space; these units are
-its lines here, so a passage copied into the middle of a line is found as well. Grams of ``GRAM``
-consecutive lines are hashed, and the smallest hash of every ``WINDOW`` consecutive grams (the last
-one of equals) is a fingerprint: two texts that share WINDOW + GRAM - 1 lines in a row share a
-fingerprint of them. A line of at least ``least_words`` words is a fingerprint by itself.
+its lines here, so a passage copied into the middle of a line is found as well. Every two lines in a
+row are hashed, and the smaller hash of every two neighbouring pairs (the later of equals) is a
+fingerprint: two texts that share three lines in a row share a fingerprint of them. A line of at
+least ``least_bytes`` is a fingerprint by itself.
 
-Each fingerprint is joined to its first occurrence, by doc_id and position. As WINDOW <= GRAM, the
-fingerprints within a shared run cover it without gaps, and at most WINDOW - 1 lines at either end are
-missing; the hashes of those neighbours travel with the fingerprint, so matches are extended both ways
-without another join. Runs of covered lines with at least ``least_words`` words are deleted, each from
-every text but the first that holds it.
+Each fingerprint is joined to its first occurrence, by doc_id and position. Fingerprints within a
+shared run leave no gap, and at most one line at either end is missing; the hashes of those
+neighbours travel with the fingerprint, so matches are extended both ways without another join. Runs
+of covered lines with at least ``least_bytes`` are deleted, each from every text but the first that
+holds it.
+
+A fingerprint that very many texts hold is summed map-side to its first occurrence, and the join
+back can be split at it; what follows is by document.
 
 Defined results: null text is empty and keeps nothing; a null doc_id sorts first; rows that repeat
-doc_id and text are one document, cleaned alike; rows of one doc_id with other text are documents of
-their own; an empty table gives an empty result; further columns are ignored.
+doc_id and text are one document, cleaned alike; of rows with one doc_id and several texts one text is
+cleaned and the others stay as they are; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,87 +28,122 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import staged
 
-GRAM = 2
-WINDOW = 2
-LEAST_WORDS = 25
+LEAST_BYTES = 150
 #: Fixed value: the places where a text is cut.
 CUT = r"(?<=\n)|(?<=[.!?] )"
+_MOST = 65535  # a line's bytes as a fingerprint carries them
 
 
 def _units(text: str = "text") -> str:
-    return f"filter(split(coalesce({text}, ''), '{CUT.replace(chr(92), chr(92) * 2)}'), u -> u <> '')"
+    """The lines of a text, which concatenate to it. Cuts are marked by a control character and split there;
+    a text that has that character itself is split by the pattern."""
+    marked = f"coalesce({text}, '')"
+    for end in ("'. '", "'! '", "'? '", r"'\n'"):
+        marked = f"replace({marked}, {end}, concat({end}, char(1)))"
+    by_pattern = f"split(coalesce({text}, ''), '{CUT.replace(chr(92), chr(92) * 2)}')"
+    return f"filter(if(contains({text}, char(1)), {by_pattern}, split({marked}, char(1))), u -> u <> '')"
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, version, hashes, words``: line hashes and word counts of each text; version is a hash of the text."""
-    trimmed = "btrim(u, ' \\t\\r\\n')"
+    """``doc_id, version, hashes, sizes``: line hashes and bytes of each text; version is a hash of the text."""
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
         .selectExpr("doc_id", "xxhash64(text) as version", f"{_units()} as units")
-        .selectExpr("doc_id", "version", f"transform(units, u -> xxhash64(lower({trimmed}))) as hashes", f"transform(units, u -> length({trimmed}) - length(replace({trimmed}, ' ', '')) + 1) as words")
+        .selectExpr("doc_id", "version", "transform(units, u -> xxhash64(lower(btrim(u, ' \\t\\r\\n')))) as hashes", f"transform(units, u -> least(octet_length(u), {_MOST})) as sizes")
     )
 
 
-def fingerprints(cut: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``print, pos, len, before, after, words``: winnowed grams and long lines of each text."""
-    k, w = gram, window
-    grams = f"if(size(hashes) >= {k}, transform(sequence(0, size(hashes) - {k}), i -> xxhash64(slice(hashes, i + 1, {k}))), array())"
-    part = f"slice(grams, j + 1, {w})"
-    minima = f"if(size(grams) > 0, array_distinct(transform(sequence(0, greatest(size(grams) - {w}, 0)), j -> cast(j + size({part}) - array_position(reverse({part}), array_min({part})) as int))), array())"
-    long = f"filter(sequence(0, greatest(size(hashes) - 1, 0)), i -> size(hashes) > 0 and words[i] >= {least_words})"
-    spots = f"concat(transform(minima, i -> struct(grams[i] as print, i as pos, {k} as len)), transform({long}, i -> struct(xxhash64(hashes[i], 1) as print, i as pos, 1 as len)))"
-    return (
-        cut.selectExpr("doc_id", "version", "hashes", "words", f"{grams} as grams")
-        .selectExpr("*", f"{minima} as minima")
-        .selectExpr("doc_id", "version", "hashes", "words", f"explode({spots}) as s")
-        .selectExpr(
-            "s.print as print",
-            "doc_id",
-            "version",
-            "s.pos as pos",
-            "s.len as len",
-            f"if(s.pos >= 1, reverse(slice(hashes, greatest(s.pos - {w - 2}, 1), least({w - 1}, s.pos))), array()) as before",
-            f"slice(hashes, s.pos + s.len + 1, {w - 1}) as after",
-            f"slice(words, greatest(s.pos - {w - 2}, 1), s.len + least({w - 1}, s.pos) + {w - 1}) as words",
-            f"least({w - 1}, s.pos) as lead",
-        )
-    )
+class _Spot:
+    """A place of the corpus as one number, so that the first of many is a plain minimum: the document, then
+    the line, then whether it is a line by itself. A long where ids and lines fit, else a decimal."""
 
+    def __init__(self, lowest: int | None, highest: int | None, longest: int | None):
+        fits = (lowest or 0) >= 0 and (highest or 0) < (1 << 37) and (longest or 0) < (1 << 24)
+        self.kind, self.base, self.shift = ("bigint", 1 << 25, 1) if fits else ("decimal(38,0)", 1 << 32, (1 << 63) + 1)
 
-def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, version, runs``: the runs of lines to delete of each text that has any, as structs lo, hi in order."""
-    if window > gram:
-        raise ValueError("window must not be above gram, or runs have gaps")
-    cut = staged(lines(docs), "lines")
-    prints = fingerprints(cut, gram, window, least_words)
-    first = prints.groupBy("print").agg(F.min(F.struct("doc_id", "version", "pos", "before", "after")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    same = "(doc_id <=> f.doc_id and version <=> f.version and pos = f.pos)"
-    found = prints.join(first.select("print", "f"), "print").where(f"not {same}")
-    # how many neighbours agree, from the match outwards
-    agree = "aggregate(zip_with({0}, f.{0}, (x, y) -> x <=> y and x is not null), struct(0 as n, true as on), (a, x) -> struct(if(a.on and x, a.n + 1, a.n) as n, a.on and x as on), a -> a.n)"
-    covered = (
-        found.selectExpr("doc_id", "version", "pos", "len", "words", "lead", f"{agree.format('before')} as left", f"{agree.format('after')} as right")
-        .selectExpr("doc_id", "version", "explode(transform(sequence(pos - left, pos + len - 1 + right), i -> struct(i as line, words[i - pos + lead] as n))) as c")
-        .selectExpr("doc_id", "version", "c.line as line", "c.n as n")
-        .groupBy("doc_id", "version", "line")
-        .agg(F.max("n").alias("n"))
+    def encode(self, pos: str, alone: str) -> str:
+        number = f"cast(coalesce(cast(doc_id as decimal(20,0)) + {self.shift}, 0) as {self.kind})" if self.kind != "bigint" else f"coalesce(doc_id + {self.shift}, 0)"
+        return f"cast({number} * {self.base} + {pos} * 2 + {alone} as {self.kind})"
+
+    def document(self, spot: str) -> str:
+        return f"cast(nullif(floor({spot} / {self.base}), 0) - {self.shift} as bigint)" if self.kind != "bigint" else f"nullif({spot} div {self.base}, 0) - {self.shift}"
+
+    def line(self, spot: str) -> str:
+        return f"cast(({spot} % {self.base}) div 2 as int)"
+
+    def alone(self, spot: str) -> str:
+        return f"cast({spot} % 2 as int)"
+
+
+def fingerprints(cut: DataFrame, spot: _Spot, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """``print, spot, around, sizes`` of each text's fingerprints.
+
+    ``around`` holds 32 bits of the hashes before and after; ``sizes`` 16 bits of bytes of the line
+    before, the one or two lines, and the line after.
+    """
+    n = "size(hashes)"
+    grams = f"if({n} >= 2, transform(sequence(0, {n} - 2), i -> xxhash64(hashes[i], hashes[i + 1])), array())"
+    m = "size(grams)"
+    chosen = f"if({m} > 0, filter(sequence(0, greatest({m} - 1, 0)), i -> {m} = 1 or (i > 0 and grams[i] <= grams[greatest(i - 1, 0)]) or (i < {m} - 1 and grams[i] < grams[least(i + 1, {m} - 1)])), array())"
+    long = f"if({n} > 0, filter(sequence(0, greatest({n} - 1, 0)), i -> sizes[i] >= {least_bytes}), array())"
+    part = lambda at: f"if({at} >= 0 and {at} < {n}, hashes[least(greatest({at}, 0), {n} - 1)] & 4294967295L, 4294967296L)"
+    bytes_ = lambda at: f"if({at} >= 0 and {at} < {n}, cast(sizes[least(greatest({at}, 0), {n} - 1)] as bigint), 0L)"
+
+    def at(first: str, last: str) -> str:
+        before, after = f"({first} - 1)", f"({last} + 1)"
+        own = bytes_(last) if first != last else "0L"
+        sizes = f"shiftleft({bytes_(before)}, 48) | shiftleft({bytes_(first)}, 32) | shiftleft({own}, 16) | {bytes_(after)}"
+        return f"{part(before)} as before, {part(after)} as after, {sizes} as sizes"
+
+    pair = f"transform(chosen, i -> struct(grams[i] as print, {spot.encode('i', '0')} as spot, {at('i', 'i + 1')}))"
+    single = f"transform({long}, i -> struct(xxhash64(hashes[i], 1) as print, {spot.encode('i', '1')} as spot, {at('i', 'i')}))"
+    exploded = (
+        cut.selectExpr("doc_id", "hashes", "sizes", f"{grams} as grams").selectExpr("*", f"{chosen} as chosen").selectExpr(f"explode(concat({pair}, {single})) as s").selectExpr("s.print as print", "s.spot as spot", "s.before as b", "s.after as a", "s.sizes as sizes")
     )
-    own = Window.partitionBy("doc_id", "version").orderBy("line")
-    islands = covered.withColumn("island", F.col("line") - F.row_number().over(own)).groupBy("doc_id", "version", "island").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.sum("n").alias("n"))
-    return islands.where(F.col("n") >= least_words).groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "n"))).alias("runs"))
+    # a missing neighbour (2^32) becomes 0 with its own bit cleared: 31 bits of a hash and one that says it is there
+    side = lambda c: f"if({c} > 4294967295L, 0L, ({c} & 2147483647L) | 2147483648L)"
+    return exploded.selectExpr("print", "spot", f"shiftleft({side('b')}, 32) | {side('a')} as around", "sizes")
 
 
-def line_dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row for each document: ``doc_id, text`` without its repeated runs, ``n_lines, n_deleted, words_deleted``."""
-    runs = repeated_runs(docs, gram, window, least_words).select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "runs")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).selectExpr("doc_id", "text", "xxhash64(text) as version")
-    joined = chosen.join(runs, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("of_version")), "left")
+def repeated_runs(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """``doc_id, version, runs``: the runs of lines to delete of each text that has any, as structs lo, hi, n in order."""
+    cut = staged(lines(docs), "lines")
+    seen = cut.agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"), F.max(F.size("hashes")).alias("longest")).first()
+    versions = cut.groupBy("doc_id").agg(F.min("version").alias("version"), F.count("*").alias("n"))
+    if versions.where("n > 1").limit(1).count():
+        own = versions.withColumnRenamed("doc_id", "of").withColumnRenamed("version", "of_version").drop("n")
+        same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("version").eqNullSafe(F.col("of_version"))
+        cut = staged(cut.join(own, same).drop("of", "of_version").dropDuplicates(["doc_id"]), "lines")
+    spot = _Spot(seen["lowest"], seen["highest"], seen["longest"])
+    prints = fingerprints(cut, spot, least_bytes)
+    first = prints.groupBy("print").agg(F.min("spot").alias("first"), F.min_by("around", "spot").alias("first_around"), F.count("*").alias("n")).where("n > 1")
+    found = prints.join(first.select("print", "first", "first_around"), "print").where("spot <> first")
+    agree = lambda high: f"(shiftright(around, {high}) & 4294967295L) > 0 and (shiftright(around, {high}) & 4294967295L) = (shiftright(first_around, {high}) & 4294967295L)"
+    hits = found.selectExpr(
+        f"{spot.document('spot')} as doc_id", f"{spot.line('spot')} as line", f"2 - {spot.alone('spot')} as len", f"if({agree(32)}, 1, 0) as left", f"if({agree(0)}, 1, 0) as right", "sizes"
+    ).selectExpr("doc_id", "line - left as lo", "line + len - 1 + right as hi", "line", "sizes")
+    own = Window.partitionBy("doc_id").orderBy("lo", "hi")
+    before = F.coalesce(F.max("hi").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2))
+    marked = hits.withColumn("before", before)
+    size = lambda k, at: f"if({at} > before and {at} between lo and hi, shiftright(sizes, {k}) & {_MOST}, 0)"
+    fresh = f"{size(48, 'line - 1')} + {size(32, 'line')} + if(hi >= line + 1 and (shiftright(sizes, 16) & {_MOST}) > 0, {size(16, 'line + 1')} + {size(0, 'line + 2')}, {size(0, 'line + 1')})"
+    islands = marked.selectExpr("*", f"{fresh} as fresh").withColumn("island", F.sum(F.when(F.col("lo") > F.col("before") + 1, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = islands.groupBy("doc_id", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("fresh").alias("n")).where(F.col("n") >= least_bytes)
+    listed = runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "n"))).alias("runs"))
+    return listed.join(cut.select(F.col("doc_id").alias("of"), "version"), F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
+
+
+def line_dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """One row for each document: ``doc_id, text`` without its repeated runs, ``n_lines_deleted, bytes_deleted``."""
+    runs = repeated_runs(docs, least_bytes).select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "runs")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    joined = chosen.join(runs, F.col("doc_id").eqNullSafe(F.col("of")) & F.xxhash64("text").eqNullSafe(F.col("of_version")), "left")
     start, end = "if(j = 0, 0, runs[j - 1].hi + 1)", "if(j = size(runs), size(units), runs[j].lo)"
-    kept = f"array_join(flatten(transform(sequence(0, size(runs)), j -> slice(units, {start} + 1, greatest({end} - ({start}), 0)))), '')"
-    return joined.selectExpr("doc_id", "text", "runs", f"{_units()} as units").selectExpr(
+    pieces = f"array_join(flatten(transform(sequence(0, size(runs)), j -> slice(units, {start} + 1, greatest({end} - ({start}), 0)))), '')"
+    kept = f"element_at(transform(array({_units()}), units -> {pieces}), 1)"
+    return joined.selectExpr(
         "doc_id",
         f"case when runs is null then text else {kept} end as text",
-        "size(units) as n_lines",
-        "cast(if(runs is null, 0, aggregate(runs, 0, (a, r) -> a + r.hi - r.lo + 1)) as int) as n_deleted",
-        "if(runs is null, 0L, aggregate(runs, 0L, (a, r) -> a + r.n)) as words_deleted",
+        "cast(if(runs is null, 0, aggregate(runs, 0, (a, r) -> a + r.hi - r.lo + 1)) as int) as n_lines_deleted",
+        "if(runs is null, 0L, aggregate(runs, 0L, (a, r) -> a + r.n)) as bytes_deleted",
     )

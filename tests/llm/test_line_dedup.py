@@ -12,8 +12,8 @@ def cut(text):
     return [u for u in re.split(L.CUT, text or "") if u]
 
 
-def words(unit):
-    return unit.strip(" \t\r\n").count(" ") + 1
+def weight(unit):
+    return len(unit.encode())
 
 
 def rng_texts():
@@ -34,7 +34,7 @@ def rng_texts():
     return out
 
 
-def brute(docs, least=L.LEAST_WORDS):
+def brute(docs, least=L.LEAST_BYTES):
     """Every gram of lines that has an earlier equal covers its lines; long runs of covered lines go."""
     seen, result = {}, {}
     for doc, text in sorted(docs):
@@ -47,7 +47,7 @@ def brute(docs, least=L.LEAST_WORDS):
                 covered |= {i, i + 1}
             seen.setdefault(gram, (doc, i))
         for i, key in enumerate(keys):
-            if words(units[i]) >= least:
+            if weight(units[i]) >= least:
                 if key in seen:
                     covered.add(i)
                 seen.setdefault(key, (doc, i))
@@ -56,7 +56,7 @@ def brute(docs, least=L.LEAST_WORDS):
             j = i
             while j in covered:
                 j += 1
-            if j > i and sum(map(words, units[i:j])) >= least:
+            if j > i and sum(map(weight, units[i:j])) >= least:
                 i = j
             elif j > i:
                 kept += units[i:j]
@@ -83,7 +83,7 @@ def test_every_long_shared_passage_goes(spark):
     passage = " ".join(" ".join(f"p{rng.randrange(999)}" for _ in range(8)) + "." for _ in range(8))
     docs = [(i, f"Own start {i} and more. " + " ".join(f"x{i}y{k}" for k in range(20)) + " " + passage + f" tail {i}.\nEnd {i} here.") for i in range(30)]
     got = {r["doc_id"]: r for r in L.line_dedup(spark.createDataFrame(docs, SCHEMA)).collect()}
-    assert got[0]["text"] == docs[0][1] and got[0]["n_deleted"] == 0
+    assert got[0]["text"] == docs[0][1] and got[0]["n_lines_deleted"] == 0
     inner = ". ".join(passage.split(". ")[1:-1])
     assert all(inner not in got[i]["text"] and f"x{i}y3" in got[i]["text"] and f"End {i} here." in got[i]["text"] for i in range(1, 30))
 
@@ -94,3 +94,10 @@ def test_odd_rows(spark):
     got = sorted((r["doc_id"] or 0, r["text"]) for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect() if r["doc_id"] != 1)
     assert got == [(0, long_line), (2, ""), (3, "\n\n"), (4, ""), (4, ""), (5, "short. line.")]
     assert L.line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_wide_ids_control_characters_and_other_texts_of_one_id(spark):
+    a = "First sentence of some length here. Second sentence that is longer than the first. Third sentence closes the passage with many more words in it, so that it is long enough. "
+    rows = [(-5, a + "own one."), (1 << 60, "Lead in. " + a + "own two."), (7, "\x01" + a + "own three."), (7, "other text")]
+    got = sorted((r["doc_id"], r["text"]) for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got[0] == (-5, rows[0][1]) and (1 << 60, "Lead in. own two.") in got and (7, "other text") in got
