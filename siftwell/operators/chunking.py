@@ -158,7 +158,7 @@ def _block_end(lines: list[str], first: int) -> int:
 
 
 def _braced(text: str, language: str) -> list[Chunk]:
-    patterns = [(re.compile(r"^\s*" + p), kind) for p, kind in DECLARATIONS[language]]
+    patterns = [(re.compile(r"^[ \t]*" + p), kind) for p, kind in DECLARATIONS[language]]
     lines = text.split("\n")
     offsets = [0]
     for line in lines:
