@@ -39,7 +39,7 @@ MOST_BYTES = 64
 STATES = 8
 ROUNDS = 4
 SMOOTH = 0.1
-_BLOCK = 1 << 19  # tokens in a block of texts that run in step
+_BLOCK = 1 << 18  # tokens in a block of texts that run in step
 
 
 def held_out(doc_id, parts: int = 10):
@@ -88,8 +88,16 @@ class Vocabulary:
         self.types = total["v"] + (1 if texts else 0)
         self.texts = texts
         self.base = float(np.log10(self.tokens + SMOOTH * (self.types + 1)))
-        short = counts.where(F.octet_length("word") <= MOST_BYTES)
-        known = short.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+        # bins of counts, a few thousand rows, tell from which bin on at most KNOWN words are as frequent
+        short = counts.where(F.octet_length("word") <= MOST_BYTES).withColumn("bin", F.floor(F.log2("c") * 64).cast("long"))
+        lowest, words = None, 0
+        for r in sorted(short.groupBy("bin").agg(F.count("*").alias("n")).collect(), reverse=True):
+            words += r["n"]
+            if words > KNOWN:
+                break
+            lowest = r["bin"]
+        known = [] if lowest is None else short.where(F.col("bin") >= lowest).select("word", "c").collect()
+        known.sort(key=lambda r: (-r["c"], bytes(r["word"])))
         self.known = {bytes(r["word"]): (i, r["c"]) for i, r in enumerate(known)}
         self.head = min(HEAD, len(known))
         self.classes = self.head + TAILS + 1
