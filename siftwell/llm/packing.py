@@ -222,7 +222,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("size", "low", "first", "offset"), table.T.copy()))
 
 
-def with_ranks(cut: DataFrame, histogram: dict[int, int], part_rows: int = 20_000) -> DataFrame:
+def with_ranks(cut: DataFrame, histogram: dict[int, int], part_rows: int = 1_000) -> DataFrame:
     """``rank`` of each piece among those of its length, gapless from 0, counted in hashed parts."""
     spark = cut.sparkSession
     parts = spark.createDataFrame([(k, max(1, -(-n // part_rows))) for k, n in histogram.items()] or [(0, 1)], "of long, parts long").coalesce(1)
