@@ -121,6 +121,15 @@ class Index:
         return joined.groupBy(qid, self.key).agg(F.sum("part").alias("relevance"), F.count("*").alias("held"), F.first("n_terms").alias("n_terms")).where("held = n_terms").select(qid, self.key, "relevance")
 
 
+    def search(self, query: str, limit: int | None = None) -> DataFrame:
+        """``key, relevance`` of one query, best first; its terms are pushed to the postings' scan."""
+        terms = sorted(set(_driver_tokens(query)))
+        spark = self.postings.sparkSession
+        asked = spark.createDataFrame([(0, t, len(terms)) for t in terms], "query_id long, term string, n_terms int").coalesce(1)
+        own = Index(self.postings.where(F.col("term").isin(terms)), self.lengths, self.weights, self.key)
+        return top(own.score(asked).select(self.key, "relevance"), limit, F.desc("relevance"), F.col(self.key))
+
+
 def score_of(relevance: Column, importance: Column, mode: str = "reference") -> Column:
     """The score shown for a relevance R."""
     if mode == "reference":

@@ -40,6 +40,7 @@ def test_index_round_trip(spark, tmp_path):
     again = bm25.Index.read(spark, str(tmp_path), index.weights)
     q = bm25.query_terms(spark.createDataFrame([(1, "w1 common")], "query_id long, query string"))
     assert sorted(rows(index.score(q), "id", "relevance")) == sorted(rows(again.score(q), "id", "relevance"))
+    assert sorted(rows(again.search("W1 common"), "id", "relevance")) == sorted(rows(index.score(q), "id", "relevance")) and again.search("?").count() == 0
 
 
 def test_cosine(spark):
