@@ -101,7 +101,6 @@ def _compare(threshold: float):
         """side: 0 for both sides of the comparison, else 1 and 2 for the two blocks compared."""
         left, right = (np.flatnonzero(side != 2), np.flatnonzero(side != 1))
         counts = np.zeros(len(ids), np.int64)
-        seen = np.zeros(len(ids), bool)
         a, b = [], []
         for at in range(0, len(left), 512):
             i = left[at : at + 512]
@@ -115,7 +114,7 @@ def _compare(threshold: float):
             r, c = r[first], c[first]
             np.add.at(counts, r, copies[c])
             np.add.at(counts, c, copies[r])
-            for p, q in zip(r.tolist(), c.tolist()) if len(r) < 4 * len(i) else _thin(r, c, seen):
+            for p, q in zip(r.tolist(), c.tolist()) if len(r) < 4 * len(i) else _thin(r, c):
                 a.append(ids[p])
                 b.append(ids[q])
         linked = np.flatnonzero(counts)
@@ -131,14 +130,14 @@ def _compare(threshold: float):
             table = rows.column("table").to_numpy()
             side = rows.column("side").to_numpy()
             vectors = rows.column("vector").to_pylist()
+            keys = np.asarray(rows.column("keys").combine_chunks().flatten()).reshape(len(ids), -1)
             start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             for at, to in zip(start, np.append(start[1:], len(cell))):
                 if to - at < 2 or len({len(v) for v in vectors[at:to]}) > 1:
                     continue
                 x = np.frombuffer(b"".join(vectors[at:to])).reshape(to - at, -1)
                 x = x / np.sqrt((x * x).sum(1, keepdims=True))
-                keys = np.array(rows.column("keys").slice(at, to - at).to_pylist(), np.int64)
-                a, b, n = bucket(int(table[at]), side[at:to], ids[at:to], copies[at:to], x, keys)
+                a, b, n = bucket(int(table[at]), side[at:to], ids[at:to], copies[at:to], x, keys[at:to])
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], schema=out)
 
@@ -157,7 +156,7 @@ def _compare(threshold: float):
     return run
 
 
-def _thin(r: np.ndarray, c: np.ndarray, seen: np.ndarray) -> Iterator[tuple[int, int]]:
+def _thin(r: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links r, c of one block of rows."""
     root: dict[int, int] = {}
 
