@@ -583,13 +583,13 @@ def link_graph_indegree(v: Views) -> DataFrame:
 _SCORES = _LINKED + ", scores as (select d.id, 0.6 * (1 + least(0.3 * coalesce(n, 0), 2.0)) as importance from linked d left join (select target_id as id, count(*) as n from edges group by target_id) using (id))"
 
 
-@query(_SCORES + "select id, round(importance, 6) as importance from scores")
+@query(_SCORES + "select id, round(cast(importance as double), 6) as importance from scores")
 def importance_scores(v: Views) -> DataFrame:
     docs = _linked(v)
     return graph.importance(docs, graph.link_edges(graph.links(docs), docs)).select("id", r6("importance").alias("importance"))
 
 
-@query(_SCORES + "select id, round(importance, 6) as importance from scores order by scores.importance desc, id limit 10")
+@query(_SCORES + "select id, round(cast(importance as double), 6) as importance from scores order by scores.importance desc, id limit 10")
 def importance_top10(v: Views) -> DataFrame:
     docs = _linked(v)
     return graph.importance(docs, graph.link_edges(graph.links(docs), docs)).orderBy(F.desc("importance"), "id").limit(10).select("id", r6("importance").alias("importance"))
@@ -669,7 +669,7 @@ def concept_chunk_counts(v: Views) -> DataFrame:
     return glossary.chunk_counts(_bridge(v, glossary.upsert_concepts(_terms(v))))
 
 
-@query(_CONCEPTS + "select min(id) as id, hash, 0.8 as score from docs where active and hash in (select hash from bridge where normalized = 'the') group by hash order by min(id) limit 20")
+@query(_CONCEPTS + "select min(id) as id, hash, cast(0.8 as double) as score from docs where active and hash in (select hash from bridge where normalized = 'the') group by hash order by min(id) limit 20")
 def glossary_search(v: Views) -> DataFrame:
     concepts = glossary.upsert_concepts(_terms(v))
     return glossary.glossary_search(concepts, _bridge(v, concepts), v.documents(), "the", 20)
@@ -797,7 +797,7 @@ def chunk_bm25(v: Views) -> DataFrame:
     return search_chunks(rows, "the", None).select("id", r6("score").alias("score"))
 
 
-@query("select chunk_id as id, 0.5 as score from chunks order by chunk_id limit 25")
+@query("select chunk_id as id, cast(0.5 as double) as score from chunks order by chunk_id limit 25")
 def chunk_empty_query(v: Views) -> DataFrame:
     from siftwell.operators.chunking import search_chunks
 
