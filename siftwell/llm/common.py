@@ -73,6 +73,19 @@ def batches_of(schema: pa.Schema, rows: Iterator[tuple], size: int = 8192) -> It
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), schema.types)], schema=schema)
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``key``; all of them if they are no more.
+
+    Hashes above what twice as many rows would have are dropped first, so each task hands on its share
+    of the sample and not ``most`` rows of its own.
+    """
+    n, top = rows.count(), 1 << 40
+    hashed = rows.withColumn("__hash", F.pmod(F.xxhash64(key), F.lit(top)))
+    if n > 2 * most:
+        hashed = hashed.where(F.col("__hash") < int(top * 2 * most / n))
+    return hashed.orderBy("__hash", key).limit(most).drop("__hash")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an edge table by alternating large-star and small-star steps.
 

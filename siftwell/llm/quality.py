@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, slices
+from siftwell.llm.common import Words, bounded_sample, slices
 from siftwell.llm.language_model import held_out
 from siftwell.llm.toxicity import fit_logistic
 
@@ -224,9 +224,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
         .groupBy("__id")
         .agg(F.max("__label").alias("__label"))
     )
-    training = known.where(F.crc32(F.col("__id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("__id"), "__id").limit(most_labelled)
+    training = bounded_sample(known.where(F.crc32(F.col("__id").cast("string").cast("binary")) % 5 != 0), "__id", most_labelled)
     slim = docs.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct()
-    pool = slim.join(known, "__id", "left_anti").orderBy(F.xxhash64("__id"), "__id").limit(most_pool).withColumn("__label", F.lit(-1).cast("long"))
+    pool = bounded_sample(slim.join(known, "__id", "left_anti"), "__id", most_pool).withColumn("__label", F.lit(-1).cast("long"))
     chosen = training.unionByName(pool)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string"), F.col("source").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     found = rows.select("__label", "text", "lang", "source").mapInArrow(_vectors, "label long, buckets binary, values binary, page binary").collect()

@@ -30,7 +30,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, slices
+from siftwell.llm.common import Words, bounded_sample, slices, staged
 
 MOST_LABELLED = 20_000
 MOST_TERMS = 512
@@ -315,17 +315,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = MO
         .where(F.crc32(F.col("__labelled").cast("string").cast("binary")) % parts != 0)
         .groupBy("__labelled")
         .agg(F.max("__label").alias("__label"))
-        .orderBy(F.xxhash64("__labelled"), "__labelled")
-        .limit(most)
     )
+    chosen = bounded_sample(chosen, "__labelled", most)
     joined = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__labelled"))
     return joined.select(F.col("__label").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     sc = docs.sparkSession.sparkContext
-    from siftwell.llm.common import staged
-
     rows = staged(training_rows(docs, labels, "toxic", most), "labelled")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = (rows.where(F.col("label") == k).select("text") for k in (1, 0))
