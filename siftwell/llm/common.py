@@ -51,6 +51,16 @@ def clear_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: list = []
+
+
+def worker_cache(key: object, make):
+    """What a Python worker keeps between tasks: one object, so an operator's cache goes when another's comes."""
+    if not _kept or _kept[0] != key:
+        _kept[:] = [key, make()]
+    return _kept[1]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -127,7 +137,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most_bytes`` of text each, or a single row."""
     import pyarrow.compute as pc
 
@@ -138,6 +148,7 @@ def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 16 << 20) -> Iter
         stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+        pa.default_memory_pool().release_unused()  # workers of one executor share its memory
 
 
 class Words:

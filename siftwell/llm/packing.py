@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, slices, staged
+from siftwell.llm.common import Words, slices, staged, worker_cache
 
 LENGTH = 4096
 END_ID = 2
@@ -57,7 +57,7 @@ class Encoder:
     Text with anything out of the ordinary goes through the tokenizer itself.
     """
 
-    def __init__(self, path: str, most_cached: int = 300_000):
+    def __init__(self, path: str, most_cached: int = 150_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -113,14 +113,9 @@ class Encoder:
         return np.concatenate(split).astype(np.uint32), np.cumsum([len(x) for x in split])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each Python worker, so that its cache lives across tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return worker_cache(("encoder", path), lambda: Encoder(path))
 
 
 _PIECES = "row_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

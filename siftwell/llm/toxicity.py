@@ -30,7 +30,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, bounded_sample, slices, staged
+from siftwell.llm.common import Words, bounded_sample, slices, staged, worker_cache
 
 MOST_LABELLED = 20_000
 MOST_TERMS = 512
@@ -196,7 +196,7 @@ def _bucket(word: bytes) -> int:
 class Matcher:
     """Features of a batch of texts; verdicts on words are kept across batches."""
 
-    def __init__(self, lexicon: Lexicon, context: np.ndarray | None = None, most_cached: int = 400_000):
+    def __init__(self, lexicon: Lexicon, context: np.ndarray | None = None, most_cached: int = 200_000):
         self.lexicon, self.context, self.most = lexicon, context, most_cached
         self.memo: dict[bytes, tuple | None] = {}
 
@@ -344,9 +344,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     return Model(lexicon, context, scale, weights)
 
 
-_matchers: dict[int, Matcher] = {}
-
-
 def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column ``name``: texts pass through, nothing is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -354,10 +351,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        if id(m) not in _matchers:
-            _matchers.clear()
-            _matchers[id(m)] = Matcher(m.lexicon, m.context)
-        matcher = _matchers[id(m)]
+        matcher = worker_cache(("matcher", id(m)), lambda: Matcher(m.lexicon, m.context))
         for b in (x for batch in batches for x in slices(batch, place)):
             rows, _ = matcher.features(b.column(place))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.scores(rows))], names=[*b.schema.names, name])
@@ -381,10 +375,7 @@ def _slim(chosen: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        if id(m) not in _matchers:
-            _matchers.clear()
-            _matchers[id(m)] = Matcher(m.lexicon, m.context)
-        matcher = _matchers[id(m)]
+        matcher = worker_cache(("matcher", id(m)), lambda: Matcher(m.lexicon, m.context))
         for b in (x for batch in batches for x in slices(batch, 2)):
             rows, _ = matcher.features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m.scores(rows))], names=["doc_id", "held_out", "score"])
