@@ -117,7 +117,9 @@ def repeated_runs(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     spot = _Spot(seen["lowest"], seen["highest"], seen["longest"])
     prints = fingerprints(cut, spot, least_bytes)
     first = prints.groupBy("print").agg(F.min("spot").alias("first"), F.min_by("around", "spot").alias("first_around"), F.count("*").alias("n")).where("n > 1")
-    found = prints.join(first.select("print", "first", "first_around"), "print").where("spot <> first")
+    # as a table of its own, so that the join below deals both sides anew and can split a common fingerprint
+    first = staged(first.select("print", "first", "first_around"), "first")
+    found = prints.join(first, "print").where("spot <> first")
     agree = lambda high: f"(shiftright(around, {high}) & 4294967295L) > 0 and (shiftright(around, {high}) & 4294967295L) = (shiftright(first_around, {high}) & 4294967295L)"
     hits = found.selectExpr(
         f"{spot.document('spot')} as doc_id", f"{spot.line('spot')} as line", f"2 - {spot.alone('spot')} as len", f"if({agree(32)}, 1, 0) as left", f"if({agree(0)}, 1, 0) as right", "sizes"
