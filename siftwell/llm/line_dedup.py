@@ -1,8 +1,11 @@
 """Repeated runs of lines, found by winnowing over line hashes; DataFrame and SQL functions only.
 
 A text is cut after every newline and after every sentence end followed by a space; these units are
-its lines here, so a passage copied into the middle of a line is found as well. Every two lines in a
-row are hashed, and the smaller hash of every two neighbouring pairs (the later of equals) is a
+its lines here, so a passage copied into the middle of a line is found as well. A line of at least
+``LONG_BYTES`` is cut further: after words that end in a letter of ``PICKED``, what is still as long after
+words that a hash of the word picks (one in two), and what is still as long after every space. So two texts that share a passage cut it alike but for less than
+``LONG_BYTES`` at either end, wherever their sentences begin and end. Every two lines in a row are
+hashed, and the smaller hash of every two neighbouring pairs (the later of equals) is a
 fingerprint: two texts that share three lines in a row share a fingerprint of them. A line of at
 least ``least_bytes`` is a fingerprint by itself.
 
@@ -31,6 +34,9 @@ from siftwell.llm.common import staged
 LEAST_BYTES = 150
 #: Fixed value: the places where a text is cut.
 CUT = r"(?<=\n)|(?<=[.!?] )"
+#: Fixed value: a line of at least so many bytes is cut into pieces.
+LONG_BYTES = 64
+PICKED = "sSnN"
 _MOST = 65535  # a line's bytes as a fingerprint carries them
 
 
@@ -41,7 +47,15 @@ def _units(text: str = "text") -> str:
     for end in ("'. '", "'! '", "'? '", r"'\n'"):
         marked = f"replace({marked}, {end}, concat({end}, char(1)))"
     by_pattern = f"split(coalesce({text}, ''), '{CUT.replace(chr(92), chr(92) * 2)}')"
-    return f"filter(if(contains({text}, char(1)), {by_pattern}, split({marked}, char(1))), u -> u <> '')"
+    whole = f"if(contains({text}, char(1)), {by_pattern}, split({marked}, char(1)))"
+    # a piece ends after a picked word that isn't followed by white space alone
+    ends = f"filter(sequence(0, size(w) - 1), i -> i = size(w) - 1 or (xxhash64(lower(w[i])) & 1L = 0 and btrim(w[i + 1], ' \\t\\r\\n') <> ''))"
+    start = "if(j = 0, 1, e[j - 1] + 2)"
+    piece = f"concat(array_join(slice(w, {start}, e[j] + 2 - {start}), ' '), if(j < size(e) - 1, ' ', ''))"
+    pieces = f"element_at(transform(array(split(u, ' ')), w -> element_at(transform(array({ends}), e -> transform(sequence(0, size(e) - 1), j -> {piece})), 1)), 1)"
+    for apart in (f"split(u, '(?<=[{PICKED}] )(?=[^ \\\\t\\\\r\\\\n])')", pieces, "split(u, '(?<= )(?=[^ \\\\t\\\\r\\\\n])')"):
+        whole = f"flatten(transform({whole}, u -> if(octet_length(u) < {LONG_BYTES}, array(u), {apart})))"
+    return f"filter({whole}, u -> u <> '')"
 
 
 def lines(docs: DataFrame) -> DataFrame:

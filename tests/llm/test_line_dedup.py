@@ -101,3 +101,30 @@ def test_wide_ids_control_characters_and_other_texts_of_one_id(spark):
     rows = [(-5, a + "own one."), (1 << 60, "Lead in. " + a + "own two."), (7, "\x01" + a + "own three."), (7, "other text")]
     got = sorted((r["doc_id"], r["text"]) for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got[0] == (-5, rows[0][1]) and (1 << 60, "Lead in. own two.") in got and (7, "other text") in got
+
+
+def test_passages_that_begin_and_end_mid_sentence(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 8)))
+    for ends in ("", ".", "\u0964"):  # no full stop inside, one now and then, another alphabet's
+        rows, passages = [], []
+        for k in range(20):
+            words = [word() + (ends if ends and i % 17 == 9 else "") for i in range(rng.randint(51, 90))]
+            passages.append(" ".join(words))
+            own = lambda: " ".join(word() for _ in range(rng.randint(5, 30)))
+            rows += [(2 * k, f"{own()} {passages[-1]} {own()}."), (2 * k + 1, f"{own()} {passages[-1]} {own()}.")]
+        got = {r["doc_id"]: r for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+        texts = dict(rows)
+        for k, passage in enumerate(passages):
+            first, later = got[2 * k], got[2 * k + 1]
+            assert first["text"] == texts[2 * k]
+            before, after = texts[2 * k + 1].split(passage + " ")
+            assert later["text"].startswith(before) and later["text"].endswith(after)
+            left = len(later["text"]) - len(before) - len(after)
+            assert left < 2 * L.LONG_BYTES and later["bytes_deleted"] == len(texts[2 * k + 1].encode()) - len(later["text"].encode())
+
+
+def test_lines_concatenate_to_the_text(spark):
+    texts = ["", " ", "a  b " * 30, "x" * 90 + " y", "\x01" + "one two, three four five. " * 9, "Tab\tand\nline " * 12 + "\n\n", "end of a line that is long enough to be cut. \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    assert {r["doc_id"]: "".join(r["u"]) for r in df.selectExpr("doc_id", f"{L._units()} as u").collect()} == dict(enumerate(texts))
