@@ -1,7 +1,8 @@
 """Toxicity by a fuzzy lexicon: Levenshtein automata intersected with a trie, and context windows.
 
 The lexicon is learned from labelled texts: whole words and word beginnings (stems) that toxic texts
-hold and others don't. A word of a text is matched by walking the trie and the word's Levenshtein
+hold and others don't. Of a word of a text, each run of letters and the word with the digits and symbols
+inside it are matched, and the best match counts. Matching is by walking the trie and the word's Levenshtein
 automaton together, so misspelled terms within the term's distance are found; a term of at least
 ``FUZZY_FROM`` letters allows one edit, a shorter one and a stem none. Around each hit a window of
 words tells quotation from abuse: quotation marks, reporting words, the share of other hits, and
@@ -47,6 +48,7 @@ REPORTING = frozenset(
 QUOTES = "\"'«»„“”‘’`"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_INNER = re.compile(r"[^\W_](?:.*[^\W_])?", re.DOTALL)
 _BUCKETS = 4096
 
 
@@ -56,6 +58,15 @@ def core(word: bytes) -> str:
     return found.group() if found else ""
 
 
+def forms(word: bytes) -> list[str]:
+    """What of a word is matched: each run of letters, and the word from its first letter or digit to its
+    last with all between, if that is something else. The first run is first."""
+    text = word.decode("utf-8", "replace").lower()
+    runs = _LETTERS.findall(text)
+    inner = _INNER.search(text)
+    return [*runs, *([inner.group()] if inner and runs and inner.group() not in runs else [])]
+
+
 # -- the lexicon --------------------------------------------------------------------------------
 
 
@@ -201,8 +212,8 @@ class Matcher:
         self.memo: dict[bytes, tuple | None] = {}
 
     def verdict(self, word: bytes) -> tuple | None:
-        own = core(word)
-        return self.lexicon.find(own) if own else None
+        found = [x for x in map(self.lexicon.find, forms(word)) if x]
+        return min(found, key=lambda x: (x[1], -x[2])) if found else None
 
     def features(self, column: pa.Array) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
         """A row of FEATURES for each text, and (text, buckets of words around its hits) for texts with hits."""

@@ -61,3 +61,13 @@ def test_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in X.score_toxicity(docs, labels).collect()] == [0.5] * 3
     assert X.score_toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_digits_symbols_and_later_runs_of_letters():
+    import pyarrow as pa
+
+    m = X.Matcher(X.Lexicon({"idiot": 5.0, "stupid": 4.0, "moron": 3.0}, {}))
+    at = dict(zip(X.FEATURES, range(len(X.FEATURES))))
+    for text, kind in (("id1ot", "fuzzy"), ("st*pid", "fuzzy"), ("(m0ron!)", "fuzzy"), ("well,idiot", "exact"), ("you-idiot", "exact"), ("a/idiot.", "exact")):
+        assert m.features(pa.array([text]))[0][0][at[kind]] > 0, text
+    assert not m.features(pa.array(["12 -- a-b well,then 1st p.2/x"]))[0].any()
