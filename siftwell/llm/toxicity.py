@@ -4,7 +4,8 @@ The lexicon is learned from labelled texts: whole words and word beginnings (ste
 hold and others don't. Of a word of a text, each run of letters and the word with the digits and symbols
 inside it are matched, and the best match counts. Matching is by walking the trie and the word's Levenshtein
 automaton together, so misspelled terms within the term's distance are found; a term of at least
-``FUZZY_FROM`` letters allows one edit, a shorter one and a stem none. Around each hit a window of
+``FUZZY_FROM`` letters allows one edit, of ``SWAP_FROM`` also two neighbours swapped, of ``TWO_FROM`` two
+edits; a shorter one and a stem allow none, but the learned words under a stem are matched like terms. Around each hit a window of
 words tells quotation from abuse: quotation marks, reporting words, the share of other hits, and
 the learned weights of the window's words. Hits and windows are summed to a text's features, and a
 logistic model fitted on labelled texts gives the score.
@@ -35,7 +36,9 @@ from siftwell.llm.common import Words, bounded_sample, slices, staged, worker_ca
 
 MOST_LABELLED = 20_000
 MOST_TERMS = 512
-FUZZY_FROM = 5
+FUZZY_FROM = 4
+SWAP_FROM = 5
+TWO_FROM = 8
 STEM_LETTERS = range(3, 9)
 WINDOW = 6
 LEAST_TEXTS = 4
@@ -67,21 +70,47 @@ def forms(word: bytes) -> list[str]:
     return [*runs, *([inner.group()] if inner and runs and inner.group() not in runs else [])]
 
 
+def _deletions(word: str) -> set[str]:
+    """The word with up to two letters left out."""
+    one = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return {word} | one | {x[:i] + x[i + 1 :] for x in one for i in range(len(x))}
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        after = [i + 1]
+        for j, y in enumerate(b):
+            after.append(min(after[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = after
+    return row[-1]
+
+
 # -- the lexicon --------------------------------------------------------------------------------
 
 
 class Lexicon:
-    """Tries of terms with weights; :meth:`find` intersects them with a word's Levenshtein automaton."""
+    """Tries of terms with weights; :meth:`find` intersects them with a word's Levenshtein automaton.
+
+    ``family`` holds words that a stem covers, which only misspellings need; ``wide`` allows swapped
+    neighbours and, in long terms, two edits.
+    """
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.terms, self.stems = terms, stems
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], family: dict[str, float] | None = None, wide: bool = False):
+        self.terms, self.stems, self.wide = terms, stems, wide
         self.stem_sizes = sorted({len(s) for s in stems})
+        self.fuzzy = {t: w for t, w in {**(family or {}), **terms}.items() if len(t) >= FUZZY_FROM}
         self.root: dict = {}
-        for term in sorted(t for t in terms if len(t) >= FUZZY_FROM):
+        for term in sorted(self.fuzzy):
             node = self.root
             for letter in term:
                 node = node.setdefault(letter, {})
             node["end"] = term
+        self.longest = max(map(len, self.fuzzy), default=0)
+        self.without: dict[str, list[str]] = {}
+        for term in sorted(t for t in self.fuzzy if wide and len(t) >= TWO_FROM):
+            for x in _deletions(term):
+                self.without.setdefault(x, []).append(term)
 
     def find(self, word: str) -> tuple[str, int, float] | None:
         """The best match as (kind, edits, weight): fewest edits, then the heaviest term.
@@ -107,7 +136,21 @@ class Lexicon:
             if at == size:
                 break
             node, at = node.get(word[at]), at + 1
-        return ("term", 1, max(self.terms[t] for t in found)) if found else None
+        if found:
+            return "term", 1, max(self.fuzzy[t] for t in found)
+        return self._further(word) if self.wide and size <= self.longest + 2 else None
+
+    def _further(self, word: str) -> tuple[str, int, float] | None:
+        """Terms with two neighbours swapped, which count as one edit, or else long ones within two edits."""
+        if len(word) >= SWAP_FROM:
+            swapped = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} & self.fuzzy.keys()
+            if swapped:
+                return "term", 1, max(self.fuzzy[t] for t in swapped)
+        if not self.without or len(word) < TWO_FROM - 2:
+            return None
+        near = {t for x in _deletions(word) for t in self.without.get(x, ())}
+        weights = [self.fuzzy[t] for t in near if _distance(word, t) <= 2]
+        return ("term", 2, max(weights)) if weights else None
 
     @staticmethod
     def _spell(node: dict, word: str, at: int, size: int, found: list[str]) -> None:
@@ -178,6 +221,7 @@ def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int
     scored.sort(key=lambda x: (x[2].endswith("*"), -x[0], -len(x[2]), x[2]))
     terms = {term: weight for _, weight, term in scored if not term.endswith("*")}
     stems: dict[str, float] = {}
+    family: dict[str, float] = {}
     for n, weight, term in scored:
         name = term[:-1]
         if not term.endswith("*") or any(name.startswith(x) for x in stems):
@@ -187,10 +231,10 @@ def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int
             continue
         stems[name] = weight
         for x in longer:
-            del terms[x]
+            family[x] = terms.pop(x)
     terms = dict(sorted(terms.items(), key=lambda x: (-ours[x[0]], x[0]))[:most])
     stems = dict(sorted(stems.items(), key=lambda x: (-ours[x[0] + "*"], x[0]))[:most])
-    return Lexicon(terms, stems)
+    return Lexicon(terms, stems, family, wide=True)
 
 
 # -- features -----------------------------------------------------------------------------------

@@ -71,3 +71,14 @@ def test_digits_symbols_and_later_runs_of_letters():
     for text, kind in (("id1ot", "fuzzy"), ("st*pid", "fuzzy"), ("(m0ron!)", "fuzzy"), ("well,idiot", "exact"), ("you-idiot", "exact"), ("a/idiot.", "exact")):
         assert m.features(pa.array([text]))[0][0][at[kind]] > 0, text
     assert not m.features(pa.array(["12 -- a-b well,then 1st p.2/x"]))[0].any()
+
+
+def test_misspelled_families_short_terms_swaps_and_two_edits(spark):
+    frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "text string")
+    toxic = ["idiot you", "idiots you", "idiotic you", "scum you", "worthless you"] * 6
+    clean = ["the tools you have", "a sum you lent", "the others you know"] * 10
+    lexicon = X.learn_lexicon(frame(toxic), frame(clean), len(toxic), len(clean))
+    assert not lexicon.terms.keys() & {"idiot", "idiots", "idiotic"} and lexicon.stems
+    for word, edits in (("idoit", 1), ("idoits", 1), ("ldiot", 1), ("ediotic", 1), ("scun", 1), ("wortless", 1), ("wrothless", 1), ("warthles", 2), ("vorthles", 2)):
+        assert (lexicon.find(word) or (None, None))[:2] == ("term", edits), word
+    assert not any(lexicon.find(w) for text in clean for w in text.split() if w != "sum")
