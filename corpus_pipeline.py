@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's documents. All but the last return the columns of ``documents``; the last
-returns one row for each packed piece. A doc_id names one document; rows that repeat one are one
-document to the deduplication stages.
+returns one row for each packed piece. Each row is a document of its own to the deduplication stages,
+also where doc_id is null or repeats: they number the rows they read and keep one row of each group.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id")
-    return exact_dedup.keep_first(docs, kept)
+    rows = exact_dedup.numbered(docs)
+    return exact_dedup.keep_rows(rows, exact_dedup.first_rows(rows))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that SimHash links."""
-    kept = simhash_dedup.simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return exact_dedup.keep_first(docs, kept)
+    rows = exact_dedup.numbered(docs)
+    return exact_dedup.keep_rows(rows, simhash_dedup.first_rows(rows))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = binary_texts(batch.column(1))
         digests = [hashlib.sha256(x.translate(None, _SPACE)).digest() for x in texts]
         points = [len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in texts]
-        rows = pa.array(range(row, row + len(texts)), pa.int64())
+        rows = batch.column(2) if batch.num_columns > 2 else pa.array(range(row, row + len(texts)), pa.int64())
         row += len(texts)
         yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(points, pa.int64()), pa.array(digests, pa.binary())], schema=_DIGEST_ARROW)
 
@@ -194,9 +194,10 @@ def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches_of(_GROUP_ARROW, merge(rows(), 1 << 62))
 
 
-def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``row_id, doc_id, n_points, digest`` for each row, staged so that row_id is fixed."""
-    chosen = docs.select(F.col(doc_id).cast("long"), F.col(text))
+def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row_id: str | None = None) -> DataFrame:
+    """``row_id, doc_id, n_points, digest`` for each row, staged so that row_id is fixed; ``row_id`` names a
+    column that numbers the rows already."""
+    chosen = docs.select(F.col(doc_id).cast("long"), F.col(text), *([F.col(row_id).cast("long")] if row_id else []))
     return staged(chosen.mapInArrow(_digest, _DIGESTS), "digests")
 
 
@@ -226,17 +227,19 @@ def exact_dedup(docs: DataFrame, most_live: int = 100_000) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, kept: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept`` (one column of distinct ids), one for each id.
+def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:
+    """``docs`` with a ``row_id`` for each row, staged so that it is fixed."""
+    return staged(docs.withColumn("row_id", F.monotonically_increasing_id()), name)
+
+
+def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of a :func:`numbered` table whose row_id is in ``kept`` (one column), without row_id."""
+    return rows.join(kept.select(F.col(kept.columns[0]).alias("row_id")), "row_id", "left_semi").drop("row_id")
 
-    A doc_id names one document: rows that repeat it count as one, and its first row by text stays.
-    """
-    from pyspark.sql import Window
 
-    ids = kept.select(F.col(kept.columns[0]).alias("__kept_id"))
-    rows = docs.join(ids, F.col(doc_id).eqNullSafe(F.col("__kept_id")), "left_semi")
-    w = Window.partitionBy(doc_id).orderBy(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]))
-    return rows.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
+def first_rows(rows: DataFrame, most_live: int = 100_000) -> DataFrame:
+    """``keep_row``: the row_id of the one row that stays of each group of equal texts of a :func:`numbered` table."""
+    return groups_of(digests(rows, row_id="row_id"), most_live).select("keep_row")
 
 
 def apply_changes(index: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:

@@ -169,13 +169,30 @@ def links(prints: DataFrame, most_bits: int = MOST_BITS, refine_at: int = 1 << 2
     return keyed.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_meet(most_bits), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, most_bits: int = MOST_BITS, refine_at: int = 1 << 27) -> DataFrame:
-    """One row for each document: ``doc_id, fingerprint, component_id``."""
-    of = staged(fingerprints(docs), "prints")
+def _members(of: DataFrame, most_bits: int, refine_at: int) -> DataFrame:
+    """``print, least, root`` of each distinct fingerprint of ``of`` (doc_id, print), staged."""
     distinct = staged(of.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("print"), most_bits, refine_at))
     member = distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    member = staged(member, "members")
+    return staged(member, "members")
+
+
+def first_rows(rows: DataFrame, most_bits: int = MOST_BITS, refine_at: int = 1 << 27) -> DataFrame:
+    """``keep_row``: the row_id of one row of each component of a table numbered by row_id: that of the smallest
+    doc_id (null only if there is no other), then of the smallest row_id."""
+    found = rows.select(F.col("row_id").cast("long"), "text").mapInArrow(_prints, "doc_id long, print long").withColumnRenamed("doc_id", "row_id")
+    ids = rows.select("row_id", F.col("doc_id").cast("long").alias("doc_id"))
+    of = staged(found.join(ids, "row_id"), "prints")
+    member = _members(of.select("doc_id", "print"), most_bits, refine_at).select(F.col("print").alias("p"), "root")
+    # of each fingerprint first, so that copies of one text travel as a row for each task
+    best = of.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("best"))
+    return best.join(member, F.col("print") == F.col("p")).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row_id").alias("keep_row"))
+
+
+def simhash_components(docs: DataFrame, most_bits: int = MOST_BITS, refine_at: int = 1 << 27) -> DataFrame:
+    """One row for each document: ``doc_id, fingerprint, component_id``."""
+    of = staged(fingerprints(docs), "prints")
+    member = _members(of, most_bits, refine_at)
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(smallest, "root").select(F.col("print").alias("p"), "component_id")
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0"))

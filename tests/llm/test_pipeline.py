@@ -62,3 +62,19 @@ def test_repeats_nulls_and_empty(spark):
             docs = staged(stage(spark, docs, SF), name)
             if name == "exact_dedup":
                 assert docs.count() == (3 if data else 0)
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    """Null and repeated ids: no distinct text is lost, and of copies the row stays that op8 keeps."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(8)]
+    rows = [(None, texts[i], "en", "s", 1) for i in range(4)] + [(7, texts[i], "en", "s", 1) for i in range(4, 8)]
+    rows += [(3, texts[0], "en", "s", 1), (7, texts[1] + " ", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    exact = staged(C.drop_copies(spark, docs, SF), "exact")
+    assert exact.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in exact.collect())
+    assert got == sorted([(0, texts[0]), (7, texts[1] + " "), (0, texts[2]), (0, texts[3]), *((7, t) for t in texts[4:])])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in C.drop_near_copies(spark, exact, SF).collect()) == got
+    near = {(r["doc_id"], r["text"].strip()) for r in C.drop_near_copies(spark, docs, SF).collect()}
+    assert near == {(3, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), *((7, t) for t in texts[4:])}
