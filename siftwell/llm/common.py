@@ -35,20 +35,56 @@ def checkpoint_root(spark: SparkSession) -> str:
     return f"file://{_roots[sc]}"
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's folder of staged tables."""
+    return f"{checkpoint_root(spark)}/siftwell/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later uses don't compute it again,
     its lineage is cut, and a lost executor costs no more than a re-read."""
+    return _staged_at(df, name)[0]
+
+
+def _staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/siftwell/{uuid.uuid4().hex}/{name}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def clear_staged(spark: SparkSession) -> None:
-    """Delete every staged table of this folder; results that were not written yet are lost."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/siftwell")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every staged table of this application; its results that were not written yet are lost."""
+    _delete(spark, _folder(spark))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like ``base`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def row_numbers(df: DataFrame, *order, name: str = "number") -> DataFrame:
+    """``df`` with a gapless ``name`` from 0 in the given order, staged: rows are dealt by ranges, numbered in
+    each, and shifted by the sizes of the ranges before, of which the driver gets one row each."""
+    spark = df.sparkSession
+    at = free_name(df, "__at")
+    dealt = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright(at, 33).alias("part")
+    before, shifts = 0, []
+    for r in sorted(dealt.groupBy(part).agg(F.count("*").alias("n")).collect()):
+        shifts.append((r["part"], before))
+        before += r["n"]
+    shift = spark.createDataFrame(shifts, "__part long, __shift long").coalesce(1)
+    joined = dealt.join(F.broadcast(shift), F.shiftright(at, 33) == F.col("__part"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__shift") + (F.col(at).bitwiseAND((1 << 33) - 1))).alias(name))
 
 
 _kept: list = []
@@ -96,45 +132,58 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return hashed.orderBy("__hash", key).limit(most).drop("__hash")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def _join_split(rows: DataFrame, per_key: DataFrame, part: int) -> DataFrame:
+    """``rows`` (hi, lo) with ``m`` of ``per_key`` (hi, m, n), n being how many rows a key has: a key with more
+    than ``part`` rows is dealt in parts of about that many. There are at most rows / part such keys."""
+    hot = per_key.where(F.col("n") > part).select(F.col("hi").alias("h"), F.ceil(F.col("n") / part).alias("parts"))
+    left = rows.join(F.broadcast(hot), F.col("hi") == F.col("h"), "left").select("hi", "lo", F.coalesce(F.pmod(F.xxhash64("lo"), F.col("parts")), F.lit(0)).alias("salt"))
+    right = per_key.select("hi", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / part) - 1)).alias("salt"))
+    return left.join(right, ["hi", "salt"]).drop("salt")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, least_part: int = 256) -> DataFrame:
     """Connected components of an edge table by alternating large-star and small-star steps.
 
     Returns ``node, root`` for every node of an edge that is not its own component's smallest node;
     ``root`` is the smallest node that it reaches. Each round is two aggregations and two joins
-    over at most as many rows as there are edges; a star's centre may be arbitrarily large, since
-    the minimum is summed map-side and the join back can be split. Rounds grow with the logarithm of
-    a component's size. Raises if ``most_rounds`` don't suffice.
+    over at most as many rows as there are edges. A star's centre may be arbitrarily large: its minimum
+    is taken map-side first, and its edges are joined back in parts of a thousandth of all (or
+    ``least_part``). Rounds grow with the logarithm of a component's size, and each deletes the tables
+    of the one before. Raises if ``most_rounds`` don't suffice.
     """
-    now = staged(
-        edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "edges"
-    )
+    spark = edges.sparkSession
+    now, path = _staged_at(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "edges")
 
     def mark(df: DataFrame) -> tuple:
         row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
         return (row["n"], row["s"])
 
+    def smallest(df: DataFrame, m) -> tuple[DataFrame, str]:
+        return _staged_at(df.groupBy("hi").agg(m.alias("m"), F.count("*").alias("n")), "least")
+
     was = mark(now)
     for _ in range(most_rounds):
         if not was[0]:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            break
+        part = max(least_part, 2 * was[0] // 1000)
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m"))
-        large = both.join(least, "hi").where("lo > hi and lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        least, least_path = smallest(both, F.least(F.min("lo"), F.col("hi")))
+        large, large_path = _staged_at(_join_split(both, least, part).where("lo > hi and lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")), "large")
         # small-star: link the smaller neighbours of a node, and itself, to the smallest
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(low, "hi")
-            .select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e"))
-            .select("e.*")
-            .where("hi <> lo")
-            .distinct()
-        )
-        now = staged(small, "edges")
+        low, low_path = smallest(large, F.min("lo"))
+        links = F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))
+        small = _join_split(large, low, part).select(F.explode(links).alias("e")).select("e.*").where("hi <> lo").distinct()
+        now, small_path = _staged_at(small, "edges")
         is_now = mark(now)
+        for gone in (path, least_path, large_path, low_path):
+            _delete(spark, gone)
+        path = small_path
         if is_now == was:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            break
         was = is_now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
 def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -1,27 +1,27 @@
 """Repeated runs of lines, found by winnowing over line hashes; DataFrame and SQL functions only.
 
-A text is cut after every newline and after every sentence end followed by a space; these units are
-its lines here, so a passage copied into the middle of a line is found as well. A line of at least
-``LONG_BYTES`` is cut further: after words that end in a letter of ``PICKED``, what is still as long after
-words that a hash of the word picks (one in two), and what is still as long after every space. So two texts that share a passage cut it alike but for less than
-``LONG_BYTES`` at either end, wherever their sentences begin and end. Every two lines in a row are
-hashed, and the smaller hash of every two neighbouring pairs (the later of equals) is a
-fingerprint: two texts that share three lines in a row share a fingerprint of them. A line of at
-least ``least_bytes`` is a fingerprint by itself.
-
-Each fingerprint is joined to its first occurrence, by doc_id and position. Fingerprints within a
-shared run leave no gap, and at most one line at either end is missing; the hashes of those
-neighbours travel with the fingerprint, so matches are extended both ways without another join. Runs
-of covered lines with at least ``least_bytes`` are deleted, each from every text but the first that
-holds it.
+A text is cut after every newline, after every sentence end followed by a space, and after every word
+that ends in a letter of ``PICKED`` and is followed by a space; these units, a few words each, are its
+lines here. A line of at least ``LONG_BYTES`` is cut further after words that end in a letter of
+``MORE``, and what is still twice as long after every space. So two texts that share a passage cut it
+alike but for one line at either end, wherever their sentences begin and end. Every two lines in a row
+are hashed, and the smaller hash of every two neighbouring pairs (the later of equals) is a fingerprint:
+two texts that share three lines in a row share a fingerprint of them. A line of at least
+``least_bytes`` is a fingerprint by itself.
+
+Each fingerprint is joined to its first occurrence, by document and position. Fingerprints within a
+shared run leave no gap, and at most one line at either end is missing; the hashes of those neighbours
+travel with the fingerprint, so matches are extended both ways. A fingerprint is 64 bits and is verified
+by 64 others that are computed from the same lines with another seed, a neighbour by 64. Runs of
+covered lines with at least ``least_bytes`` are deleted, each from every text but the first that holds
+it. Lines are compared without the white space at their ends and with letter case.
 
 A fingerprint that very many texts hold is summed map-side to its first occurrence, and the join
 back can be split at it; what follows is by document.
 
-Defined results: null text is empty and keeps nothing; a null doc_id sorts first; rows that repeat
-doc_id and text are one document, cleaned alike; of rows with one doc_id and several texts one text is
-cleaned and the others stay as they are; an empty table gives an empty result; further columns are
-ignored.
+Defined results: null text stays null; a null doc_id sorts first; rows that repeat doc_id and text are
+one document, cleaned alike; rows with one doc_id and several texts are documents of their own, in the
+order of their texts' hashes; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,124 +29,104 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import staged
+from siftwell.llm.common import row_numbers, staged
 
-LEAST_BYTES = 150
-#: Fixed value: the places where a text is cut.
-CUT = r"(?<=\n)|(?<=[.!?] )"
-#: Fixed value: a line of at least so many bytes is cut into pieces.
-LONG_BYTES = 64
+LEAST_BYTES = 120
+#: Letters that end a line where a space follows, and those that cut a long line further.
 PICKED = "sSnN"
-_MOST = 65535  # a line's bytes as a fingerprint carries them
+MORE = "eEtTrRaA"
+LONG_BYTES = 128
 
 
-def _units(text: str = "text") -> str:
-    """The lines of a text, which concatenate to it. Cuts are marked by a control character and split there;
-    a text that has that character itself is split by the pattern."""
-    marked = f"coalesce({text}, '')"
-    for end in ("'. '", "'! '", "'? '", r"'\n'"):
+def _marked(text: str, ends: list[str]) -> str:
+    """``text`` split after each of ``ends``; cuts are marked by a control character that the text doesn't have."""
+    marked = text
+    for end in ends:
         marked = f"replace({marked}, {end}, concat({end}, char(1)))"
-    by_pattern = f"split(coalesce({text}, ''), '{CUT.replace(chr(92), chr(92) * 2)}')"
-    whole = f"if(contains({text}, char(1)), {by_pattern}, split({marked}, char(1)))"
-    # a piece ends after a picked word that isn't followed by white space alone
-    ends = f"filter(sequence(0, size(w) - 1), i -> i = size(w) - 1 or (xxhash64(lower(w[i])) & 1L = 0 and btrim(w[i + 1], ' \\t\\r\\n') <> ''))"
-    start = "if(j = 0, 1, e[j - 1] + 2)"
-    piece = f"concat(array_join(slice(w, {start}, e[j] + 2 - {start}), ' '), if(j < size(e) - 1, ' ', ''))"
-    pieces = f"element_at(transform(array(split(u, ' ')), w -> element_at(transform(array({ends}), e -> transform(sequence(0, size(e) - 1), j -> {piece})), 1)), 1)"
-    for apart in (f"split(u, '(?<=[{PICKED}] )(?=[^ \\\\t\\\\r\\\\n])')", pieces, "split(u, '(?<= )(?=[^ \\\\t\\\\r\\\\n])')"):
-        whole = f"flatten(transform({whole}, u -> if(octet_length(u) < {LONG_BYTES}, array(u), {apart})))"
+    return f"split({marked}, char(1))"
+
+
+def _units(text: str = "text") -> str:
+    """The lines of a text, which concatenate to it."""
+    ends = ["'. '", "'! '", "'? '", *(f"'{c} '" for c in PICKED), r"'\n'"]
+    by_pattern = f"split(coalesce({text}, ''), '(?<=\\\\n)|(?<=[.!?{PICKED}] )')"
+    whole = f"if(contains({text}, char(1)), {by_pattern}, {_marked(f'coalesce({text}, ' + chr(39) * 2 + ')', ends)})"
+    for least, apart in ((LONG_BYTES, f"(?<=[{MORE}] )"), (2 * LONG_BYTES, "(?<= )")):
+        whole = f"flatten(transform({whole}, u -> if(octet_length(u) < {least}, array(u), split(u, '{apart}'))))"
     return f"filter({whole}, u -> u <> '')"
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, version, hashes, sizes``: line hashes and bytes of each text; version is a hash of the text."""
+def lines(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """``doc_id, version, hashes, sizes, proofs``: line hashes and bytes of each text, and of long lines another
+    hash (0 for others); version is a hash of the text."""
+    proof = f"if(octet_length(u) < {least_bytes}, 0L, cast(conv(substr(md5(btrim(u, ' \\t\\r\\n')), 1, 15), 16, 10) as bigint))"
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
         .selectExpr("doc_id", "xxhash64(text) as version", f"{_units()} as units")
-        .selectExpr("doc_id", "version", "transform(units, u -> xxhash64(lower(btrim(u, ' \\t\\r\\n')))) as hashes", f"transform(units, u -> least(octet_length(u), {_MOST})) as sizes")
+        .selectExpr("doc_id", "version", "transform(units, u -> xxhash64(btrim(u, ' \\t\\r\\n'))) as hashes", "transform(units, u -> octet_length(u)) as sizes", f"transform(units, u -> {proof}) as proofs")
     )
 
 
-class _Spot:
-    """A place of the corpus as one number, so that the first of many is a plain minimum: the document, then
-    the line, then whether it is a line by itself. A long where ids and lines fit, else a decimal."""
-
-    def __init__(self, lowest: int | None, highest: int | None, longest: int | None):
-        fits = (lowest or 0) >= 0 and (highest or 0) < (1 << 37) and (longest or 0) < (1 << 24)
-        self.kind, self.base, self.shift = ("bigint", 1 << 25, 1) if fits else ("decimal(38,0)", 1 << 32, (1 << 63) + 1)
-
-    def encode(self, pos: str, alone: str) -> str:
-        number = f"cast(coalesce(cast(doc_id as decimal(20,0)) + {self.shift}, 0) as {self.kind})" if self.kind != "bigint" else f"coalesce(doc_id + {self.shift}, 0)"
-        return f"cast({number} * {self.base} + {pos} * 2 + {alone} as {self.kind})"
-
-    def document(self, spot: str) -> str:
-        return f"cast(nullif(floor({spot} / {self.base}), 0) - {self.shift} as bigint)" if self.kind != "bigint" else f"nullif({spot} div {self.base}, 0) - {self.shift}"
-
-    def line(self, spot: str) -> str:
-        return f"cast(({spot} % {self.base}) div 2 as int)"
-
-    def alone(self, spot: str) -> str:
-        return f"cast({spot} % 2 as int)"
-
-
-def fingerprints(cut: DataFrame, spot: _Spot, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``print, spot, around, sizes`` of each text's fingerprints.
-
-    ``around`` holds 32 bits of the hashes before and after; ``sizes`` 16 bits of bytes of the line
-    before, the one or two lines, and the line after.
+def numbered_lines(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[DataFrame, int]:
+    """:func:`lines` of each distinct document with its number ``doc``, and the base of places as numbers. ``doc``
+    is the doc_id where ids are unique and fit, else the rank by doc_id and version."""
+    cut = staged(lines(docs, least_bytes), "lines")
+    ids = cut.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.size("hashes")).alias("longest"))
+    seen = ids.agg(F.max("n").alias("n"), F.max("longest").alias("longest"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("ids"), F.count("doc_id").alias("named")).first()
+    base = 2 << max(16, int(seen["longest"] or 0).bit_length())
+    if seen["ids"] == seen["named"] and (seen["n"] or 0) <= 1 and (seen["lo"] or 0) >= 0 and (seen["hi"] or 0) < (1 << 62) // base:
+        return cut.withColumn("doc", F.col("doc_id")), base
+    ranked = row_numbers(cut.select("doc_id", "version").distinct(), F.asc_nulls_first("doc_id"), F.asc_nulls_first("version"), name="doc")
+    ranked = ranked.select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "doc")
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("version").eqNullSafe(F.col("of_version"))
+    # copies are dropped by aggregation, so that many rows of one document meet as one of each task
+    one = cut.groupBy("doc_id", "version").agg(*[F.first(c).alias(c) for c in ("hashes", "sizes", "proofs")])
+    return staged(one.join(ranked, same).drop("of", "of_version"), "lines"), base
+
+
+def fingerprints(cut: DataFrame, base: int, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """``print, spot, proof, before, after`` of each text's fingerprints.
+
+    ``spot`` is document and place as one number, so that the first of many is a plain minimum:
+    doc * base + line * 2 + whether it is a line by itself. ``proof`` verifies the print; ``before`` and
+    ``after`` are the hashes of the lines around, or null.
     """
     n = "size(hashes)"
     grams = f"if({n} >= 2, transform(sequence(0, {n} - 2), i -> xxhash64(hashes[i], hashes[i + 1])), array())"
     m = "size(grams)"
     chosen = f"if({m} > 0, filter(sequence(0, greatest({m} - 1, 0)), i -> {m} = 1 or (i > 0 and grams[i] <= grams[greatest(i - 1, 0)]) or (i < {m} - 1 and grams[i] < grams[least(i + 1, {m} - 1)])), array())"
     long = f"if({n} > 0, filter(sequence(0, greatest({n} - 1, 0)), i -> sizes[i] >= {least_bytes}), array())"
-    part = lambda at: f"if({at} >= 0 and {at} < {n}, hashes[least(greatest({at}, 0), {n} - 1)] & 4294967295L, 4294967296L)"
-    bytes_ = lambda at: f"if({at} >= 0 and {at} < {n}, cast(sizes[least(greatest({at}, 0), {n} - 1)] as bigint), 0L)"
-
-    def at(first: str, last: str) -> str:
-        before, after = f"({first} - 1)", f"({last} + 1)"
-        own = bytes_(last) if first != last else "0L"
-        sizes = f"shiftleft({bytes_(before)}, 48) | shiftleft({bytes_(first)}, 32) | shiftleft({own}, 16) | {bytes_(after)}"
-        return f"{part(before)} as before, {part(after)} as after, {sizes} as sizes"
-
-    pair = f"transform(chosen, i -> struct(grams[i] as print, {spot.encode('i', '0')} as spot, {at('i', 'i + 1')}))"
-    single = f"transform({long}, i -> struct(xxhash64(hashes[i], 1) as print, {spot.encode('i', '1')} as spot, {at('i', 'i')}))"
-    exploded = (
-        cut.selectExpr("doc_id", "hashes", "sizes", f"{grams} as grams").selectExpr("*", f"{chosen} as chosen").selectExpr(f"explode(concat({pair}, {single})) as s").selectExpr("s.print as print", "s.spot as spot", "s.before as b", "s.after as a", "s.sizes as sizes")
+    pair = f"transform(chosen, i -> struct(grams[i] as print, doc * {base} + i * 2 as spot, hashes[i] ^ shiftrightunsigned(hashes[i + 1], 7) as proof, get(hashes, i - 1) as before, get(hashes, i + 2) as after))"
+    single = f"transform({long}, i -> struct(xxhash64(hashes[i], 1) as print, doc * {base} + i * 2 + 1 as spot, proofs[i] as proof, get(hashes, i - 1) as before, get(hashes, i + 1) as after))"
+    return (
+        cut.selectExpr("doc", "hashes", "sizes", "proofs", f"{grams} as grams")
+        .selectExpr("*", f"{chosen} as chosen")
+        .selectExpr(f"explode(concat({pair}, {single})) as s")
+        .select("s.*")
     )
-    # a missing neighbour (2^32) becomes 0 with its own bit cleared: 31 bits of a hash and one that says it is there
-    side = lambda c: f"if({c} > 4294967295L, 0L, ({c} & 2147483647L) | 2147483648L)"
-    return exploded.selectExpr("print", "spot", f"shiftleft({side('b')}, 32) | {side('a')} as around", "sizes")
 
 
 def repeated_runs(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``doc_id, version, runs``: the runs of lines to delete of each text that has any, as structs lo, hi, n in order."""
-    cut = staged(lines(docs), "lines")
-    seen = cut.agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"), F.max(F.size("hashes")).alias("longest")).first()
-    versions = cut.groupBy("doc_id").agg(F.min("version").alias("version"), F.count("*").alias("n"))
-    if versions.where("n > 1").limit(1).count():
-        own = versions.withColumnRenamed("doc_id", "of").withColumnRenamed("version", "of_version").drop("n")
-        same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("version").eqNullSafe(F.col("of_version"))
-        cut = staged(cut.join(own, same).drop("of", "of_version").dropDuplicates(["doc_id"]), "lines")
-    spot = _Spot(seen["lowest"], seen["highest"], seen["longest"])
-    prints = fingerprints(cut, spot, least_bytes)
-    first = prints.groupBy("print").agg(F.min("spot").alias("first"), F.min_by("around", "spot").alias("first_around"), F.count("*").alias("n")).where("n > 1")
-    # as a table of its own, so that the join below deals both sides anew and can split a common fingerprint
-    first = staged(first.select("print", "first", "first_around"), "first")
-    found = prints.join(first, "print").where("spot <> first")
-    agree = lambda high: f"(shiftright(around, {high}) & 4294967295L) > 0 and (shiftright(around, {high}) & 4294967295L) = (shiftright(first_around, {high}) & 4294967295L)"
-    hits = found.selectExpr(
-        f"{spot.document('spot')} as doc_id", f"{spot.line('spot')} as line", f"2 - {spot.alone('spot')} as len", f"if({agree(32)}, 1, 0) as left", f"if({agree(0)}, 1, 0) as right", "sizes"
-    ).selectExpr("doc_id", "line - left as lo", "line + len - 1 + right as hi", "line", "sizes")
-    own = Window.partitionBy("doc_id").orderBy("lo", "hi")
+    """``doc_id, version, runs``: runs of repeated lines of each text that has any, as structs lo, hi in order."""
+    cut, base = numbered_lines(docs, least_bytes)
+    prints = fingerprints(cut, base, least_bytes)
+    first = prints.groupBy("print").agg(F.min("spot").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # as tables of their own, so that the joins below deal both sides anew and can split a common fingerprint
+    first = staged(first.select("print", "first"), "first")
+    found = staged(prints.join(first, "print"), "found")
+    own = found.where("spot = first").selectExpr("print", "proof as first_proof", "before as first_before", "after as first_after")
+    later = found.where("spot <> first").join(own, "print").where("proof = first_proof")
+    hits = later.selectExpr(
+        f"spot div {base} as doc", f"cast((spot % {base}) div 2 as int) as line", f"2 - cast(spot % 2 as int) as len", "if(before = first_before, 1, 0) as left", "if(after = first_after, 1, 0) as right"
+    ).selectExpr("doc", "line - left as lo", "line + len - 1 + right as hi")
+    own = Window.partitionBy("doc").orderBy("lo", "hi")
     before = F.coalesce(F.max("hi").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2))
-    marked = hits.withColumn("before", before)
-    size = lambda k, at: f"if({at} > before and {at} between lo and hi, shiftright(sizes, {k}) & {_MOST}, 0)"
-    fresh = f"{size(48, 'line - 1')} + {size(32, 'line')} + if(hi >= line + 1 and (shiftright(sizes, 16) & {_MOST}) > 0, {size(16, 'line + 1')} + {size(0, 'line + 2')}, {size(0, 'line + 1')})"
-    islands = marked.selectExpr("*", f"{fresh} as fresh").withColumn("island", F.sum(F.when(F.col("lo") > F.col("before") + 1, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = islands.groupBy("doc_id", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("fresh").alias("n")).where(F.col("n") >= least_bytes)
-    listed = runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "n"))).alias("runs"))
-    return listed.join(cut.select(F.col("doc_id").alias("of"), "version"), F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
+    islands = hits.withColumn("fresh", F.when(F.col("lo") > before + 1, 1).otherwise(0)).withColumn("island", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = islands.groupBy("doc", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    listed = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("found"))
+    joined = listed.join(cut.select(F.col("doc").alias("of"), "doc_id", "version", "sizes"), F.col("doc") == F.col("of"))
+    long_enough = f"filter(found, r -> aggregate(slice(sizes, r.lo + 1, r.hi - r.lo + 1), 0L, (t, x) -> t + x) >= {least_bytes})"
+    return joined.selectExpr("doc_id", "version", f"{long_enough} as runs").where("size(runs) > 0")
 
 
 def line_dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -157,9 +137,10 @@ def line_dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     start, end = "if(j = 0, 0, runs[j - 1].hi + 1)", "if(j = size(runs), size(units), runs[j].lo)"
     pieces = f"array_join(flatten(transform(sequence(0, size(runs)), j -> slice(units, {start} + 1, greatest({end} - ({start}), 0)))), '')"
     kept = f"element_at(transform(array({_units()}), units -> {pieces}), 1)"
-    return joined.selectExpr(
+    cleaned = joined.selectExpr("doc_id", "text as whole", "runs", f"case when runs is null then text else {kept} end as text")
+    return cleaned.selectExpr(
         "doc_id",
-        f"case when runs is null then text else {kept} end as text",
+        "text",
         "cast(if(runs is null, 0, aggregate(runs, 0, (a, r) -> a + r.hi - r.lo + 1)) as int) as n_lines_deleted",
-        "if(runs is null, 0L, aggregate(runs, 0L, (a, r) -> a + r.n)) as bytes_deleted",
+        "if(runs is null, 0L, cast(octet_length(whole) - octet_length(text) as bigint)) as bytes_deleted",
     )

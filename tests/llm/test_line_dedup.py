@@ -9,7 +9,11 @@ SCHEMA = "doc_id long, text string"
 
 
 def cut(text):
-    return [u for u in re.split(L.CUT, text or "") if u]
+    """The lines by the docstring's words, a piece at a time."""
+    out = re.split(f"(?<=\\n)|(?<=[.!?{L.PICKED}] )", text or "")
+    for least, after in ((L.LONG_BYTES, f"(?<=[{L.MORE}] )"), (2 * L.LONG_BYTES, "(?<= )")):
+        out = [p for u in out for p in (re.split(after, u) if len(u.encode()) >= least else [u])]
+    return [u for u in out if u]
 
 
 def weight(unit):
@@ -39,7 +43,7 @@ def brute(docs, least=L.LEAST_BYTES):
     seen, result = {}, {}
     for doc, text in sorted(docs):
         units = cut(text)
-        keys = [u.strip(" \t\r\n").lower() for u in units]
+        keys = [u.strip(" \t\r\n") for u in units]
         covered = set()
         for i in range(len(keys) - 1):
             gram = (keys[i], keys[i + 1])
@@ -98,9 +102,9 @@ def test_odd_rows(spark):
 
 def test_wide_ids_control_characters_and_other_texts_of_one_id(spark):
     a = "First sentence of some length here. Second sentence that is longer than the first. Third sentence closes the passage with many more words in it, so that it is long enough. "
-    rows = [(-5, a + "own one."), (1 << 60, "Lead in. " + a + "own two."), (7, "\x01" + a + "own three."), (7, "other text")]
+    rows = [(-5, a + "mine one."), (1 << 60, "Lead in. " + a + "yours two."), (7, "\x01" + a + "ours three."), (7, "other text")]
     got = sorted((r["doc_id"], r["text"]) for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert got[0] == (-5, rows[0][1]) and (1 << 60, "Lead in. own two.") in got and (7, "other text") in got
+    assert got[0] == (-5, rows[0][1]) and (1 << 60, "Lead in. yours two.") in got and (7, "other text") in got
 
 
 def test_passages_that_begin_and_end_mid_sentence(spark):
