@@ -1,20 +1,18 @@
 """Repeated runs of lines, found by winnowing over line hashes; DataFrame and SQL functions only.
 
-A text is cut after every newline, after every sentence end followed by a space, and after every word
-that ends in a letter of ``PICKED`` and is followed by a space; these units, a few words each, are its
-lines here. A line of at least ``LONG_BYTES`` is cut further after words that end in a letter of
-``MORE``, and what is still twice as long after every space. So two texts that share a passage cut it
-alike but for one line at either end, wherever their sentences begin and end. Every two lines in a row
-are hashed, and the smaller hash of every two neighbouring pairs (the later of equals) is a fingerprint:
-two texts that share three lines in a row share a fingerprint of them. A line of at least
-``least_bytes`` is a fingerprint by itself.
-
-Each fingerprint is joined to its first occurrence, by document and position. Fingerprints within a
-shared run leave no gap, and at most one line at either end is missing; the hashes of those neighbours
-travel with the fingerprint, so matches are extended both ways. A fingerprint is 64 bits and is verified
-by 64 others that are computed from the same lines with another seed, a neighbour by 64. Runs of
-covered lines with at least ``least_bytes`` are deleted, each from every text but the first that holds
-it. Lines are compared without the white space at their ends and with letter case.
+A text is cut after every newline, and where a space follows after full stops and after words that end in a
+letter of ``PICKED``. A line of at least 96 bytes is cut further by the rules of ``FURTHER``, the last of which
+is every space. So two texts that share a passage cut it alike but for one line at either end, wherever
+their sentences begin and end; lines have about four words. Every two lines in a row are hashed, and the
+smaller hash of every two neighbouring pairs (the later of equals) is a fingerprint: two texts that share
+three lines in a row share a fingerprint of them. A line of at least ``least_bytes`` is a fingerprint by itself.
+
+Each fingerprint is joined to its first occurrence, by document and position. Fingerprints within a shared
+run leave no gap, and at most one line at either end is missing; the hashes of those neighbours travel with
+the fingerprint, so matches are extended both ways. A fingerprint is 64 bits and is verified by 64 others
+that are computed from the same lines in another way, a neighbour by 64. Runs of covered lines with at
+least ``least_bytes`` are deleted, each from every text but the first that holds it. Lines are compared
+with letter case, without the spaces (before a newline, white space) at their ends.
 
 A fingerprint that very many texts hold is summed map-side to its first occurrence, and the join
 back can be split at it; what follows is by document.
@@ -32,38 +30,42 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import row_numbers, staged
 
 LEAST_BYTES = 120
-#: Letters that end a line where a space follows, and those that cut a long line further.
-PICKED = "sSnN"
-MORE = "eEtTrRaA"
-LONG_BYTES = 128
+#: What ends a line where a space follows, and the rules for lines of so many bytes.
+PICKED = ".nN"
+FURTHER = ((96, "(?<=[!?sStTrR] )"), (128, "(?<=[a-mA-M] )"), (384, "(?<= )"))
 
 
-def _marked(text: str, ends: list[str]) -> str:
-    """``text`` split after each of ``ends``; cuts are marked by a control character that the text doesn't have."""
-    marked = text
-    for end in ends:
-        marked = f"replace({marked}, {end}, concat({end}, char(1)))"
-    return f"split({marked}, char(1))"
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def _units(text: str = "text") -> str:
-    """The lines of a text, which concatenate to it."""
-    ends = ["'. '", "'! '", "'? '", *(f"'{c} '" for c in PICKED), r"'\n'"]
-    by_pattern = f"split(coalesce({text}, ''), '(?<=\\\\n)|(?<=[.!?{PICKED}] )')"
-    whole = f"if(contains({text}, char(1)), {by_pattern}, {_marked(f'coalesce({text}, ' + chr(39) * 2 + ')', ends)})"
-    for least, apart in ((LONG_BYTES, f"(?<=[{MORE}] )"), (2 * LONG_BYTES, "(?<= )")):
-        whole = f"flatten(transform({whole}, u -> if(octet_length(u) < {least}, array(u), split(u, '{apart}'))))"
-    return f"filter({whole}, u -> u <> '')"
+    """The lines of a text, which concatenate to it. First cuts are marked by a control character and split there;
+    a text that has that character itself is split by pattern."""
+    marked = f"coalesce({text}, '')"
+    for end in (*(f"'{c} '" for c in PICKED), r"'\n'"):
+        marked = f"replace({marked}, {end}, concat({end}, char(1)))"
+    by_pattern = f"split(coalesce({text}, ''), '(?<=\\\\n)|(?<=[{PICKED}] )')"
+    whole = f"if(contains({text}, char(1)), {by_pattern}, split({marked}, char(1)))"
+    cut = "u"
+    for least, apart in FURTHER:
+        again = f"split(u, '{apart}')"
+        cut = f"if(octet_length(u) < {least}, array(u), {again})" if cut == "u" else f"flatten(transform({cut}, u -> if(octet_length(u) < {least}, array(u), {again})))"
+    long = f"if(octet_length(u) < {FURTHER[0][0]}, array(u), {cut})"
+    return f"filter({_let('w', whole, f'if(exists(w, u -> octet_length(u) >= {FURTHER[0][0]}), flatten(transform(w, u -> {long})), w)')}, u -> u <> '')"
 
 
 def lines(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``doc_id, version, hashes, sizes, proofs``: line hashes and bytes of each text, and of long lines another
-    hash (0 for others); version is a hash of the text."""
-    proof = f"if(octet_length(u) < {least_bytes}, 0L, cast(conv(substr(md5(btrim(u, ' \\t\\r\\n')), 1, 15), 16, 10) as bigint))"
+    """``doc_id, version, hashes, sizes, proofs``: line hashes and bytes of each text, and where any line is
+    long another hash of long lines (0 for others); version is a hash of the text."""
+    clean = "if(endswith(u, '\\n'), btrim(u, ' \\t\\r\\n'), trim(u))"
+    proof = f"if(octet_length(u) < {least_bytes}, 0L, cast(conv(substr(md5({clean}), 1, 15), 16, 10) as bigint))"
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
         .selectExpr("doc_id", "xxhash64(text) as version", f"{_units()} as units")
-        .selectExpr("doc_id", "version", "transform(units, u -> xxhash64(btrim(u, ' \\t\\r\\n'))) as hashes", "transform(units, u -> octet_length(u)) as sizes", f"transform(units, u -> {proof}) as proofs")
+        .selectExpr("doc_id", "version", f"transform(units, u -> xxhash64({clean})) as hashes", "transform(units, u -> octet_length(u)) as sizes", "units")
+        .selectExpr("doc_id", "version", "hashes", "sizes", f"if(array_max(sizes) >= {least_bytes}, transform(units, u -> {proof}), array()) as proofs")
     )
 
 
@@ -92,14 +94,17 @@ def fingerprints(cut: DataFrame, base: int, least_bytes: int = LEAST_BYTES) -> D
     ``after`` are the hashes of the lines around, or null.
     """
     n = "size(hashes)"
-    grams = f"if({n} >= 2, transform(sequence(0, {n} - 2), i -> xxhash64(hashes[i], hashes[i + 1])), array())"
+    grams = f"if({n} >= 2, zip_with(slice(hashes, 1, {n} - 1), slice(hashes, 2, {n} - 1), (a, b) -> xxhash64(a, b)), array())"
     m = "size(grams)"
-    chosen = f"if({m} > 0, filter(sequence(0, greatest({m} - 1, 0)), i -> {m} = 1 or (i > 0 and grams[i] <= grams[greatest(i - 1, 0)]) or (i < {m} - 1 and grams[i] < grams[least(i + 1, {m} - 1)])), array())"
-    long = f"if({n} > 0, filter(sequence(0, greatest({n} - 1, 0)), i -> sizes[i] >= {least_bytes}), array())"
+    minima = f"if({m} < 3, array(array_min(grams)), slice(zip_with(grams, slice(grams, 2, {m} - 1), (a, b) -> least(a, b)), 1, {m} - 1))"
+    own = "x = get(minima, i) or x = get(minima, i - 1)"
+    chosen = f"filter(transform(grams, (x, i) -> if(({own}) and not (x <=> get(grams, i + 1)), i, -1)), i -> i >= 0)"
+    long = f"if(array_max(sizes) >= {least_bytes}, filter(sequence(0, {n} - 1), i -> sizes[i] >= {least_bytes}), array())"
     pair = f"transform(chosen, i -> struct(grams[i] as print, doc * {base} + i * 2 as spot, hashes[i] ^ shiftrightunsigned(hashes[i + 1], 7) as proof, get(hashes, i - 1) as before, get(hashes, i + 2) as after))"
     single = f"transform({long}, i -> struct(xxhash64(hashes[i], 1) as print, doc * {base} + i * 2 + 1 as spot, proofs[i] as proof, get(hashes, i - 1) as before, get(hashes, i + 1) as after))"
     return (
         cut.selectExpr("doc", "hashes", "sizes", "proofs", f"{grams} as grams")
+        .selectExpr("*", f"{minima} as minima")
         .selectExpr("*", f"{chosen} as chosen")
         .selectExpr(f"explode(concat({pair}, {single})) as s")
         .select("s.*")

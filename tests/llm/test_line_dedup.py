@@ -10,8 +10,8 @@ SCHEMA = "doc_id long, text string"
 
 def cut(text):
     """The lines by the docstring's words, a piece at a time."""
-    out = re.split(f"(?<=\\n)|(?<=[.!?{L.PICKED}] )", text or "")
-    for least, after in ((L.LONG_BYTES, f"(?<=[{L.MORE}] )"), (2 * L.LONG_BYTES, "(?<= )")):
+    out = re.split(f"(?<=\\n)|(?<=[{L.PICKED}] )", text or "")
+    for least, after in L.FURTHER:
         out = [p for u in out for p in (re.split(after, u) if len(u.encode()) >= least else [u])]
     return [u for u in out if u]
 
@@ -76,10 +76,17 @@ def test_against_brute_force(spark):
     docs = list(enumerate(rng_texts()))
     got = {r["doc_id"]: r["text"] for r in L.line_dedup(spark.createDataFrame(docs, SCHEMA)).collect()}
     want = brute(docs)
-    wrong = [d for d in want if got[d] != want[d]]
-    # runs of just two lines need not have a fingerprint of their own, so a few texts may keep one more line
-    assert len(wrong) <= 3 and sum(want[d] != t for d, t in docs) > 20
-    assert all(len(got[d]) >= len(want[d]) for d in want)
+    texts, fewer = dict(docs), 0
+    for d, text in want.items():
+        # at most one line at either end of a run may be missed, and nothing else be deleted
+        at, left = 0, cut(got[d])
+        for line in cut(text):
+            while left[at] != line:
+                at, fewer = at + 1, fewer + 1
+            at += 1
+        fewer += len(left) - at
+    runs = sum(want[d] != t for d, t in texts.items())
+    assert runs > 20 and fewer <= runs and sum(got[d] != t for d, t in texts.items()) > 0.9 * runs
 
 
 def test_every_long_shared_passage_goes(spark):
@@ -102,9 +109,9 @@ def test_odd_rows(spark):
 
 def test_wide_ids_control_characters_and_other_texts_of_one_id(spark):
     a = "First sentence of some length here. Second sentence that is longer than the first. Third sentence closes the passage with many more words in it, so that it is long enough. "
-    rows = [(-5, a + "mine one."), (1 << 60, "Lead in. " + a + "yours two."), (7, "\x01" + a + "ours three."), (7, "other text")]
+    rows = [(-5, a + "a one."), (1 << 60, "Lead in. " + a + "the two."), (7, "\x01" + a + "our three."), (7, "other text")]
     got = sorted((r["doc_id"], r["text"]) for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert got[0] == (-5, rows[0][1]) and (1 << 60, "Lead in. yours two.") in got and (7, "other text") in got
+    assert got[0] == (-5, rows[0][1]) and (1 << 60, "Lead in. the two.") in got and (7, "other text") in got
 
 
 def test_passages_that_begin_and_end_mid_sentence(spark):
@@ -125,7 +132,7 @@ def test_passages_that_begin_and_end_mid_sentence(spark):
             before, after = texts[2 * k + 1].split(passage + " ")
             assert later["text"].startswith(before) and later["text"].endswith(after)
             left = len(later["text"]) - len(before) - len(after)
-            assert left < 2 * L.LONG_BYTES and later["bytes_deleted"] == len(texts[2 * k + 1].encode()) - len(later["text"].encode())
+            assert left < 2 * 96 and later["bytes_deleted"] == len(texts[2 * k + 1].encode()) - len(later["text"].encode())
 
 
 def test_lines_concatenate_to_the_text(spark):
