@@ -9,8 +9,8 @@ three lines in a row share a fingerprint of them. A line of at least ``least_byt
 
 Each fingerprint is joined to its first occurrence, by document and position. Fingerprints within a shared
 run leave no gap, and at most one line at either end is missing; the hashes of those neighbours travel with
-the fingerprint, so matches are extended both ways. A fingerprint is 64 bits and is verified by 64 others
-that are computed from the same lines in another way, a neighbour by 64. Runs of covered lines with at
+the fingerprint, so matches are extended both ways. A fingerprint is 64 bits and is verified by 31 others
+and a sign that are computed from the same lines in another way, a neighbour by 64. Runs of covered lines with at
 least ``least_bytes`` are deleted, each from every text but the first that holds it. Lines are compared
 with letter case, without the spaces (before a newline, white space) at their ends.
 
@@ -31,7 +31,7 @@ from siftwell.llm.common import row_numbers, staged
 
 LEAST_BYTES = 120
 #: What ends a line where a space follows, and the rules for lines of so many bytes.
-PICKED = ".nN"
+PICKED = ".n"
 FURTHER = ((96, "(?<=[!?sStTrR] )"), (128, "(?<=[a-mA-M] )"), (384, "(?<= )"))
 
 
@@ -53,7 +53,7 @@ def _units(text: str = "text") -> str:
         again = f"split(u, '{apart}')"
         cut = f"if(octet_length(u) < {least}, array(u), {again})" if cut == "u" else f"flatten(transform({cut}, u -> if(octet_length(u) < {least}, array(u), {again})))"
     long = f"if(octet_length(u) < {FURTHER[0][0]}, array(u), {cut})"
-    return f"filter({_let('w', whole, f'if(exists(w, u -> octet_length(u) >= {FURTHER[0][0]}), flatten(transform(w, u -> {long})), w)')}, u -> u <> '')"
+    return f"array_remove({_let('w', whole, f'if(exists(w, u -> octet_length(u) >= {FURTHER[0][0]}), flatten(transform(w, u -> {long})), w)')}, '')"
 
 
 def lines(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -100,10 +100,10 @@ def fingerprints(cut: DataFrame, base: int, least_bytes: int = LEAST_BYTES) -> D
     own = "x = get(minima, i) or x = get(minima, i - 1)"
     chosen = f"filter(transform(grams, (x, i) -> if(({own}) and not (x <=> get(grams, i + 1)), i, -1)), i -> i >= 0)"
     long = f"if(array_max(sizes) >= {least_bytes}, filter(sequence(0, {n} - 1), i -> sizes[i] >= {least_bytes}), array())"
-    pair = f"transform(chosen, i -> struct(grams[i] as print, doc * {base} + i * 2 as spot, hashes[i] ^ shiftrightunsigned(hashes[i + 1], 7) as proof, get(hashes, i - 1) as before, get(hashes, i + 2) as after))"
-    single = f"transform({long}, i -> struct(xxhash64(hashes[i], 1) as print, doc * {base} + i * 2 + 1 as spot, proofs[i] as proof, get(hashes, i - 1) as before, get(hashes, i + 1) as after))"
+    pair = f"transform(chosen, i -> struct(grams[i] as print, place + i * 2 as spot, cast((hashes[i] ^ shiftrightunsigned(hashes[i + 1], 7)) % 2147483647L as int) as proof, get(hashes, i - 1) as before, get(hashes, i + 2) as after))"
+    single = f"transform({long}, i -> struct(xxhash64(hashes[i], 1) as print, place + i * 2 + 1 as spot, cast(proofs[i] % 2147483647L as int) as proof, get(hashes, i - 1) as before, get(hashes, i + 1) as after))"
     return (
-        cut.selectExpr("doc", "hashes", "sizes", "proofs", f"{grams} as grams")
+        cut.selectExpr(f"doc * {base} as place", "hashes", "sizes", "proofs", f"{grams} as grams")
         .selectExpr("*", f"{minima} as minima")
         .selectExpr("*", f"{chosen} as chosen")
         .selectExpr(f"explode(concat({pair}, {single})) as s")
