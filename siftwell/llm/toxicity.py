@@ -5,14 +5,15 @@ hold and others don't. Of a word of a text, each run of letters and the word wit
 inside it are matched, and the best match counts. Matching is by walking the trie and the word's Levenshtein
 automaton together, so misspelled terms within the term's distance are found; a term of at least
 ``FUZZY_FROM`` letters allows one edit, of ``SWAP_FROM`` also two neighbours swapped, of ``TWO_FROM`` two
-edits; a shorter one and a stem allow none, but the learned words under a stem are matched like terms. Around each hit a window of
+edits; a shorter one and a stem allow none, but the learned words under a stem are matched like terms. Words
+whose letters as a set rule out every term are passed over without a walk. Around each hit a window of
 words tells quotation from abuse: quotation marks, reporting words, the share of other hits, and
 the learned weights of the window's words. Hits and windows are summed to a text's features, and a
 logistic model fitted on labelled texts gives the score.
 
 Labels are learned only from training rows (crc32 of the id as text, modulo 5, is not 0), and from at
-most ``MOST_LABELLED`` of them, chosen by a hash of their ids; labels, language, source and id are
-never inputs of a score.
+most ``MOST_LABELLED`` of them, chosen by a hash of their ids; of those, every term that passes the weight
+test is in the lexicon. Labels, language, source and id are never inputs of a score.
 
 Defined results: null text is empty; empty texts get the score of a text without hits; a null
 doc_id is training text that no label names; rows that repeat are scored each for itself; without any
@@ -24,6 +25,8 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,6 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import Words, bounded_sample, slices, staged, worker_cache
 
 MOST_LABELLED = 20_000
-MOST_TERMS = 512
 FUZZY_FROM = 4
 SWAP_FROM = 5
 TWO_FROM = 8
@@ -70,97 +72,207 @@ def forms(word: bytes) -> list[str]:
     return [*runs, *([inner.group()] if inner and runs and inner.group() not in runs else [])]
 
 
-def _deletions(word: str) -> set[str]:
-    """The word with up to two letters left out."""
-    one = {word[:i] + word[i + 1 :] for i in range(len(word))}
-    return {word} | one | {x[:i] + x[i + 1 :] for x in one for i in range(len(x))}
-
-
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        after = [i + 1]
-        for j, y in enumerate(b):
-            after.append(min(after[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
-        row = after
-    return row[-1]
+# -- the lexicon --------------------------------------------------------------------------------
 
 
-# -- the lexicon --------------------------------------------------------------------------------
+class Automaton:
+    """The Levenshtein automaton of a word: states are the numbers of its letters that may be used up, as bits,
+    for each number of edits. ``swaps`` lets two neighbours change places as one edit."""
+
+    def __init__(self, word: str, edits: int, swaps: bool):
+        self.size, self.edits, self.swaps = len(word), edits, swaps
+        self.full = (2 << len(word)) - 1
+        self.places: dict[str, int] = {}
+        for i, letter in enumerate(word):
+            self.places[letter] = self.places.get(letter, 0) | 1 << i
+        self.start = tuple((2 << e) - 1 & self.full for e in range(edits + 1))
+
+    def step(self, states: tuple, letter: str, older: tuple | None, last: str) -> tuple:
+        """The states after ``letter``; ``older`` are those before ``last``, the letter before it."""
+        here = self.places.get(letter, 0)
+        now = (states[0] & here) << 1
+        out = [now]
+        swap = here & self.places.get(last, 0) >> 1 if self.swaps and older is not None else 0
+        for e in range(1, self.edits + 1):
+            one = states[e - 1]
+            now = ((states[e] & here) << 1 | one << 1 | one | now << 1 | (((older[e - 1] & swap) << 2) if swap else 0)) & self.full
+            out.append(now)
+        return tuple(out)
+
+    def accepted(self, states: tuple) -> int | None:
+        """The fewest edits that end at the word's end."""
+        for e, bits in enumerate(states):
+            if bits >> self.size & 1:
+                return e
+        return None
+
+
+class Tier:
+    """A trie of the terms that allow as many edits; :meth:`find` intersects it with a word's automaton."""
+
+    def __init__(self, terms: list[str], edits: int, swaps: bool):
+        self.edits, self.swaps, self.root = edits, swaps, {}
+        for term in sorted(terms):
+            node = self.root
+            for letter in term:
+                node = node.setdefault(letter, {})
+            node["end"] = term
+        self.sizes = range(min(map(len, terms), default=1) - edits, max(map(len, terms), default=-9) + edits + 1)
+
+    def find(self, word: str) -> list[tuple[int, str]]:
+        """(edits, term) of each term within the distance."""
+        if len(word) not in self.sizes:
+            return []
+        automaton, found = Automaton(word, self.edits, self.swaps), []
+        stack = [(self.root, automaton.start, None, "")]
+        while stack:
+            node, states, older, last = stack.pop()
+            for letter, child in node.items():
+                if letter == "end":
+                    e = automaton.accepted(states)
+                    if e is not None:
+                        found.append((e, child))
+                    continue
+                after = automaton.step(states, letter, older, last)
+                if after[-1]:
+                    stack.append((child, after, states, letter))
+        return found
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_IS_LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+
+
+def _hashes(rows: np.ndarray, less: int) -> Iterator[np.ndarray]:
+    """Polynomial hashes of words of one length (a row of code points each) with up to ``less`` letters left out."""
+    n = rows.shape[1]
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)]))
+    upto = np.zeros((n + 1, len(rows)), np.uint64)
+    for i in range(n):
+        upto[i + 1] = upto[i] * _BASE + rows[:, i] + np.uint64(1)
+    yield upto[n]
+    if less < 1:
+        return
+    rest = [upto[n] - upto[j + 1] * power[n - 1 - j] for j in range(n)]
+    for j in range(n):
+        yield upto[j] * power[n - 1 - j] + rest[j]
+        for i in range(j if less > 1 else 0):
+            yield ((upto[i] - upto[i + 1]) * power[j - 1 - i] + upto[j]) * power[n - 1 - j] + rest[j]
+
+
+def _by_length(points: np.ndarray, start: np.ndarray, size: np.ndarray, sizes: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of each length in ``sizes``: their places and a row of code points for each."""
+    order = np.argsort(size, kind="stable")
+    cut = np.searchsorted(size[order], np.arange(sizes.start, sizes.stop + 1))
+    for k, n in enumerate(sizes):
+        own = order[cut[k] : cut[k + 1]]
+        if len(own):
+            yield own, points[start[own][:, None] + np.arange(n)].astype(np.uint64)
 
 
 class Lexicon:
-    """Tries of terms with weights; :meth:`find` intersects them with a word's Levenshtein automaton.
+    """Terms and stems with weights; ``family`` holds words that a stem covers, which only misspellings need."""
 
-    ``family`` holds words that a stem covers, which only misspellings need; ``wide`` allows swapped
-    neighbours and, in long terms, two edits.
-    """
-
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], family: dict[str, float] | None = None, wide: bool = False):
-        self.terms, self.stems, self.wide = terms, stems, wide
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], family: dict[str, float] | None = None):
+        self.terms, self.stems = terms, stems
         self.stem_sizes = sorted({len(s) for s in stems})
         self.fuzzy = {t: w for t, w in {**(family or {}), **terms}.items() if len(t) >= FUZZY_FROM}
-        self.root: dict = {}
-        for term in sorted(self.fuzzy):
-            node = self.root
-            for letter in term:
-                node = node.setdefault(letter, {})
-            node["end"] = term
-        self.longest = max(map(len, self.fuzzy), default=0)
-        self.without: dict[str, list[str]] = {}
-        for term in sorted(t for t in self.fuzzy if wide and len(t) >= TWO_FROM):
-            for x in _deletions(term):
-                self.without.setdefault(x, []).append(term)
-
-    def find(self, word: str) -> tuple[str, int, float] | None:
-        """The best match as (kind, edits, weight): fewest edits, then the heaviest term.
-
-        The automaton of one edit is run over the trie state by state: along the path that the word
-        spells, each node is left by every single edit, after which the rest must be spelled exactly.
-        """
+        self.tiers = [Tier([t for t in self.fuzzy if self._rule(t) == rule], *rule) for rule in ((1, False), (1, True), (2, True))]
+        # what is left of each term when as many letters go as it allows edits, by hash; of stems, all
+        self.names = [*self.fuzzy, *(t for t in terms if t not in self.fuzzy), *stems]
+        at, left = [], []
+        for k, name in enumerate(self.names):
+            less = self._rule(name)[0] if k < len(self.fuzzy) else 0
+            own = np.unique(np.concatenate(list(_hashes(np.array([list(map(ord, name))], np.uint64), less))))
+            left.append(own)
+            at.append(np.full(len(own), k))
+        left, at = np.concatenate([*left, np.zeros(0, np.uint64)]), np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(left, kind="stable")
+        self.left, self.at = left[order], at[order]
+        self.longest = max(map(len, self.names), default=0)
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self.left >> np.uint64(42)] = True
+
+    @staticmethod
+    def _rule(term: str) -> tuple[int, bool]:
+        """Edits that a term allows, and whether swapped neighbours are one."""
+        return 2 if len(term) >= TWO_FROM else 1, len(term) >= SWAP_FROM
+
+    def find(self, word: str, tiers: list[Tier] | None = None) -> tuple[str, int, float] | None:
+        """The best match as (kind, edits, weight): fewest edits, then the heaviest term."""
         exact = [("term", 0, self.terms[word])] if word in self.terms else []
         exact += [("stem", 0, self.stems[word[:n]]) for n in self.stem_sizes if word[:n] in self.stems]
         if exact:
             return max(exact, key=lambda x: x[2])
-        found: list[str] = []
-        node, at, size = self.root, 0, len(word)
-        while node is not None:
-            if at < size:
-                self._spell(node, word, at + 1, size, found)  # a letter too many
-            for letter, child in node.items():
-                if letter == "end":
-                    continue
-                self._spell(child, word, at, size, found)  # a letter too few
-                if at < size and letter != word[at]:
-                    self._spell(child, word, at + 1, size, found)  # another letter
-            if at == size:
-                break
-            node, at = node.get(word[at]), at + 1
-        if found:
-            return "term", 1, max(self.fuzzy[t] for t in found)
-        return self._further(word) if self.wide and size <= self.longest + 2 else None
-
-    def _further(self, word: str) -> tuple[str, int, float] | None:
-        """Terms with two neighbours swapped, which count as one edit, or else long ones within two edits."""
-        if len(word) >= SWAP_FROM:
-            swapped = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} & self.fuzzy.keys()
-            if swapped:
-                return "term", 1, max(self.fuzzy[t] for t in swapped)
-        if not self.without or len(word) < TWO_FROM - 2:
+        found = [x for tier in (self.tiers if tiers is None else tiers) for x in tier.find(word)]
+        if not found:
             return None
-        near = {t for x in _deletions(word) for t in self.without.get(x, ())}
-        weights = [self.fuzzy[t] for t in near if _distance(word, t) <= 2]
-        return ("term", 2, max(weights)) if weights else None
-
-    @staticmethod
-    def _spell(node: dict, word: str, at: int, size: int, found: list[str]) -> None:
-        while at < size:
-            node = node.get(word[at])
-            if node is None:
-                return
-            at += 1
-        if "end" in node:
-            found.append(node["end"])
+        edits = min(e for e, _ in found)
+        return "term", edits, max(self.fuzzy[t] for e, t in found if e == edits)
+
+    def near(self, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> dict[int, set[str]]:
+        """Words that may match, with the terms and stems they may match: some letters left out, both are the same.
+        Words are ranges of code points. Every match is among these, as an edit is no more than a letter
+        left out of either side."""
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def look(own: np.ndarray, hashes: np.ndarray) -> None:
+            may = np.flatnonzero(self.seen[hashes >> np.uint64(42)])
+            lo, hi = (np.searchsorted(self.left, hashes[may], side) for side in ("left", "right"))
+            n = hi - lo
+            if n.any():
+                pairs.append((np.repeat(own[may], n), self.at[np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())]))
+
+        for own, rows in _by_length(points, start, size, range(1, self.longest + 3)):
+            for hashes in _hashes(rows, 1 if rows.shape[1] < TWO_FROM - 2 else 2):
+                look(own, hashes)
+        for n in self.stem_sizes:
+            long = np.flatnonzero(size > n)
+            look(long, next(_hashes(points[start[long][:, None] + np.arange(n)].astype(np.uint64), 0)))
+        out: dict[int, set[str]] = {}
+        for words, names in pairs:
+            for w, k in zip(words.tolist(), names.tolist()):
+                out.setdefault(w, set()).add(self.names[k])
+        return out
+
+    def find_all(self, words: list[bytes]) -> dict[int, tuple[str, int, float]]:
+        """The best match of each word that has one, among its forms: :meth:`find` over the trie of the terms it is near."""
+        points = np.frombuffer(b" ".join([*words, b""]).decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
+        stop = np.flatnonzero(points == 32)
+        start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
+        letter = _IS_LETTER[np.minimum(points, 0xFFFF)]
+        place = np.arange(len(points))
+        if not len(stop):
+            return {}
+        first = np.minimum.reduceat(np.where(letter, place, len(points)), start)
+        last = np.maximum.reduceat(np.where(letter, place, -1), start)
+        size = last + 1 - first
+        letters = np.add.reduceat(letter.astype(np.int64), start)
+        digit = (points >= 48) & (points <= 57)
+        odd = (letters > 0) & ((letters != size) | np.add.reduceat(digit.astype(np.int64), start).astype(bool))
+        plain = np.flatnonzero((letters > 0) & ~odd)
+        best: dict[int, tuple[str, int, float]] = {}
+
+        def judge(word: int, form: str, names: set[str]) -> None:
+            own = [Tier([t for t in names if t in self.fuzzy and self._rule(t) == rule], *rule) for rule in ((1, False), (1, True), (2, True))]
+            got = self.find(form, own)
+            if got and (word not in best or (got[1], -got[2]) < (best[word][1], -best[word][2])):
+                best[word] = got
+
+        for k, names in self.near(points, first[plain], size[plain]).items():
+            i = plain[k]
+            judge(int(i), "".join(map(chr, points[first[i] : last[i] + 1])), names)
+        # words with digits or symbols inside: each run of letters, and the whole
+        of, text = [], []
+        for i in np.flatnonzero(odd).tolist():
+            for form in forms(words[i]):
+                of.append(i)
+                text.append(form)
+        sizes = np.fromiter(map(len, text), np.int64, len(text))
+        joined = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+        for k, names in self.near(joined, np.cumsum(sizes) - sizes, sizes).items():
+            judge(of[k], text[k], names)
+        return best
 
 
 # -- learning the lexicon -----------------------------------------------------------------------
@@ -199,42 +311,42 @@ def _frequencies(only):
     return run
 
 
-def _counts(texts: DataFrame, only, least: int, most: int) -> dict[str, int]:
-    found = texts.mapInArrow(_frequencies(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r["term"]: r["n"] for r in found.where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(most).collect()}
+def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, most_sent: int = 300_000) -> Lexicon:
+    """Terms whose presence is much likelier in toxic texts; ``toxic`` and ``clean`` have one text column.
 
-
-def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, most: int = MOST_TERMS) -> Lexicon:
-    """Terms whose presence is much likelier in toxic texts; ``toxic`` and ``clean`` have one text column."""
+    The driver gets the terms that pass the test. Terms of toxic texts are sent to the tasks that count clean
+    ones if they are no more than ``most_sent``; else all terms of clean texts are counted and joined.
+    """
     if not n_toxic:
         return Lexicon({}, {})
-    ours = _counts(toxic, None, LEAST_TEXTS, 100_000)
-    sent = toxic.sparkSession.sparkContext.broadcast(frozenset(ours))
-    theirs = _counts(clean, sent, 1, 100_000)
-    scored = []
-    for term, n in ours.items():
-        other = theirs.get(term, 0)
-        weight = math.log((n + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_clean + 1))
-        if weight >= 2.5 and n >= 6 * other:
-            scored.append((n, weight, term))
+
+    def counted(texts: DataFrame, only, name: str) -> DataFrame:
+        return texts.mapInArrow(_frequencies(only), "term string, n long").groupBy("term").agg(F.sum("n").alias(name))
+
+    ours = staged(counted(toxic, None, "n").where(F.col("n") >= LEAST_TEXTS), "terms")
+    sent = toxic.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in ours.select("term").collect())) if ours.count() <= most_sent else None
+    other = F.coalesce(F.col("m"), F.lit(0))
+    weight = F.log((F.col("n") + 0.5) / F.lit(n_toxic + 1)) - F.log((other + 0.5) / F.lit(n_clean + 1))
+    found = ours.join(counted(clean, sent, "m"), "term", "left").select("term", "n", weight.alias("weight")).where((F.col("weight") >= 2.5) & (F.col("n") >= 6 * other))
+    scored = [(r["n"], r["weight"], r["term"]) for r in found.collect()]
+    count = {term: n for n, _, term in scored}
     # words first; then the broadest beginnings that are families of words and not one word of them
     scored.sort(key=lambda x: (x[2].endswith("*"), -x[0], -len(x[2]), x[2]))
     terms = {term: weight for _, weight, term in scored if not term.endswith("*")}
+    order = sorted(terms)
     stems: dict[str, float] = {}
     family: dict[str, float] = {}
     for n, weight, term in scored:
         name = term[:-1]
-        if not term.endswith("*") or any(name.startswith(x) for x in stems):
+        if not term.endswith("*") or any(name[:k] in stems for k in range(1, len(name) + 1)):
             continue
-        longer = [x for x in terms if x.startswith(name)]
-        if any(ours[x] >= 0.8 * n for x in longer):
+        longer = [x for x in order[bisect_left(order, name) : bisect_left(order, name + chr(0x10FFFF))] if x in terms]
+        if any(count[x] >= 0.8 * n for x in longer):
             continue
         stems[name] = weight
         for x in longer:
             family[x] = terms.pop(x)
-    terms = dict(sorted(terms.items(), key=lambda x: (-ours[x[0]], x[0]))[:most])
-    stems = dict(sorted(stems.items(), key=lambda x: (-ours[x[0] + "*"], x[0]))[:most])
-    return Lexicon(terms, stems, family, wide=True)
+    return Lexicon(terms, stems, family)
 
 
 # -- features -----------------------------------------------------------------------------------
@@ -249,29 +361,15 @@ def _bucket(word: bytes) -> int:
 
 
 class Matcher:
-    """Features of a batch of texts; verdicts on words are kept across batches."""
-
-    def __init__(self, lexicon: Lexicon, context: np.ndarray | None = None, most_cached: int = 200_000):
-        self.lexicon, self.context, self.most = lexicon, context, most_cached
-        self.memo: dict[bytes, tuple | None] = {}
+    """Features of a batch of texts."""
 
-    def verdict(self, word: bytes) -> tuple | None:
-        found = [x for x in map(self.lexicon.find, forms(word)) if x]
-        return min(found, key=lambda x: (x[1], -x[2])) if found else None
+    def __init__(self, lexicon: Lexicon, context: np.ndarray | None = None):
+        self.lexicon, self.context = lexicon, context
 
     def features(self, column: pa.Array) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
         """A row of FEATURES for each text, and (text, buckets of words around its hits) for texts with hits."""
         words = Words(column)
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        memo, hits = self.memo, {}
-        for i, word in enumerate(words.distinct):
-            if word in memo:
-                got = memo[word]
-            else:
-                got = memo[word] = self.verdict(word)
-            if got is not None:
-                hits[i] = got
+        hits = self.lexicon.find_all(words.distinct)
         out = np.zeros((len(words), len(FEATURES)))
         near: list[tuple[int, np.ndarray]] = []
         if not hits:
@@ -337,6 +435,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int
 class Model:
     def __init__(self, lexicon: Lexicon, context: np.ndarray, scale: np.ndarray, weights: np.ndarray):
         self.lexicon, self.context, self.scale, self.weights = lexicon, context, scale, weights
+        self.token = uuid.uuid4().hex  # tells models apart in a worker's cache
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         z = (features / self.scale) @ self.weights[:-1] + self.weights[-1]
@@ -406,7 +505,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        matcher = worker_cache(("matcher", id(m)), lambda: Matcher(m.lexicon, m.context))
+        matcher = worker_cache(("matcher", m.token), lambda: Matcher(m.lexicon, m.context))
         for b in (x for batch in batches for x in slices(batch, place)):
             rows, _ = matcher.features(b.column(place))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.scores(rows))], names=[*b.schema.names, name])
@@ -430,7 +529,7 @@ def _slim(chosen: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        matcher = worker_cache(("matcher", id(m)), lambda: Matcher(m.lexicon, m.context))
+        matcher = worker_cache(("matcher", m.token), lambda: Matcher(m.lexicon, m.context))
         for b in (x for batch in batches for x in slices(batch, 2)):
             rows, _ = matcher.features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m.scores(rows))], names=["doc_id", "held_out", "score"])

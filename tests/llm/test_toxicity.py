@@ -7,32 +7,71 @@ from siftwell.llm import toxicity as X
 SF = "/root/testdata/sf0.01"
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        after = [i + 1]
-        for j, y in enumerate(b):
-            after.append(min(after[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
-        row = after
-    return row[-1]
+def distance(a, b, swaps=True):
+    """Edits with swapped neighbours, none of which is edited again."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if swaps and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def edits(term, word):
+    """Edits from a term to a word if they are allowed for it."""
+    if len(term) < X.FUZZY_FROM:
+        return None
+    n = distance(term, word, len(term) >= X.SWAP_FROM)
+    return n if n <= (2 if len(term) >= X.TWO_FROM else 1) else None
 
 
 def test_lexicon_finds_what_edit_distance_finds():
     rng = random.Random(3)
-    terms = {"".join(rng.choice("abc") for _ in range(rng.randint(3, 9))): rng.random() for _ in range(60)}
-    stems = {"ccca": 1.0, "bab": 2.0}
-    lexicon = X.Lexicon(terms, stems)
-    for _ in range(4000):
-        word = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 10)))
-        exact = [w for t, w in terms.items() if t == word] + [w for s, w in stems.items() if word.startswith(s)]
-        near = [w for t, w in terms.items() if len(t) >= X.FUZZY_FROM and distance(t, word) == 1]
-        got = lexicon.find(word)
-        if exact:
-            assert got[1:] == (0, max(exact))
-        elif near:
-            assert got == ("term", 1, max(near))
-        else:
-            assert got is None
+    for letters in ("abc", "abcdefgé"):
+        terms = {"".join(rng.choice(letters) for _ in range(rng.randint(3, 11))): rng.random() for _ in range(60)}
+        stems = {"ccca": 1.0, "bab": 2.0}
+        lexicon, counted = X.Lexicon(terms, stems), [0, 0, 0, 0]
+        words = ["".join(rng.choice(letters + "d1") for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+        for term in terms:
+            for _ in range(20):
+                word = list(term)
+                for _ in range(rng.randint(0, 3)):
+                    at = rng.randrange(len(word) + 1)
+                    word[at : at + rng.randint(0, 2)] = reversed(word[at : at + 2]) if rng.random() < 0.3 else [rng.choice(letters)] * rng.randint(0, 1)
+                words.append("".join(word))
+        quick = lexicon.find_all([w.encode() for w in words])
+        for i, word in enumerate(words):
+            exact = [w for t, w in terms.items() if t == word] + [w for s, w in stems.items() if word.startswith(s)]
+            near = [(edits(t, word), -w) for t, w in terms.items() if edits(t, word) is not None]
+            got = lexicon.find(word)
+            if exact:
+                assert got[1:] == (0, max(exact))
+                counted[0] += 1
+            elif near:
+                e, w = min(near)
+                assert got == ("term", e, -w), word
+                counted[e] += 1
+            else:
+                assert got is None
+            runs = [x for x in map(lexicon.find, X.forms(word.encode())) if x]
+            assert quick.get(i) == (min(runs, key=lambda x: (x[1], -x[2])) if runs else None), word
+        assert min(counted[:3]) > 50
+
+
+def test_models_in_one_worker_are_told_apart():
+    a, b = (X.Model(X.Lexicon({}, {}), None, None, None) for _ in range(2))
+    assert a.token != b.token
+
+
+def test_a_lexicon_has_no_most_terms(spark):
+    frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "text string")
+    rng = random.Random(1)
+    names = ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(1500)]
+    toxic = [" ".join(names) for _ in range(6)]
+    for most_sent in (300_000, 10):
+        lexicon = X.learn_lexicon(frame(toxic), frame(["some other words"] * 40), 6, 40, most_sent)
+        assert sum(lexicon.find(n) is not None for n in names) == len(names) > 512
 
 
 def test_quotation_differs_from_abuse():
