@@ -7,7 +7,9 @@ replacement. A source whose target is e times its size and a bit takes every doc
 prefix's end is taken in part.
 
 The prefix is found without sorting a source: keys are counted in quantile bins of each source, the
-bins are prefix-summed, and only the one bin that a budget ends in is ordered by row. What follows
+bins are prefix-summed, and only the one bin that a budget ends in is ordered by row. Sources may be any
+number: their targets are found by aggregations, and tables of more than ``MOST_SENT`` of them are joined
+without a broadcast. What follows
 is a cut for each source, so the choice of a document depends on its own row and that cut alone.
 
 Defined results: null text has size 0; null source is a source, last in order; rows that repeat a
@@ -26,20 +28,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import binary_texts, staged
+from siftwell.llm.common import binary_texts, free_name, row_numbers, staged
 
 #: The weights that sources get in turn, and the most epochs of a source.
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-MOST_SOURCES = 1_000_000
+MOST_SENT = 100_000  # rows of a table of sources that is broadcast
+WINDOW = 200  # words
 
 
 def quality(words: list[bytes]) -> float:
-    """Weight of a text in [0.25, 1.25]: the share of distinct words in it, up to 200 of them counted at even steps."""
+    """Weight of a text in [0.25, 1.25]: the mean share of distinct words in its windows of 200 words, by their sizes."""
     if not words:
         return 0.25
-    seen = words if len(words) <= 200 else words[:: len(words) // 200]
-    return 0.25 + len(set(seen)) / len(seen)
+    return 0.25 + sum(len(set(words[i : i + WINDOW])) for i in range(0, len(words), WINDOW)) / len(words)
 
 
 def sample_key(doc_id: int | None, weight: float, seed: int) -> float:
@@ -49,30 +51,25 @@ def sample_key(doc_id: int | None, weight: float, seed: int) -> float:
     return -math.log(u) / weight
 
 
-def _keys(seed: int):
-    out = pa.schema([("size", pa.int64()), ("key", pa.float64())])
-
+def _keys(seed: int, size: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, keys = [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), binary_texts(b.column("text"))):
+            for doc, text in zip(b.column(0).to_pylist(), binary_texts(b.column(1))):
                 words = text.split()
                 sizes.append(len(words))
                 keys.append(sample_key(doc, quality(words), seed))
-            kept = [b.column(i) for i in range(b.num_columns)]
-            names = list(b.schema.names)
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(keys, pa.float64())], names=[*names, "__mix_size", "__mix_key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64()), pa.array(keys, pa.float64())], names=[*b.schema.names, size, key])
 
     return run
 
 
-def with_keys(docs: DataFrame, seed: int = 42, columns: Sequence[str] | None = None) -> DataFrame:
-    """``docs`` with ``__mix_size`` and ``__mix_key``; only ``columns`` are returned if given."""
+def with_keys(docs: DataFrame, seed: int, size: str, key: str) -> DataFrame:
+    """``docs``, whose first two columns are an id (long) and a text, with columns ``size`` and ``key``."""
     import pyspark.sql.types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__mix_size", T.LongType()), T.StructField("__mix_key", T.DoubleType())])
-    out = docs.mapInArrow(_keys(seed), schema)
-    return out.select(*columns, "__mix_size", "__mix_key") if columns else out
+    schema = T.StructType([*docs.schema.fields, T.StructField(size, T.LongType()), T.StructField(key, T.DoubleType())])
+    return docs.mapInArrow(_keys(seed, size, key), schema)
 
 
 def targets(sizes: list[tuple], weights: Sequence[float] = WEIGHTS, most_epochs: float = MOST_EPOCHS) -> list[tuple]:
@@ -100,71 +97,91 @@ def targets(sizes: list[tuple], weights: Sequence[float] = WEIGHTS, most_epochs:
     return [(s, n, got[i]) for i, (s, n) in enumerate(order)]
 
 
-def _bin(key: Column, bins: int) -> Column:
-    """Quantile bin of an exponential key of rate about one."""
-    return F.least(F.floor((1 - F.exp(-key)) * bins), F.lit(bins - 1)).cast("long")
+def _bin(key: Column, bins: Column) -> Column:
+    """Quantile bin of an exponential key of a rate in [0.25, 1.25]: no bin has more than five times its share."""
+    return F.least(F.floor((1 - F.exp(-key / 4)) * bins), bins - 1).cast("long")
+
+
+def planned(sums: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
+    """``source, source_size, target, epochs, budget`` of ``sums`` (source, n), for any number of sources.
+
+    As :func:`targets`, by rounds of one aggregation: with level L, sources get L times their weight,
+    those that would get more than ``most_epochs`` times their size that much; L grows until no more do.
+    """
+    ranked = staged(row_numbers(sums, F.asc_nulls_last("source"), name="place").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))), "sources")
+    total = ranked.agg(F.sum("n")).first()[0] or 0
+    capped, level = (-1, -1), 0.0
+    while True:
+        full = F.lit(level) * F.col("weight") > most_epochs * F.col("n")
+        r = ranked.agg(F.sum(F.when(full, F.col("n"))).alias("n"), F.sum(F.when(~full, F.col("weight"))).alias("w"), F.count(F.when(full, 1)).alias("k")).first()
+        now = (r["n"] or 0, r["k"])
+        if now == capped or not r["w"]:
+            break
+        capped, level = now, (total - most_epochs * now[0]) / r["w"]
+    full = F.lit(level) * F.col("weight") > most_epochs * F.col("n")
+    target = F.when(full, (most_epochs * F.col("n")).cast("double")).otherwise(F.lit(float(level)) * F.col("weight"))
+    epochs = F.when(F.col("n") > 0, F.least(F.lit(most_epochs), F.floor(F.col("target") / F.col("n") + 1e-12))).otherwise(0).cast("long")
+    out = ranked.select("source", F.col("n").alias("source_size"), target.alias("target"), "n").withColumn("epochs", epochs)
+    return out.withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("n"))).drop("n")
+
+
+def _join_sources(rows: DataFrame, table: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``table`` (of n rows, keyed by s) has on their source: broadcast if it is small, else a
+    join whose large keys can be split at run time."""
+    return rows.join(F.broadcast(table) if n <= MOST_SENT else table, F.col("source").eqNullSafe(F.col("s")), how)
 
 
-def cuts(keyed: DataFrame, weights: Sequence[float] = WEIGHTS, most_epochs: float = MOST_EPOCHS, bins: int | None = None) -> DataFrame:
-    """``source, source_size, target, epochs, cut_key, cut_id``: one row for each source.
+def cuts(keyed: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MOST_EPOCHS, bins: int | None = None) -> tuple[DataFrame, int]:
+    """``source, source_size, target, epochs, cut_key, cut_id, ...``: one row for each source, staged, and their number.
 
     ``keyed`` has doc_id, source, size, key. A document is in the fractional part when its
     (key, doc_id) is at most (cut_key, cut_id); a null cut_key takes none. ``bins`` defaults to a
-    count that grows with the rows, so that the one bin ordered by row stays small.
+    count that grows with the rows, so that the one bin of each source that is ordered by row stays small.
     """
-    spark = keyed.sparkSession
-    found = keyed.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).take(MOST_SOURCES + 1)
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    bins = bins or min(1 << 20, max(1024, max((r["rows"] for r in found), default=0) // 256))
-    plan = []
-    for source, n, target in targets([(r["source"], r["n"]) for r in found], weights, most_epochs):
-        epochs = int(min(most_epochs, math.floor(target / n + 1e-12))) if n else 0
-        plan.append((source, n, target, epochs, max(0.0, target - epochs * n)))
-    sources = spark.createDataFrame(plan, "source string, source_size long, target double, epochs long, budget double").coalesce(1)
-    binned = keyed.withColumn("bin", _bin(F.col("key"), bins))
-    sums = binned.groupBy("source", "bin").agg(F.sum("size").alias("n"))
+    sums = staged(keyed.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")), "sums")
+    seen = sums.agg(F.count("*").alias("n"), F.max("rows").alias("rows")).first()
+    n = seen["n"]
+    bins = bins or max(1024, (seen["rows"] or 0) // 256)
+    sources = staged(planned(sums.select("source", "n"), weights, most_epochs), "plan")
+    binned = keyed.withColumn("bin", _bin(F.col("key"), F.lit(bins)))
+    each = binned.groupBy("source", "bin").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     there = (
-        sums.withColumn("before", before)
-        .join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+        _join_sources(each.withColumn("before", before), sources.withColumnRenamed("source", "s"), n)
         .where("n > 0 and budget > 0 and before < budget and budget <= before + n")
         .select("s", F.col("bin").alias("cut_bin"), "before", "budget")
     )
-    within = binned.join(F.broadcast(there), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("cut_bin")))
+    there = staged(there, "bins")
+    within = _join_sources(binned, there, n).where("bin = cut_bin")
     w = Window.partitionBy("s").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = within.withColumn("sum", F.col("before") + F.sum("size").over(w)).where("sum >= budget and size > 0")
     cut = upto.groupBy("s").agg(
         F.min_by(F.struct("key", "doc_id", (F.col("budget") - F.col("sum") + F.col("size")).alias("words")), "sum").alias("b"),
         F.min("bin").alias("cut_bin"),
     )
-    return sources.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
+    out = sources.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
         "source", "source_size", "target", "epochs", F.col("b.key").alias("cut_key"), F.col("b.doc_id").alias("cut_id"), F.round("b.words").cast("long").alias("cut_words"), "cut_bin", F.lit(bins).alias("bins")
     )
+    return staged(out, "cuts"), n
 
 
-def with_taken(keyed: DataFrame, cut: DataFrame) -> DataFrame:
+def with_taken(keyed: DataFrame, cut: DataFrame, n: int) -> DataFrame:
     """``keyed`` (source, size, key, doc_id and more) with ``copies``, how often the mix takes the whole
     document, and ``words``, how many words of it the mix takes once more at its source's cut."""
-    cut = cut.withColumnRenamed("source", "__s")
-    joined = keyed.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("__s")))
-    own = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")), F.col("bins") - 1).cast("long")
+    joined = _join_sources(keyed, cut.withColumnRenamed("source", "s"), n)
+    own = _bin(F.col("key"), F.col("bins"))
     id_before = F.coalesce(F.col("doc_id") < F.col("cut_id"), F.col("doc_id").isNull() & F.col("cut_id").isNotNull())
     before = (own < F.col("cut_bin")) | (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & id_before)
     at = (F.col("key") == F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id"))
     joined = joined.withColumn("copies", F.col("epochs") + F.when(F.col("cut_key").isNotNull() & before, 1).otherwise(0))
     joined = joined.withColumn("words", F.when(F.col("cut_key").isNotNull() & at, F.least("cut_words", "size")).otherwise(0))
-    return joined.drop("__s", "epochs", "cut_key", "cut_id", "cut_words", "cut_bin", "bins")
-
-
-def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
+    return joined.drop("s", "epochs", "cut_key", "cut_id", "cut_words", "cut_bin", "bins")
 
 
 def keyed_table(docs: DataFrame, seed: int = 42) -> DataFrame:
     """``doc_id, source, size, key`` for each document, staged."""
-    out = with_keys(_columns(docs), seed).select("doc_id", "source", F.col("__mix_size").alias("size"), F.col("__mix_key").alias("key"))
-    return staged(out, "keys")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
+    return staged(with_keys(chosen, seed, "size", "key").drop("text"), "keys")
 
 
 def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
@@ -174,7 +191,7 @@ def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
     meets its target to the word.
     """
     keyed = keyed_table(docs, seed)
-    out = with_taken(keyed, cuts(keyed))
+    out = with_taken(keyed, *cuts(keyed))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("words")).alias("taken"), "source", "copies", "words")
 
 
@@ -185,15 +202,12 @@ def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     Keys are recomputed beside the full rows, so texts are neither shuffled nor staged; the cuts of
     the sources are the only thing joined in.
     """
-    import pyspark.sql.types as T
-
-    keyed = keyed_table(docs, seed)
-    cut = cuts(keyed)
-    chosen = docs.select("*", F.col("doc_id").cast("long").alias("__id"), F.col("source").cast("string").alias("__source"))
-    full = with_keys(chosen, seed)
-    short = full.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__mix_size").alias("size"), F.col("__mix_key").alias("key")
-    )
+    cut, n = cuts(keyed_table(docs, seed))
+    doc, text, size, key = (free_name(docs, x) for x in ("__id", "__text", "__size", "__key"))
+    chosen = docs.select(F.col("doc_id").cast("long").alias(doc), F.col("text").alias(text), *[c for c in docs.columns if c.lower() != "text"])
+    full = with_keys(chosen, seed, size, key)
+    row = F.struct(*[F.col(text if c.lower() == "text" else c).alias(c) for c in docs.columns])
+    short = full.select(row.alias("row"), F.col(doc).alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(size).alias("size"), F.col(key).alias("key"))
     copies = F.col("copies") + F.when((F.col("words") > 0) & (F.col("words") * 2 >= F.col("size")), 1).otherwise(0)
-    taken = with_taken(short, cut).withColumn("copies", copies).where("copies > 0")
+    taken = with_taken(short, cut, n).withColumn("copies", copies).where("copies > 0")
     return taken.select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")

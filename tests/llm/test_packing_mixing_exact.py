@@ -82,6 +82,31 @@ def test_targets():
     assert M.targets([("a", 0)]) == [("a", 0, 0.0)] and M.targets([]) == []
 
 
+def test_planned_targets_equal_the_plain_ones(spark, monkeypatch):
+    rng = random.Random(3)
+    for k in (0, 1, 2, 40):
+        sizes = [(None if i == 7 else f"s{i}", rng.choice([0, 1, 10, 500, 20_000])) for i in range(k)]
+        got = {r["source"]: (r["source_size"], r["target"]) for r in M.planned(spark.createDataFrame(sizes, "source string, n long")).collect()}
+        want = {s: (n, t) for s, n, t in M.targets(sizes)}
+        assert got.keys() == want.keys() and all(got[s] == (pytest.approx(want[s][0]), pytest.approx(want[s][1])) for s in want)
+    df = docs(spark, [f"a{i} b c" for i in range(90)], lambda i: f"s{i % 30}")
+    want = sorted(map(tuple, M.mix(df).collect()))
+    monkeypatch.setattr(M, "MOST_SENT", 3)
+    assert sorted(map(tuple, M.mix(df).collect())) == want
+
+
+def test_quality_sees_every_word():
+    words = [b"w%d" % i for i in range(1000)]
+    assert M.quality(words) == 1.25 and M.quality([b"a"] * 1000) == pytest.approx(0.255) and M.quality([]) == 0.25
+    assert M.quality(words[:999] + [b"w998"]) < M.quality(words)
+
+
+def test_no_bin_of_keys_is_large(spark):
+    rows = [(rng_key,) for q in (0.25, 0.5, 1.25) for rng_key in (M.sample_key(i, q, 1) for i in range(20_000))]
+    df = spark.createDataFrame(rows, "key double").withColumn("bin", M._bin(M.F.col("key"), M.F.lit(256)))
+    assert max(r["count"] for r in df.groupBy("bin").count().collect()) < 8 * len(rows) / 256
+
+
 def test_mix_takes_prefixes_of_keys(spark):
     rng = random.Random(7)
     texts = [" ".join("w" for _ in range(rng.choice([0, 1, 5, 40, 300]))) for _ in range(400)] + [None]
@@ -115,6 +140,9 @@ def test_mixed_documents_are_whole(spark):
     taken = {r["doc_id"]: r["copies"] for r in M.mix(df).collect()}
     counted = Counter(r["doc_id"] for r in out.collect())
     assert all(counted[i] in (n, n + 1) for i, n in taken.items())
+    clash = df.selectExpr("*", "1 as __id", "2 as __text", "3 as `__size`", "4 as __key", "5 as s", "6 as copies", "7 as bins", "map(1, 2) as words")
+    again = M.mixed_documents(clash)
+    assert again.columns == clash.columns and Counter(r["doc_id"] for r in again.collect()) == counted
     assert M.mixed_documents(df.limit(0)).collect() == [] and M.mix(df.limit(0)).collect() == []
 
 
