@@ -11,9 +11,11 @@ spanning forest: from each fingerprint on, what it reaches leaves the set of tho
 reached, so a dense group of m fingerprints gives m - 1 links and not all its pairs, and no
 connection is lost.
 
-Beyond ``refine_at`` distinct fingerprints a key also holds one of 2 * (k // 2) + 1 parts of the other
-segments, one of which must be equal: five times the rows, in keys that are shared by chance a few
-hundred times less often. The result is the same.
+Values of a segment that more than ``popular`` distinct fingerprints have are popular. A key that a
+popular value gives also holds one of 2 * (k // 2) + 1 parts of the other segments, one of which must be
+equal: five times the rows, in keys that are shared by chance a few hundred times less often. Such a key
+with more rows than ``block`` (or a hundred-thousandth of all) is dealt over tasks in pairs of blocks. The
+result is the same.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and are linked
 like any other; a null doc_id gets a row, and null as component_id if its component has no other;
@@ -58,11 +60,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little")
 
 
+def segments(most_bits: int = MOST_BITS) -> list[np.ndarray]:
+    """The bits of each segment."""
+    return np.array_split(np.arange(64), most_bits // 2 + 1)
+
+
 def masks(most_bits: int = MOST_BITS, refined: bool = False) -> np.ndarray:
     """What each index key keeps of a fingerprint: a segment less one bit, and when refined one part of the rest."""
-    segments = np.array_split(np.arange(64), most_bits // 2 + 1)
     out = []
-    for segment in segments:
+    for segment in segments(most_bits):
         rest = np.setdiff1d(np.arange(64), segment)
         parts = np.array_split(rest, most_bits + 1) if refined else [np.array([], int)]
         for left_out in segment:
@@ -71,15 +77,32 @@ def masks(most_bits: int = MOST_BITS, refined: bool = False) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def index_keys(prints: np.ndarray, kept: np.ndarray) -> np.ndarray:
+def index_keys(prints: np.ndarray, kept: np.ndarray, seed: int = 1) -> np.ndarray:
     """Keys of each fingerprint, one for each mask; a chance collision only adds a candidate."""
     with np.errstate(over="ignore"):
-        x = (prints[:, None] & kept[None, :]) + np.arange(1, len(kept) + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        x = (prints[:, None] & kept[None, :]) + np.arange(seed, seed + len(kept), dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
 
+_MAP = 32768  # bits of a bitmap that bitmap_construct_agg makes
+
+
+def popular_values(prints: DataFrame, most_bits: int, popular: int) -> list[np.ndarray]:
+    """For each segment a bitmap of its values that more than ``popular`` fingerprints have: with segments of 22 bits
+    a megabyte in all, whatever the rows."""
+    parts = segments(most_bits)
+    values = F.array(*[F.struct(F.lit(k).alias("segment"), (F.shiftrightunsigned("print", int(x[0])).bitwiseAND((1 << len(x)) - 1)).alias("value")) for k, x in enumerate(parts)])
+    often = prints.select(F.explode(values).alias("v")).groupBy("v.segment", "v.value").agg(F.count("*").alias("n")).where(F.col("n") > popular)
+    maps = often.groupBy("segment", (F.col("value") / _MAP).cast("long").alias("at")).agg(F.bitmap_construct_agg(F.col("value") % _MAP).alias("bits"))
+    out = [np.zeros(1 << len(x), bool) for x in parts]
+    for r in maps.collect():
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")[: len(out[r["segment"]])]
+        out[r["segment"]][r["at"] * _MAP : r["at"] * _MAP + len(bits)] = bits
+    return out
+
+
 def forest(prints: np.ndarray, most_bits: int = MOST_BITS) -> list[tuple[int, int]]:
     """Links that connect what is connected within ``most_bits``, as pairs of indexes."""
     links, open_ = [], np.arange(len(prints))
@@ -108,14 +131,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_prints, "doc_id long, print long")
 
 
-def _spread(kept: np.ndarray):
+def _spread(sent, most_bits: int):
+    """``key, print, refined``: keys of a segment's value, or of a popular one its refined keys. Fingerprints that
+    share a key have the same two values, or those less one bit, so they agree on which it is."""
+    plain, fine, parts = masks(most_bits), masks(most_bits, True), segments(most_bits)
+    names = ["key", "print", "refined"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        popular = [np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").astype(bool) for x in sent.value]
+        each = len(fine) // len(plain)
         for b in batches:
             prints = b.column(0).to_numpy()
             for at in range(0, len(prints), 4096):
                 own = prints[at : at + 4096]
-                keys = index_keys(own.view(np.uint64), kept).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own, len(kept)))], names=["key", "print"])
+                bare = own.view(np.uint64)
+                hot = np.zeros((len(own), len(plain)), bool)
+                k = 0
+                for segment, often in zip(parts, popular):
+                    value = (bare >> np.uint64(segment[0])) & np.uint64(len(often) - 1 if len(segment) > 2 else (1 << len(segment)) - 1)
+                    for bit in range(len(segment)):
+                        hot[:, k] = often[value] | often[value ^ np.uint64(1 << bit)]
+                        k += 1
+                row, mask = np.nonzero(~hot)
+                keys = index_keys(bare, plain).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row, mask]), pa.array(own[row]), pa.array(np.zeros(len(row), bool))], names=names)
+                if hot.any():
+                    row, mask = np.nonzero(np.repeat(hot, each, axis=1))
+                    keys = index_keys(bare, fine, 1000).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[row, mask]), pa.array(own[row]), pa.array(np.ones(len(row), bool))], names=names)
 
     return run
 
@@ -159,40 +202,57 @@ def _meet(most_bits: int):
     return run
 
 
-def links(prints: DataFrame, most_bits: int = MOST_BITS, refine_at: int = 1 << 27) -> DataFrame:
+def links(prints: DataFrame, most_bits: int = MOST_BITS, popular: int = 4096, block: int = 65536) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (one column) that connect all that is within ``most_bits``."""
     spark = prints.sparkSession
     n = prints.count()
-    kept = masks(most_bits, n > refine_at)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(kept) // 2_000_000)
-    keyed = prints.mapInArrow(_spread(kept), "key long, print long")
-    return keyed.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_meet(most_bits), "a long, b long")
-
-
-def _members(of: DataFrame, most_bits: int, refine_at: int) -> DataFrame:
+    often = popular_values(prints, most_bits, popular)
+    sent = spark.sparkContext.broadcast([np.packbits(x, bitorder="little").tobytes() for x in often])
+    keyed = prints.mapInArrow(_spread(sent, most_bits), "key long, print long, refined boolean")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(masks(most_bits)) // 2_000_000)
+    cell = F.col("key")
+    if any(x.any() for x in often):
+        keyed = staged(keyed, "keys")
+        fine = keyed.where("refined")
+        size = fine.groupBy("key").agg(F.count("*").alias("rows"))
+        total = fine.count()
+        tasks = max(tasks, total // 2_000_000)
+        large = staged(size.where(F.col("rows") > max(block, total // 100_000)).select(F.col("key").alias("k"), F.ceil(F.col("rows") / block).alias("blocks")), "large")  # at most 100,000 keys
+        if large.limit(1).count():
+            keyed = keyed.join(F.broadcast(large), F.col("refined") & (F.col("key") == F.col("k")), "left")
+            keyed = keyed.withColumn("own", F.pmod(F.xxhash64("print"), F.coalesce("blocks", F.lit(1))))
+            other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
+            keyed = keyed.withColumn("other", other)
+            # a cell's number takes the key's place; a chance collision only adds candidates
+            cell = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = keyed.select(cell.alias("key"), "print")
+    return dealt.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_meet(most_bits), "a long, b long")
+
+
+def _members(of: DataFrame, most_bits: int, popular: int, block: int) -> DataFrame:
     """``print, least, root`` of each distinct fingerprint of ``of`` (doc_id, print), staged."""
     distinct = staged(of.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("print"), most_bits, refine_at))
+    roots = components(links(distinct.select("print"), most_bits, popular, block))
     member = distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     return staged(member, "members")
 
 
-def first_rows(rows: DataFrame, most_bits: int = MOST_BITS, refine_at: int = 1 << 27) -> DataFrame:
+def first_rows(rows: DataFrame, most_bits: int = MOST_BITS, popular: int = 4096, block: int = 65536) -> DataFrame:
     """``keep_row``: the row_id of one row of each component of a table numbered by row_id: that of the smallest
     doc_id (null only if there is no other), then of the smallest row_id."""
     found = rows.select(F.col("row_id").cast("long"), "text").mapInArrow(_prints, "doc_id long, print long").withColumnRenamed("doc_id", "row_id")
     ids = rows.select("row_id", F.col("doc_id").cast("long").alias("doc_id"))
     of = staged(found.join(ids, "row_id"), "prints")
-    member = _members(of.select("doc_id", "print"), most_bits, refine_at).select(F.col("print").alias("p"), "root")
+    member = _members(of.select("doc_id", "print"), most_bits, popular, block).select(F.col("print").alias("p"), "root")
     # of each fingerprint first, so that copies of one text travel as a row for each task
     best = of.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("best"))
     return best.join(member, F.col("print") == F.col("p")).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row_id").alias("keep_row"))
 
 
-def simhash_components(docs: DataFrame, most_bits: int = MOST_BITS, refine_at: int = 1 << 27) -> DataFrame:
+def simhash_components(docs: DataFrame, most_bits: int = MOST_BITS, popular: int = 4096, block: int = 65536) -> DataFrame:
     """One row for each document: ``doc_id, fingerprint, component_id``."""
     of = staged(fingerprints(docs), "prints")
-    member = _members(of, most_bits, refine_at)
+    member = _members(of, most_bits, popular, block)
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(smallest, "root").select(F.col("print").alias("p"), "component_id")
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0"))
