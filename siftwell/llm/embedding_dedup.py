@@ -12,6 +12,9 @@ pair is still compared and no task holds more than two blocks.
 The number of projections grows with the rows and the number of tables follows from it, so that a
 pair just at the threshold is found with probability ``recall``, a closer one more often.
 
+Vectors are scaled by a power of two, which is exact and keeps their norms within range whatever their
+size; a table of floats travels as floats, and every comparison is in double precision.
+
 Defined results: a null or empty vector, a zero one, one with a null or non-finite component and one
 with a null label links with nothing; vectors of different lengths don't link; rows that repeat a
 vec_id are vectors of their own, linked if equal; an empty table gives an empty result.
@@ -49,31 +52,39 @@ def plan(rows: int, recall: float = 0.98, threshold: float = THRESHOLD) -> tuple
     return projections, math.ceil(math.log(1 - recall) / math.log(1 - each))
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Usable vectors as bytes of doubles with a digest; both null for the others."""
-    for b in batches:
-        raw, digest = [], []
-        for label, v in zip(b.column(1), b.column(2)):
-            values = None
-            if label.is_valid and v.is_valid and len(v) and not v.values.null_count:
-                values = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                norm = math.sqrt(float(values @ values))
-                if not (np.isfinite(values).all() and 0 < norm < math.inf):
-                    values = None
-            data = None if values is None else (values + 0.0).tobytes()
-            raw.append(data)
-            digest.append(None if data is None else hashlib.sha256(data).digest()[:16])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "digest", "vector"])
+def _vectors(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Usable vectors as bytes, scaled by a power of two, with a digest; both null for the others."""
+        for b in batches:
+            raw, digest = [], []
+            for label, v in zip(b.column(1), b.column(2)):
+                data = None
+                if label.is_valid and v.is_valid and len(v) and not v.values.null_count:
+                    values = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    most = float(np.abs(values).max())
+                    if 0 < most < math.inf:  # false for nan, too
+                        data = (np.ldexp(values, -math.frexp(most)[1]) + 0.0).astype(kind).tobytes()
+                raw.append(data)
+                digest.append(None if data is None else hashlib.sha256(data).digest()[:16])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "digest", "vector"])
+
+    return run
 
 
-def _hashes(projections: int, tables: int, distance: float, seed: int):
-    quantum = WIDTH * distance
+def _unit(vectors: list[bytes], size: int, kind: str) -> np.ndarray:
+    """Rows of norm one in double precision."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(-1, size).astype(np.float64)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _hashes(projections: int, tables: int, distance: float, seed: int, kind: str):
+    quantum, width = WIDTH * distance, np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, tuple] = {}
         for b in batches:
             vectors = b.column(b.schema.get_field_index("vector")).to_pylist()
-            sizes = np.array([len(v) // 8 for v in vectors])
+            sizes = np.array([len(v) // width for v in vectors])
             keys = np.zeros((len(vectors), tables), np.int64)
             for size in np.unique(sizes):
                 if size not in made:
@@ -81,8 +92,7 @@ def _hashes(projections: int, tables: int, distance: float, seed: int):
                     made[size] = rng.standard_normal((size, tables * projections)), rng.uniform(0, quantum, tables * projections), rng.integers(1, 1 << 62, (tables, projections), dtype=np.int64) | 1
                 a, shift, mix = made[size]
                 own = np.flatnonzero(sizes == size)
-                x = np.frombuffer(b"".join(vectors[i] for i in own)).reshape(-1, size)
-                x = x / np.sqrt((x * x).sum(1, keepdims=True))
+                x = _unit([vectors[i] for i in own], size, kind)
                 q = np.floor((x @ a + shift) / quantum).astype(np.int64).reshape(len(own), tables, projections)
                 with np.errstate(over="ignore"):
                     keys[own] = (q * mix).sum(2) * np.int64(31) + np.int64(size)
@@ -93,7 +103,7 @@ def _hashes(projections: int, tables: int, distance: float, seed: int):
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     """Rows of whole buckets, sorted by bucket: counts of links of each vector, and connecting links."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
@@ -122,32 +132,34 @@ def _compare(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        names = ["table", "label", "key", "i", "j"]
+
+        def changes(rows) -> np.ndarray:
+            """Whether a row is of another bucket than the one before; the first is not."""
+            cell = np.stack([np.asarray(rows.column(x)) for x in names])
+            return np.concatenate([[False], (cell[:, 1:] != cell[:, :-1]).any(0)])
 
         def groups(rows: pa.Table):
-            cell = rows.column("cell").to_numpy()
-            ids = rows.column("id").to_numpy()
-            copies = rows.column("copies").to_numpy()
-            table = rows.column("table").to_numpy()
-            side = rows.column("side").to_numpy()
+            ids, copies, table, side = (rows.column(x).to_numpy() for x in ("id", "copies", "table", "side"))
             vectors = rows.column("vector").to_pylist()
-            keys = np.asarray(rows.column("keys").combine_chunks().flatten()).reshape(len(ids), -1)
-            start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            for at, to in zip(start, np.append(start[1:], len(cell))):
+            keys = rows.column("keys").to_pylist()
+            start = np.concatenate([[0], np.flatnonzero(changes(rows))])
+            for at, to in zip(start, np.append(start[1:], len(ids))):
                 if to - at < 2 or len({len(v) for v in vectors[at:to]}) > 1:
                     continue
-                x = np.frombuffer(b"".join(vectors[at:to])).reshape(to - at, -1)
-                x = x / np.sqrt((x * x).sum(1, keepdims=True))
-                a, b, n = bucket(int(table[at]), side[at:to], ids[at:to], copies[at:to], x, keys[at:to])
+                x = _unit(vectors[at:to], len(vectors[at]) // np.dtype(kind).itemsize, kind)
+                a, b, n = bucket(int(table[at]), side[at:to], ids[at:to], copies[at:to], x, np.array(keys[at:to], np.int64).reshape(to - at, -1))
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], schema=out)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cell = b.column("cell").to_numpy()
-            cut = len(cell) - int(np.argmax(cell[::-1] != cell[-1])) if cell[0] != cell[-1] else 0
-            if cut or held and held[-1].column("cell")[-1].as_py() != cell[0]:
-                yield from groups(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            new = np.flatnonzero(changes(b))
+            apart = bool(held) and any(held[-1].column(b.schema.get_field_index(x))[-1].as_py() != b.column(b.schema.get_field_index(x))[0].as_py() for x in names)
+            cut = int(new[-1]) if len(new) else 0
+            if cut or apart:
+                yield from groups(pa.Table.from_batches([*held, *([b.slice(0, cut)] if cut else [])]))
                 held = []
             held.append(b.slice(cut))
         if held:
@@ -176,8 +188,9 @@ def _thin(r: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, int]]:
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = 0.98, block: int = 4096, seed: int = 7) -> DataFrame:
     """One row for each vector: ``vec_id, n_links, component_id, kept``."""
     spark = vectors.sparkSession
-    chosen = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
-    all_ = staged(chosen.mapInArrow(_vectors, "vec_id long, label long, digest binary, vector binary"), "vectors")
+    kind = "f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
+    chosen = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<float>" if kind == "f4" else "array<double>"))
+    all_ = staged(chosen.mapInArrow(_vectors(kind), "vec_id long, label long, digest binary, vector binary"), "vectors")
     usable = all_.where("digest is not null")
     distinct = staged(
         usable.groupBy("label", "digest").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector")).withColumn("id", F.monotonically_increasing_id()),
@@ -187,7 +200,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     projections, tables = plan(n, recall, threshold)
     distance = math.sqrt(2 - 2 * threshold)
     hashed = staged(
-        distinct.select("id", "label", "copies", "vector").mapInArrow(_hashes(projections, tables, distance, seed), "id long, label long, copies long, vector binary, keys array<long>"),
+        distinct.select("id", "label", "copies", "vector").mapInArrow(_hashes(projections, tables, distance, seed, kind), "id long, label long, copies long, vector binary, keys array<long>"),
         "hashed",
     )
     spots = hashed.select("id", "label", F.posexplode("keys").alias("table", "key"))
@@ -196,11 +209,14 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     rows = hashed.select("*", F.posexplode("keys").alias("table", "key")).join(counts.drop("rows"), ["table", "label", "key"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cell = F.struct("table", "label", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = rows.select(F.xxhash64(cell).alias("cell"), "id", "copies", "table", side.cast("int").alias("side"), "vector", "keys")
+    # of the keys only those of the tables before, which tell whether a pair was met already
+    cell = ["table", "label", "key", "i", "j"]
+    dealt = rows.select(
+        "table", "label", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "copies", side.cast("int").alias("side"), "vector", F.slice("keys", F.lit(1), F.col("table")).alias("keys")
+    )
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * tables // 50_000)
-    found = dealt.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_compare(threshold), "a long, b long, n long")
+    found = dealt.repartition(tasks, *cell).sortWithinPartitions(*cell).mapInArrow(_compare(threshold, kind), "a long, b long, n long")
     found = staged(found, "links")
     linked = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     roots = components(found.where("b is not null"))

@@ -76,7 +76,16 @@ def test_index_finds_every_pair_within_four_bits():
 def test_refined_index_gives_the_same(spark):
     rows = [(i, t, "en", None, 1) for i, t in enumerate(corpus())]
     docs = spark.createDataFrame(rows, SCHEMA)
-    assert sorted(S.simhash_components(docs).collect()) == sorted(S.simhash_components(docs, refine_at=1).collect())
+    want = sorted(S.simhash_components(docs).collect())
+    assert want == sorted(S.simhash_components(docs, popular=1).collect())
+    assert want == sorted(S.simhash_components(docs, popular=0, block=2).collect())
+
+
+def test_popular_values(spark):
+    prints = [(i << 40) | 5 for i in range(6)] + [7]
+    got = S.popular_values(spark.createDataFrame([(x,) for x in prints], "print long"), 4, 3)
+    first, second, third = S.segments(4)
+    assert [np.flatnonzero(x).tolist() for x in got] == [[5], [], [0]] and len(first) == 22 and len(second) == len(third) == 21
 
 
 def test_empty_null_and_clashing_columns(spark):
@@ -131,5 +140,21 @@ def test_embedding_recall_on_the_given_table(spark):
     assert 0.9 * len(want) <= got <= len(want)
 
 
+def test_vectors_of_any_size_link(spark):
+    a = [1.0, 2.0, -3.0]
+    rows = [(1, [1e-200 * x for x in a], 1), (2, [1e-200 * x for x in a], 1), (3, [1e200 * x for x in a], 1), (4, [5e-324, 0.0, 0.0], 1), (5, [1.7e308, 0.0, 0.0], 1), (6, [0.0, 1.0, 0.0], 1), (7, a, 2)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
+
+
+def test_embedding_clashing_columns_long_vectors_and_ties(spark):
+    rng = np.random.default_rng(1)
+    long = rng.standard_normal(5000).tolist()
+    rows = [(i, long, 1, 1, "x", 2) for i in range(5)] + [(5, rng.standard_normal(5000).tolist(), 1, 1, "x", 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, id int, key string, copies int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.embedding_dedup(df).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 5: (0, 5)}
+
+
 def test_embedding_empty(spark):
     assert E.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
