@@ -35,7 +35,8 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read_table(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.siftwell.pseudonym.key", pii.DEMONSTRATION)
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents"), key)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
