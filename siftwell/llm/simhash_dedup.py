@@ -123,7 +123,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in slices(batch, 1):
             found = np.array([fingerprint(x) for x in binary_texts(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["ids" if pa.types.is_struct(b.column(0).type) else "doc_id", "print"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -237,12 +237,11 @@ def _members(of: DataFrame, most_bits: int, popular: int, block: int) -> DataFra
     return staged(member, "members")
 
 
-def first_rows(rows: DataFrame, most_bits: int = MOST_BITS, popular: int = 4096, block: int = 65536) -> DataFrame:
-    """``keep_row``: the row_id of one row of each component of a table numbered by row_id: that of the smallest
-    doc_id (null only if there is no other), then of the smallest row_id."""
-    found = rows.select(F.col("row_id").cast("long"), "text").mapInArrow(_prints, "doc_id long, print long").withColumnRenamed("doc_id", "row_id")
-    ids = rows.select("row_id", F.col("doc_id").cast("long").alias("doc_id"))
-    of = staged(found.join(ids, "row_id"), "prints")
+def first_rows(rows: DataFrame, row_id: str = "row_id", most_bits: int = MOST_BITS, popular: int = 4096, block: int = 65536) -> DataFrame:
+    """``keep_row``: the number of one row of each component of a table numbered by ``row_id``: that of the smallest
+    doc_id (null only if there is no other), then of the smallest number."""
+    chosen = rows.select(F.struct(F.col(row_id).cast("long").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id")).alias("ids"), "text")
+    of = staged(chosen.mapInArrow(_prints, "ids struct<row_id:long,doc_id:long>, print long").select("ids.*", "print"), "prints")
     member = _members(of.select("doc_id", "print"), most_bits, popular, block).select(F.col("print").alias("p"), "root")
     # of each fingerprint first, so that copies of one text travel as a row for each task
     best = of.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("best"))

@@ -159,6 +159,8 @@ def test_cuckoo_filter_and_index():
     for k in keys[::2]:
         assert index.delete(k) == [1]
     assert all((index.find(k) is None) == (i % 2 == 0) for i, k in enumerate(keys)) and index.filter.size == len(index) == 2500
+    index.insert(keys[1], [7], 99)  # as if another text had the digest
+    assert index.find(keys[1]) == [1] and index.find(keys[1], 99) == [7] and index.find(keys[1], 98) is None
     assert index.delete(keys[0]) is None
 
 

@@ -78,3 +78,19 @@ def test_rows_of_one_id_are_documents_of_their_own(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in C.drop_near_copies(spark, exact, SF).collect()) == got
     near = {(r["doc_id"], r["text"].strip()) for r in C.drop_near_copies(spark, docs, SF).collect()}
     assert near == {(3, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), *((7, t) for t in texts[4:])}
+
+
+def test_clashing_and_nested_columns_and_long_texts(spark):
+    """Columns named like the operators' own pass through every stage, and so do maps and a very long text."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(6)] + [" ".join(f"long{k}" for k in range(60_000))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", 1) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["__id", "__text", "__size", "__key", "__toxicity", "row_id", "keep_row", "score", "print", "ids", "digest", "length", "copies", "s", "number", "__at"]
+    docs = docs.selectExpr("*", *[f"cast(doc_id as string) as `{n}`" for n in names], "map('a', 1) as m", "array(struct(1 as x)) as nested")
+    columns = docs.columns
+    for name, stage in C.STAGES:
+        docs = staged(stage(spark, docs, SF), name)
+        if name != "packing":
+            assert docs.columns == columns and docs.where("`__id` <> doc_id or row_id <> doc_id or `__key` <> doc_id").count() == 0
+        if name in ("exact_dedup", "simhash_dedup"):
+            assert docs.count() == 7
+    assert docs.count() >= 7
