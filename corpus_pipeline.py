@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
-from siftwell.llm.common import read_table, staged
+from siftwell.llm.common import free_name, read_table, staged
 
 TOXIC_FROM = 0.5
 
@@ -22,19 +22,20 @@ TOXIC_FROM = 0.5
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``TOXIC_FROM``; the model is learned from the labelled ones."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, model, name="__toxicity").where(F.col("__toxicity") < TOXIC_FROM).drop("__toxicity")
+    score = free_name(docs, "__toxicity")
+    return toxicity.with_scores(docs, model, name=score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    rows = exact_dedup.numbered(docs)
-    return exact_dedup.keep_rows(rows, exact_dedup.first_rows(rows))
+    rows, row_id = exact_dedup.numbered(docs)
+    return exact_dedup.keep_rows(rows, row_id, exact_dedup.first_rows(rows, row_id))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that SimHash links."""
-    rows = exact_dedup.numbered(docs)
-    return exact_dedup.keep_rows(rows, simhash_dedup.first_rows(rows))
+    rows, row_id = exact_dedup.numbered(docs)
+    return exact_dedup.keep_rows(rows, row_id, simhash_dedup.first_rows(rows, row_id))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
