@@ -2,14 +2,16 @@
 
 The content view sees the words of a text: relative frequencies of hashed words and of their shapes.
 The page view sees metadata only: length, layout, character classes, repetition, language and source.
-Each view's logistic model is fitted on labelled documents; then, for ``ROUNDS`` rounds, each labels
-the unlabelled documents that it is surest of, as many of either class as its share, and hands them to
-the *other* view as training rows. Both views are calibrated on labelled rows kept back from training,
-and a logistic model of the two calibrated log-odds scores every document.
+Each view's logistic model is fitted on labelled documents. Then, for ``ROUNDS`` rounds, both score every
+unlabelled document in tasks; of the ``SHARE`` of them that a view is surest of, as many of either class as
+its share, found by a histogram of all odds, it hands ``MOST_NEW`` chosen by hash to the *other* view as
+training rows. Both views are calibrated on labelled rows kept back from training, and a logistic model of
+the two calibrated log-odds scores every document.
 
-Only the fit is bounded: ``MOST_LABELLED`` labelled and ``MOST_POOL`` unlabelled documents, chosen by a
-hash of their ids, go to the driver as feature vectors. Labels come only from training rows (crc32 of
-the id as text, modulo 5, is not 0).
+Documents are turned into features once, in a staged table that every round reads. Only the fit is bounded:
+``MOST_LABELLED`` labelled documents and ``MOST_NEW`` pseudo-labelled ones for each round and view go to the
+driver as feature vectors; candidates and thresholds come from all documents. Labels come only from
+training rows (crc32 of the id as text, modulo 5, is not 0).
 
 Defined results: null text is empty; null language and source are values of their own; a null
 doc_id is never labelled; rows that repeat are scored each for itself; without labels of both classes
@@ -29,14 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, bounded_sample, slices
+from siftwell.llm.common import Words, bounded_sample, slices, staged
 from siftwell.llm.language_model import held_out
 from siftwell.llm.toxicity import fit_logistic
 
 MOST_LABELLED = 6000
-MOST_POOL = 6000
+MOST_NEW = 1500
 ROUNDS = 4
-SHARE = 0.08  # of the pool that a view labels in a round
+SHARE = 0.08  # of the unlabelled documents that a view may label in a round
 WORD_BUCKETS, SHAPE_BUCKETS = 4096, 512
 CONTENT = WORD_BUCKETS + SHAPE_BUCKETS
 #: Character classes counted by the page view.
@@ -101,32 +103,40 @@ class Views:
         buckets, counts = np.unique(own, return_counts=True)
         return buckets.astype(np.uint16), (10.0 * counts / max(1, len(own) // 2)).astype(np.float32)
 
-    def content_scores(self, weights: np.ndarray) -> np.ndarray:
-        """Sums of weights over the content features of each text, without the intercept."""
-        each = 10.0 * weights[self.buckets].sum(1)[self.words.codes]
-        upto = np.concatenate([[0.0], np.cumsum(each)])
-        return (upto[self.words.ends] - upto[self.words.starts]) / np.maximum(self.words.counts, 1)
+
+_FEATURES = "doc_id long, held_out boolean, buckets binary, counts binary, page binary"
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict = {}
-    for b in (x for batch in batches for x in slices(batch, 1)):
-        v = Views(b.column(1), b.column(2), b.column(3), memo)
+    for b in (x for batch in batches for x in slices(batch, 2)):
+        v = Views(b.column(2), b.column(3), b.column(4), memo)
         content = [v.content(i) for i in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([x.tobytes() for x, _ in content], pa.binary()), pa.array([y.tobytes() for _, y in content], pa.binary()), pa.array([x.astype(np.float32).tobytes() for x in v.page], pa.binary())],
-            names=["label", "buckets", "values", "page"],
+            [b.column(0), b.column(1), pa.array([x.tobytes() for x, _ in content], pa.binary()), pa.array([y.astype(np.float16).tobytes() for _, y in content], pa.binary()), pa.array([x.astype(np.float32).tobytes() for x in v.page], pa.binary())],
+            names=["doc_id", "held_out", "buckets", "counts", "page"],
         )
 
 
+def _read(buckets: list[bytes], values: list[bytes], page: list[bytes]) -> tuple["Sparse", np.ndarray]:
+    """Both views of rows of features."""
+    ends = np.cumsum([0, *(len(x) // 2 for x in buckets)]).astype(np.int64)
+    at = np.frombuffer(b"".join(buckets), np.uint16).astype(np.int64)
+    return Sparse(ends, at, np.frombuffer(b"".join(values), np.float16).astype(float)), np.frombuffer(b"".join(page), np.float32).reshape(-1, PAGE).astype(float)
+
+
 class Sparse:
     """Rows of content features."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in rows])]).astype(np.int64)
-        self.at = np.concatenate([x for x, _ in rows] or [np.array([], np.uint16)]).astype(np.int64)
-        self.value = np.concatenate([y for _, y in rows] or [np.array([], np.float32)]).astype(float)
-        self.row = np.repeat(np.arange(len(rows)), np.diff(self.ends))
+    def __init__(self, ends: np.ndarray, at: np.ndarray, value: np.ndarray):
+        self.ends, self.at, self.value = ends, at, value
+        self.row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+
+    def pick(self, rows: np.ndarray) -> "Sparse":
+        sizes = np.diff(self.ends)[rows]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        place = np.arange(ends[-1]) + np.repeat(self.ends[rows] - ends[:-1], sizes)
+        return Sparse(ends, self.at[place], self.value[place])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.at], len(self.ends) - 1)
@@ -135,11 +145,12 @@ class Sparse:
         return np.bincount(self.at, self.value * r[self.row], CONTENT)
 
 
-def fit_content(x: Sparse, y: np.ndarray, weight: np.ndarray, penalty: float = 0.02, steps: int = 150) -> np.ndarray:
-    """Logistic weights with an intercept last, by accelerated gradient steps; rows of weight 0 don't count."""
+def fit_content(x: Sparse, y: np.ndarray, weight: np.ndarray, penalty: float = 0.02, steps: int = 150, start: np.ndarray | None = None) -> np.ndarray:
+    """Logistic weights with an intercept last, by accelerated gradient steps, from ``start`` if given."""
     share = float((weight * y).sum() / weight.sum())
-    w = np.zeros(CONTENT + 1)
-    w[-1] = math.log((share + 1e-3) / (1 - share + 1e-3))
+    w = np.zeros(CONTENT + 1) if start is None else start.copy()
+    if start is None:
+        w[-1] = math.log((share + 1e-3) / (1 - share + 1e-3))
     moment, total = w.copy(), weight.sum()
     bound = 0.25 * float(np.max(np.bincount(x.row, x.value**2, len(y)), initial=0.0)) + 0.25
     rate = 4.0 / bound
@@ -171,83 +182,121 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (*odds, both))
 
 
-def co_train(content: Sparse, page: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """``label`` is 1, 0 or -1 for unlabelled; every fifth labelled row is kept back for calibration."""
-    known = np.flatnonzero(label >= 0)
-    good = float(label[known].mean()) if len(known) else 0.5
-    if len(known) < 20 or not 0 < good < 1:
-        return Model(prior=good)
-    aside = known[::5]
-    train = np.setdiff1d(known, aside)
-    if not 0 < label[train].mean() < 1:
-        return Model(prior=good)
-    scale = np.maximum(page[train].std(0), 1e-3)
-    scaled = page / scale
-    own = [np.where(label >= 0, label, 0).astype(float) for _ in range(2)]
-    weight = [np.isin(np.arange(len(label)), train).astype(float) for _ in range(2)]
-    free = [label < 0, label < 0]
-
-    def fit() -> list[np.ndarray]:
-        rows = np.flatnonzero(weight[1] > 0)
-        return [fit_content(content, own[0], weight[0]), fit_logistic(scaled[rows], own[1][rows])]
-
-    def odds(models: list[np.ndarray]) -> list[np.ndarray]:
-        return [content.dot(models[0][:-1]) + models[0][-1], scaled @ models[1][:-1] + models[1][-1]]
-
-    models = fit()
-    for _ in range(rounds):
-        z = odds(models)
-        for teacher, pupil in ((0, 1), (1, 0)):
-            pool = np.flatnonzero(free[pupil])
-            most = int(share * len(pool))
-            ranked = pool[np.argsort(z[teacher][pool], kind="stable")]
-            bad_n = int(round(most * (1 - good)))
-            bad, sure = ranked[:bad_n], ranked[len(ranked) - (most - bad_n) :]
-            bad, sure = bad[z[teacher][bad] < -1.0], sure[z[teacher][sure] > 1.0]
-            own[pupil][bad], own[pupil][sure] = 0.0, 1.0
-            chosen = np.concatenate([bad, sure])
-            weight[pupil][chosen] = 0.5
-            free[pupil][chosen] = False
-        models = fit()
-    z = odds(models)
-    calibrate = [tuple(fit_logistic(v[aside, None], label[aside].astype(float), 1e-3)) for v in z]
-    both = np.stack([np.clip(a * v + b, -12, 12) for v, (a, b) in zip(z, calibrate)], 1)
-    combine = fit_logistic(both[aside], label[aside].astype(float), 1e-1)
-    return Model(models[0], models[1], scale, calibrate, combine, good)
+def fit_views(content: Sparse, page: np.ndarray, label: np.ndarray, weight: list[np.ndarray], scale: np.ndarray, before: list | None = None) -> list[np.ndarray]:
+    """Weights of the content and the page view on the rows that have a weight for them."""
+    rows = [np.flatnonzero(w > 0) for w in weight]
+    start = None if before is None else before[0]
+    return [
+        fit_content(content.pick(rows[0]), label[rows[0]], weight[0][rows[0]], steps=150 if before is None else 40, start=start),
+        fit_logistic(page[rows[1]] / scale, label[rows[1]]),
+    ]
+
+
+def _odds(sent):
+    """``key, content, page``: the log-odds of good by both views, for each row of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (of_content, of_page), scale = sent.value
+        for b in (x for batch in batches for x in slices(batch, 2)):
+            content, page = _read(*(b.column(i).to_pylist() for i in (2, 3, 4)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content.dot(of_content[:-1]) + of_content[-1]), pa.array((page / scale) @ of_page[:-1] + of_page[-1])], names=["doc_id", "key", "content", "page"])
+
+    return run
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> Model:
-    """The co-trained model; at most ``most_labelled`` + ``most_pool`` ids are broadcast and feature vectors collected."""
+def surest(odds: DataFrame, view: str, good: float, share: float = SHARE) -> DataFrame:
+    """Rows whose odds by ``view`` are among the ``share`` surest of all, as many of either class as ``good`` says,
+    with ``label``; odds within one are never sure. Cut at bins of 1/64."""
+    bins = {r["bin"]: r["n"] for r in odds.groupBy(F.floor(F.greatest(F.lit(-32.0), F.least(F.lit(32.0), F.col(view))) * 64).alias("bin")).agg(F.count("*").alias("n")).collect()}  # 4,097 at most
+    most = share * sum(bins.values())
+
+    def cut(order: list[int], n: float) -> float:
+        last = None
+        for b in order:
+            if n <= 0:
+                break
+            last, n = b, n - bins[b]
+        return last
+
+    low, high = cut(sorted(bins), most * (1 - good)), cut(sorted(bins, reverse=True), most * good)
+    z = F.col(view)
+    bad = F.lit(False) if low is None else (z < (low + 1) / 64) & (z < -1.0)
+    fine = F.lit(False) if high is None else (z >= high / 64) & (z > 1.0)
+    return odds.where(bad | fine).withColumn("label", F.when(z > 0, 1).otherwise(0))
+
+
+def train(features: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_new: int = MOST_NEW, rounds: int = ROUNDS) -> Model:
+    """The co-trained model of a staged table of features; what goes to the driver is bounded by ``most_labelled`` and
+    ``most_new`` rows for each round and view."""
+    sc = features.sparkSession.sparkContext
     known = (
-        labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("long").alias("__label"))
-        .where("__id is not null and __label in (0, 1)")
-        .groupBy("__id")
-        .agg(F.max("__label").alias("__label"))
+        labels.select(F.col("doc_id").cast("long").alias("of"), F.col("quality").cast("long").alias("label"))
+        .where("of is not null and label in (0, 1)")
+        .groupBy("of")
+        .agg(F.max("label").alias("label"))
     )
-    training = bounded_sample(known.where(F.crc32(F.col("__id").cast("string").cast("binary")) % 5 != 0), "__id", most_labelled)
-    slim = docs.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct()
-    pool = bounded_sample(slim.join(known, "__id", "left_anti"), "__id", most_pool).withColumn("__label", F.lit(-1).cast("long"))
-    chosen = training.unionByName(pool)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string"), F.col("source").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    found = rows.select("__label", "text", "lang", "source").mapInArrow(_vectors, "label long, buckets binary, values binary, page binary").collect()
-    found.sort(key=lambda r: (r["label"] < 0, zlib.crc32(bytes(r["page"])), bytes(r["page"])))
-    content = Sparse([(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["values"], np.float32)) for r in found])
-    page = np.array([np.frombuffer(r["page"], np.float32) for r in found], float).reshape(len(found), PAGE)
-    return co_train(content, page, np.array([r["label"] for r in found], np.int64))
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> DataFrame:
+    chosen = bounded_sample(known.where(F.crc32(F.col("of").cast("string").cast("binary")) % 5 != 0), "of", most_labelled)
+
+    def fetch(rows: DataFrame) -> tuple[list, list, list, list]:
+        found = rows.select("buckets", "counts", "page", "label").collect()
+        found.sort(key=lambda r: (zlib.crc32(bytes(r["page"])), bytes(r["page"]), bytes(r["buckets"])))
+        return tuple([r[c] for r in found] for c in ("buckets", "counts", "page", "label"))
+
+    held = fetch(features.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")))
+    label = np.array(held[3], float)
+    good = float(label.mean()) if len(label) else 0.5
+    aside = np.arange(len(label)) % 5 == 0
+    if len(label) < 20 or not 0 < good < 1 or not 0 < label[~aside].mean() < 1:
+        return Model(prior=good)
+    content, page = _read(*held[:3])
+    scale = np.maximum(page[~aside].std(0), 1e-3)
+    own = np.where(aside, 0.0, 1.0)
+    weight = [own, own]
+    models = fit_views(content, page, label, weight, scale)
+    numbered = features.select("doc_id", F.xxhash64("doc_id", "page", "buckets").alias("key"), "buckets", "counts", "page")
+    for k in range(rounds):
+        sent = sc.broadcast((models, scale))
+        odds = numbered.mapInArrow(_odds(sent), "doc_id long, key long, content double, page double")
+        odds = staged(odds.join(known.select("of"), F.col("doc_id") == F.col("of"), "left_anti"), "odds")
+        new = []
+        for view in ("content", "page"):
+            # each round draws from rows of its own, so that none is handed over twice
+            drawn = surest(odds, view, good).where(F.pmod(F.xxhash64("key", F.lit(view)), F.lit(rounds)) == k)
+            drawn = bounded_sample(drawn.select("key", "label").distinct(), "key", most_new)
+            new.append(fetch(numbered.join(F.broadcast(drawn.withColumnRenamed("key", "drawn")), F.col("key") == F.col("drawn")).dropDuplicates(["key"])))
+        held = tuple([*old, *a, *b] for old, a, b in zip(held, *new))
+        content, page = _read(*held[:3])
+        label = np.array(held[3], float)
+        # what the content view was sure of is for the page view, and the other way about
+        from_content, from_page = (np.full(len(x[0]), 0.5) for x in new)
+        none = [np.zeros(len(x[0])) for x in new]
+        weight = [np.concatenate([weight[0], none[0], from_page]), np.concatenate([weight[1], from_content, none[1]])]
+        models = fit_views(content, page, label, weight, scale, models)
+    n = len(aside)
+    rows = np.flatnonzero(aside)
+    z = [content.pick(np.arange(n)).dot(models[0][:-1]) + models[0][-1], (page[:n] / scale) @ models[1][:-1] + models[1][-1]]
+    calibrate = [tuple(fit_logistic(v[rows, None], label[rows], 1e-3)) for v in z]
+    both = np.stack([np.clip(a * v + b, -12, 12) for v, (a, b) in zip(z, calibrate)], 1)
+    return Model(models[0], models[1], scale, calibrate, fit_logistic(both[rows], label[rows], 1e-1), good)
+
+
+def features_of(docs: DataFrame) -> DataFrame:
+    """Both views of each document as a staged table."""
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 5).alias("held_out"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
+    return staged(chosen.mapInArrow(_vectors, _FEATURES), "features")
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_new: int = MOST_NEW) -> DataFrame:
     """One row for each document: ``doc_id, held_out, content_score, page_score, score, predicted, kept``."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_labelled, most_pool))
+    features = features_of(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(train(features, labels, most_labelled, most_new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
-        memo: dict = {}
         weights = np.zeros(CONTENT) if m.content is None else m.content[:-1]
         for b in (x for batch in batches for x in slices(batch, 2)):
-            v = Views(b.column(2), b.column(3), b.column(4), memo)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, m.scores(v.content_scores(weights), v.page))], names=["doc_id", "held_out", "content_score", "page_score", "score"])
+            content, page = _read(*(b.column(i).to_pylist() for i in (2, 3, 4)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, m.scores(content.dot(weights), page))], names=["doc_id", "held_out", "content_score", "page_score", "score"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 5).alias("held_out"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
-    scored = chosen.mapInArrow(run, "doc_id long, held_out boolean, content_score double, page_score double, score double")
+    scored = features.mapInArrow(run, "doc_id long, held_out boolean, content_score double, page_score double, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).withColumn("kept", F.col("score") >= 0.5)
