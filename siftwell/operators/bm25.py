@@ -105,19 +105,19 @@ class Index:
         fielded = "field" in terms.columns
         wanted = terms.withColumnRenamed("field", "only") if fielded else terms.withColumn("only", F.lit(None).cast("string"))
         distinct = wanted.select("term", "only").distinct()
-        hits = self.postings.join(F.broadcast(distinct), "term").where(F.col("only").isNull() | (F.col("field") == F.col("only")))
+        hits = self.postings.join(distinct, "term").where(F.col("only").isNull() | (F.col("field") == F.col("only")))
         per = hits.groupBy("term", "only", self.key).agg(F.sum(weight[F.col("field")] * F.col("tf")).alias("f"))
         df = per.groupBy(F.col("term").alias("df_term"), F.col("only").alias("df_only")).agg(F.count("*").alias("df"))
         stats = statistics(self.lengths)
         weighed = (
-            per.join(F.broadcast(df), (F.col("term") == F.col("df_term")) & F.col("only").eqNullSafe(F.col("df_only")))
+            per.join(df, (F.col("term") == F.col("df_term")) & F.col("only").eqNullSafe(F.col("df_only")))
             .join(self.lengths, self.key)
             .crossJoin(F.broadcast(stats))
         )
         part = idf(F.col("n_rows"), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
         parts = weighed.select("term", "only", self.key, part.alias("part"))
         asked = wanted.select(qid, "n_terms", F.col("term").alias("q_term"), F.col("only").alias("q_only"))
-        joined = parts.join(F.broadcast(asked), (F.col("term") == F.col("q_term")) & F.col("only").eqNullSafe(F.col("q_only"))).select(qid, "n_terms", self.key, "part")
+        joined = parts.join(asked, (F.col("term") == F.col("q_term")) & F.col("only").eqNullSafe(F.col("q_only"))).select(qid, "n_terms", self.key, "part")
         return joined.groupBy(qid, self.key).agg(F.sum("part").alias("relevance"), F.count("*").alias("held"), F.first("n_terms").alias("n_terms")).where("held = n_terms").select(qid, self.key, "relevance")
 
 

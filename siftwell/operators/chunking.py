@@ -48,8 +48,12 @@ def _boundary(raw: bytes, at: int, step: int) -> int:
     return at
 
 
-def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[Chunk]:
-    """Windows of ``size`` bytes that overlap; each ends at a paragraph, sentence, line or word in its last 30 %."""
+#: Where windows of text and pieces of code end, in order of preference.
+TEXT_MARKS, CODE_MARKS = (b"\n\n", b". ", b"\n", b" "), (b"\n\n", b"\n", b" ")
+
+
+def windows(text: str, size: int = SIZE, overlap: int = OVERLAP, marks: tuple[bytes, ...] = TEXT_MARKS) -> list[Chunk]:
+    """Windows of ``size`` bytes that overlap; each ends at one of ``marks`` in its last 30 %, if there is one."""
     raw = text.encode()
     if len(raw) <= size:
         return [Chunk(text, 0, end_line=text.count("\n") + 1)]
@@ -58,7 +62,7 @@ def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[Chunk]:
         end = _boundary(raw, start + size, -1)
         if end < len(raw):
             low = _boundary(raw, start + size * 70 // 100, 1)
-            for mark in (b"\n\n", b". ", b"\n", b" "):
+            for mark in marks:
                 found = raw.rfind(mark, low, end)
                 if found >= 0:
                     end = found + len(mark)
@@ -74,7 +78,7 @@ def oversized(chunk: Chunk, most: int = SIZE, overlap: int = OVERLAP) -> list[Ch
     """A chunk above ``most`` bytes as numbered pieces that keep its place and breadcrumb."""
     if len(chunk.text.encode()) <= most:
         return [chunk]
-    pieces = windows(chunk.text, most, overlap)
+    pieces = windows(chunk.text, most, overlap, CODE_MARKS)
     return [
         replace(
             chunk,
@@ -265,11 +269,25 @@ def with_neighbours(chunks: DataFrame, document: str = "document_hash", key: str
 
 
 def surrounding(chunks: DataFrame, key_value: str, key: str = "hash", document: str = "document_hash") -> DataFrame:
-    """The chunk and its two neighbours, in order."""
-    near = with_neighbours(chunks, document, key).where((F.col(key) == key_value) | (F.col("previous") == key_value) | (F.col("next") == key_value))
+    """The chunk and its two neighbours, in order; only its documents' chunks are windowed."""
+    own = chunks.where(F.col(key) == key_value).select(document).distinct()
+    near = with_neighbours(chunks.join(F.broadcast(own), document, "left_semi"), document, key).where((F.col(key) == key_value) | (F.col("previous") == key_value) | (F.col("next") == key_value))
     return near.orderBy("seq")
 
 
+def with_context(chunks: DataFrame, document: str = "document_hash", seq: str = "seq", most: int = 200) -> DataFrame:
+    """``context`` of each chunk for who describes it: the end of the chunk before and the start of the one after."""
+    w = Window.partitionBy(document).orderBy(seq)
+    before, after = F.lag("content").over(w), F.lead("content").over(w)
+    return chunks.withColumn("context", F.concat(F.coalesce(F.right(before, F.lit(most)), F.lit("")), F.lit("\n"), F.coalesce(F.left(after, F.lit(most)), F.lit(""))))
+
+
+def fan_out(found: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunk hits (hash, score) with their chunk and every active document that has its text: a row for each."""
+    own = found.join(chunks.withColumnRenamed("hash", "chunk_hash"), found["hash"] == F.col("chunk_hash")).drop(found["hash"])
+    return own.join(documents.where("active").withColumnRenamed("hash", "document_hash"), "document_hash")
+
+
 def search_chunks(chunks: DataFrame, query: str, limit: int | None, key: str = "id", labels: DataFrame | None = None, wanted: dict[str, str] | None = None) -> DataFrame:
     """``key, score`` of chunks by BM25; an empty query gives all of them at 0.5.
 

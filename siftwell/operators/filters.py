@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 import json
 import re
@@ -246,32 +247,29 @@ def find_by_metadata(documents: DataFrame, predicate: Predicate, limit: int | No
 
 # -- time -------------------------------------------------------------------------------------------
 
-_UNITS = {"month": "months", "week": "weeks", "day": "days", "year": "years"}
+#: Units of a relative time, as a step of the calendar.
+_STEPS = {"hour": (0, dt.timedelta(hours=1)), "day": (0, dt.timedelta(days=1)), "week": (0, dt.timedelta(weeks=1)), "month": (1, dt.timedelta()), "year": (12, dt.timedelta())}
+_AGO = re.compile(r"(-?\d+)\s+(hour|day|week|month|year)s?\b.*\bago\b", re.IGNORECASE)
+
+
+def _months_before(time: dt.datetime, n: int) -> dt.datetime:
+    """The same day n months earlier, or the last of a shorter month."""
+    year, month = divmod(time.year * 12 + time.month - 1 - n, 12)
+    return time.replace(year=year, month=month + 1, day=min(time.day, calendar.monthrange(year, month + 1)[1]))
 
 
 def parse_time(text: str | None, now: dt.datetime) -> dt.datetime | None:
-    """RFC 3339 times, plain dates, or "N days/weeks/months/years ago"; None where nothing is understood."""
-    if not text or not text.strip():
-        return None
-    t = text.strip()
+    """RFC 3339 times, plain dates, or "N hours/days/weeks/months/years ago"; None where nothing is understood."""
+    said = (text or "").strip()
     try:
-        out = dt.datetime.fromisoformat(t.replace("Z", "+00:00"))
-        return out if out.tzinfo is None else out.astimezone(dt.timezone.utc).replace(tzinfo=None)
+        time = dt.datetime.fromisoformat(said.replace("Z", "+00:00"))
     except ValueError:
-        pass
-    low = t.lower()
-    number = next((int(w) for w in low.split() if re.fullmatch(r"-?\d+", w)), None)
-    unit = next((u for u in _UNITS if u in low), None)
-    if "ago" not in low or number is None or unit is None:
-        return None
-    if unit == "month":
-        months = now.year * 12 + now.month - 1 - number
-        year, month = divmod(months, 12)
-        last = (dt.date(year + (month == 11), (month + 1) % 12 + 1, 1) - dt.timedelta(days=1)).day
-        return now.replace(year=year, month=month + 1, day=min(now.day, last))
-    if unit == "year":
-        return now - dt.timedelta(days=number * 365 + -(-number // 4))
-    return now - dt.timedelta(**{_UNITS[unit]: number})
+        found = _AGO.search(said)
+        if not found:
+            return None
+        n, (months, span) = int(found.group(1)), _STEPS[found.group(2).lower()]
+        return _months_before(now, n * months) - n * span
+    return time if time.tzinfo is None else time.astimezone(dt.timezone.utc).replace(tzinfo=None)
 
 
 def relative_hours(hours: float, now: dt.datetime) -> tuple[dt.datetime, dt.datetime]:

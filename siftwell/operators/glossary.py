@@ -46,5 +46,5 @@ def glossary_search(concepts: DataFrame, links: DataFrame, documents: DataFrame,
     """Documents of the concepts that match, each once, at a constant score."""
     found = search_concepts(concepts, query, concept_limit).select("normalized", "relevance")
     hits = links.join(F.broadcast(found), "normalized").groupBy("document_hash").agg(F.max("relevance").alias("relevance"))
-    rows = documents.where("active").join(F.broadcast(hits), F.col("hash") == F.col("document_hash")).groupBy("hash").agg(F.min("id").alias("id"), F.max("relevance").alias("relevance"))
+    rows = documents.where("active").join(hits, F.col("hash") == F.col("document_hash")).groupBy("hash").agg(F.min("id").alias("id"), F.max("relevance").alias("relevance"))
     return rows.withColumn("score", F.lit(float(min_confidence))).orderBy(F.desc("relevance"), "id").limit(limit).select("id", "hash", "score")

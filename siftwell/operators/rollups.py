@@ -92,3 +92,25 @@ def recall_at_k(results: DataFrame, expected: DataFrame, k: int, qid: str = "que
     top = results.where(F.col("rank") < k).select(qid, key).distinct()
     hits = expected.join(top.withColumn("hit", F.lit(1)), [qid, key], "left")
     return hits.groupBy(qid).agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
+
+
+def glossary_totals(concepts: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: concepts and their links to chunks."""
+    return concepts.agg(F.count("*").alias("concepts")).crossJoin(links.agg(F.count("*").alias("links")))
+
+
+def concepts_by_count(links: DataFrame) -> DataFrame:
+    """``normalized, chunk_count`` with the most used concepts first."""
+    return links.groupBy("normalized").agg(F.countDistinct("chunk_hash").alias("chunk_count")).orderBy(F.desc("chunk_count"), "normalized")
+
+
+def api_metrics(calls: DataFrame) -> DataFrame:
+    """One row of a log of calls (ok, cache_hit, millis): requests, errors, hits, misses, hit rate in percent, mean latency."""
+    return calls.agg(
+        F.count("*").alias("requests"),
+        F.count_if(~F.col("ok")).alias("errors"),
+        F.count_if("cache_hit").alias("hits"),
+        F.count_if(~F.col("cache_hit")).alias("misses"),
+        F.coalesce(F.count_if("cache_hit") / F.count("*") * 100, F.lit(0.0)).alias("hit_rate"),
+        F.coalesce(F.sum("millis") / F.count("*"), F.lit(0.0)).alias("mean_millis"),
+    )

@@ -13,7 +13,8 @@ from siftwell.functions import text as X
 DEMOTION, LOGGED, MARKED, TTL_SECONDS = 0.3, 5, 10, 3600
 TOP_ROWS, DIRECTORY_FACTOR, DIRECTORY_CAP = 3, 1.15, 1.0
 MOST_DIRECTORIES, MOST_CONCEPTS, MOST_REFINEMENTS = 5, 10, 3
-CATEGORIES = ("preference", "fact", "pattern", "decision")
+CATEGORIES = ("preference", "entity", "pattern", "fact")
+MOST_LOGGED = 50  # queries of a session that memories are extracted from
 
 
 def log_row(page: DataFrame, session: str, query: str) -> DataFrame:
@@ -114,6 +115,31 @@ def memory_page(memories: DataFrame, limit: int, offset: int = 0, category: str
 
 
 def valid_memories(extracted: DataFrame) -> DataFrame:
-    """Extracted facts that may be stored: a known category, some content, confidence within 0 and 1."""
-    known = F.col("category").isin(*CATEGORIES) & (F.trim("content") != "")
-    return extracted.where(known).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5)))))
+    """Extracted facts that may be stored: a known category, some content, a confidence within 0 and 1."""
+    return extracted.where(F.col("category").isin(*CATEGORIES) & (F.col("content") != "") & F.col("confidence").between(0.0, 1.0))
+
+
+def parse_memories(responses: DataFrame, response: str = "response") -> DataFrame:
+    """Rows with ``category, content, confidence`` of each valid fact in a response: a JSON list, which other text
+    may surround. What isn't such a list gives none."""
+    body = F.regexp_extract(F.col(response), r"(?s)\[.*\]", 0)
+    kind = "array<struct<category:string,content:string,confidence:double>>"
+    facts = responses.withColumn("__fact", F.explode(F.from_json(body, kind)))
+    return valid_memories(facts.select("*", "__fact.*").drop("__fact", response))
+
+
+def merge_memories(stored: DataFrame, facts: DataFrame, order: str = "ord") -> DataFrame:
+    """The memories table after facts came: a known content keeps its id and category, takes the higher
+    confidence, and counts each repeat; new contents are added. ``facts`` as for :func:`upsert_memories`,
+    ``stored`` has content_hash, id, category, content, confidence, access_count, updated."""
+    fresh = upsert_memories(facts, order)
+    was = stored.select(*[F.col(c).alias(f"was_{c}") for c in ("content_hash", "id", "category", "content", "confidence", "access_count", "updated")])
+    both = was.join(fresh, F.col("was_content_hash") == F.col("content_hash"), "full_outer")
+    known, came = F.col("was_content_hash").isNotNull(), F.col("content_hash").isNotNull()
+    return both.select(
+        F.coalesce("was_content_hash", "content_hash").alias("content_hash"),
+        *[F.coalesce(f"was_{c}", c).alias(c) for c in ("id", "category", "content")],
+        F.greatest("was_confidence", "confidence").alias("confidence"),
+        F.when(known & came, F.col("was_access_count") + F.col("access_count") + 1).otherwise(F.coalesce("was_access_count", "access_count")).alias("access_count"),
+        F.coalesce("updated", "was_updated").alias("updated"),
+    )

@@ -1,7 +1,8 @@
 """Tables as Parquet folders with the maintenance of an index: ingest by difference, upserts, collection of garbage.
 
-Every write goes to a new version folder and is made current by writing its name last, so readers see
-whole versions only and a failed write changes nothing.
+Every write goes to a new version folder and is made current by putting its name in place of the old one in
+a single rename, so readers see whole versions only and a failed write changes nothing. Appends add files
+to the current version.
 """
 
 from __future__ import annotations
@@ -49,15 +50,32 @@ class Store:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.path}/{name}/{version}")
+        self._point(name, version)
+        return self.read(name)
+
+    def append(self, name: str, rows: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+        """Add rows to a table without rewriting it; they are seen when all are there."""
+        version = self._current(name)
+        if version is None:
+            return self.write(name, rows, partition_by)
+        writer = rows.write.mode("append")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(f"{self.path}/{name}/{version}")
+        return self.read(name)
+
+    def _point(self, name: str, version: str) -> None:
+        """Make a version current by one rename over the old name: there is never none."""
         fs, p = self._fs(f"{self.path}/{name}/CURRENT.{version}")
         out = fs.create(p, True)
         out.write(bytearray(version + "\n", "utf-8"))
         out.close()
-        final = self._fs(f"{self.path}/{name}/CURRENT")[1]
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(p, final)
-        return self.read(name)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        overwrite = getattr(hadoop, "Options$Rename").OVERWRITE
+        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        options[0] = overwrite
+        context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(p), fs.makeQualified(self._fs(f"{self.path}/{name}/CURRENT")[1]), options)
 
     def vacuum(self, name: str) -> None:
         """Delete all versions of a table but the current one."""
@@ -172,3 +190,33 @@ def register_model(models: DataFrame, model: str, dimensions: int) -> DataFrame:
 def incompatible_models(models: DataFrame, model: str, dimensions: int) -> DataFrame:
     """Registered rows of a model with another number of dimensions."""
     return models.where((F.col("model") == model) & (F.col("dimensions") != dimensions))
+
+
+def count_cached(cache: DataFrame, model: str) -> DataFrame:
+    """One row: how many cached vectors a model has."""
+    return cache.where(F.col("model") == model).agg(F.count("*").alias("cached"))
+
+
+def count_by_model(vectors: DataFrame) -> DataFrame:
+    """``model, n`` of stored vectors."""
+    return vectors.groupBy("model").agg(F.count("*").alias("n"))
+
+
+def embed_stats(requests: DataFrame) -> DataFrame:
+    """One row of chunks to embed (hash, cached): documents, chunks, cached and computed ones, hit rate in percent."""
+    return requests.agg(
+        F.countDistinct("hash").alias("documents"),
+        F.count("*").alias("chunks"),
+        F.count_if("cached").alias("cached_chunks"),
+        F.count_if(~F.col("cached")).alias("computed_chunks"),
+        F.coalesce(F.count_if("cached") / F.count("*") * 100, F.lit(0.0)).alias("hit_rate"),
+    )
+
+
+def with_columns_of(rows: DataFrame, wanted: str, defaults: dict | None = None) -> DataFrame:
+    """A stored table brought to the columns of a table in :mod:`siftwell.schemas`: what it lacks is added with its
+    default or null, what it has beyond stays."""
+    for field in schema(wanted).fields:
+        if field.name not in rows.columns:
+            rows = rows.withColumn(field.name, F.lit((defaults or {}).get(field.name)).cast(field.dataType))
+    return rows

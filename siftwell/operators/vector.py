@@ -82,6 +82,19 @@ def search_documents(vectors: DataFrame, documents: DataFrame, query_vector, que
     return to_percent(page)
 
 
+def search_chunks(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, query_vector, limit: int, min_score: float = 0.0) -> DataFrame:
+    """Vector search over chunks by raw cosine, without boosts: the first ``limit`` vectors, of them those of at
+    least ``min_score``, each with its chunk and the first active document that has it.
+
+    ``vectors`` has chunk_hash, embedding; ``chunks`` hash, document_hash and more; ``documents`` id, hash and more.
+    """
+    near = similarities(vectors, query_vector).orderBy(F.desc("score"), "chunk_hash").limit(limit).select("chunk_hash", "score").where(F.col("score") >= min_score)
+    own = F.broadcast(near).join(chunks.withColumnRenamed("hash", "chunk_hash"), "chunk_hash")
+    hydrated = own.join(documents.withColumnRenamed("hash", "document_hash"), "document_hash")
+    w = Window.partitionBy("chunk_hash").orderBy("id")
+    return hydrated.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth").orderBy(F.desc("score"), "chunk_hash")
+
+
 class LshIndex:
     """Approximate nearest neighbours by random projections on normalised vectors; exact below ``exact_below`` rows."""
 

@@ -180,8 +180,10 @@ def needs_embedding_anti(v: Views) -> DataFrame:
 def embedding_cache_hits(v: Views) -> DataFrame:
     requests = v.documents().select("hash").distinct()
     cache = v.documents().join(v.vectors(), "id").select("hash", F.lit(1).alias("vector")).dropDuplicates(["hash"])
-    joined = requests.join(cache, "hash", "left")
-    return joined.agg(F.count("*").alias("n"), F.count("vector").alias("hits"), r6(F.count("vector") / F.count("*")).alias("hit_rate"))
+    hits, misses = store.cache_split(requests, cache, ["hash"], "vector")
+    both = hits.select("hash", F.lit(True).alias("cached")).unionByName(misses.select("hash", F.lit(False).alias("cached")))
+    stats = store.embed_stats(both)
+    return stats.select(F.col("chunks").alias("n"), F.col("cached_chunks").alias("hits"), r6(F.col("hit_rate") / 100).alias("hit_rate"))
 
 
 # -- counts -----------------------------------------------------------------------------------------
@@ -207,10 +209,28 @@ def collection_counts_scalar_subquery(v: Views) -> DataFrame:
     return rollups.collection_counts(v.collections(), v.documents())
 
 
-@query("select event_type as kind, count(*) as searches, round(avg(value), 6) as mean_value, round(count(*) filter (where event_id % 3 = 0) / count(*), 6) as hit_rate from events group by event_type", views=False)
+@query("""select count(*) as searches, count(*) filter (where event_id % 3 = 0) as bm25, count(*) filter (where event_id % 3 = 1) as vector, count(*) filter (where event_id % 3 = 2) as hybrid,
+    round(avg(value), 6) as mean_micros, round(count(*) filter (where event_id % 7 = 0) / count(*), 6) as hit_rate from events""", views=False)
 def search_stats_rollup(v: Views) -> DataFrame:
-    log = v.session_queries()
-    return log.groupBy(F.col("query").alias("kind")).agg(F.count("*").alias("searches"), r6(F.avg("value")).alias("mean_value"), r6(F.count_if(F.col("event_id") % 3 == 0) / F.count("*")).alias("hit_rate"))
+    kind = F.element_at(F.array(F.lit("bm25"), F.lit("vector"), F.lit("hybrid")), (F.col("event_id") % 3 + 1).cast("int"))
+    log = v.session_queries().select(kind.alias("kind"), F.col("value").alias("micros"), (F.col("event_id") % 7 == 0).alias("cache_hit"))
+    return rollups.search_stats(log).withColumns({"mean_micros": r6("mean_micros"), "hit_rate": r6("hit_rate")})
+
+
+@query("select count(*) as requests, count(*) filter (where event_id % 11 = 0) as errors, count(*) filter (where event_id % 7 = 0) as hits, count(*) filter (where event_id % 7 <> 0) as misses, round(count(*) filter (where event_id % 7 = 0) * 100.0 / count(*), 6) as hit_rate, round(sum(value) / count(*), 6) as mean_millis from events", views=False)
+def api_metrics(v: Views) -> DataFrame:
+    log = v.session_queries().select((F.col("event_id") % 11 != 0).alias("ok"), (F.col("event_id") % 7 == 0).alias("cache_hit"), F.col("value").alias("millis"))
+    return rollups.api_metrics(log).withColumns({"hit_rate": r6("hit_rate"), "mean_millis": r6("mean_millis")})
+
+
+@query("select label as model, count(*) as n from (select cast(label as varchar) as label from embeddings) group by label", views=False)
+def count_by_model(v: Views) -> DataFrame:
+    return store.count_by_model(v.vectors().select(F.col("label").cast("string").alias("model")))
+
+
+@query("select count(*) as cached from embeddings where label = 3", views=False)
+def count_cached_embeddings(v: Views) -> DataFrame:
+    return store.count_cached(v.vectors().select(F.col("label").cast("string").alias("model")), "3")
 
 
 # -- inverted index and BM25 --------------------------------------------------------------------------
@@ -304,7 +324,7 @@ def bm25_reference_score(v: Views) -> DataFrame:
 
 _BATCH = (
     _INDEX
-    + """, qt as (select distinct item_id as query_id, unnest(list_slice(w, 1, 2)) as term, len(list_distinct(list_slice(w, 1, 2))) as n_terms from (select item_id, """
+    + """, qt as (select distinct item_id as query_id, unnest(w) as term, len(list_distinct(w)) as n_terms from (select item_id, """
     + _TOKENS.format("text")
     + """ as w from benchmark)), f as (select id, term, sum(case field when 'title' then 10.0 else 5.0 end) as f from tok where term in (select term from qt) group by id, term)
     , df as (select term, count(*) as df from f group by term)
@@ -318,9 +338,8 @@ _BATCH = (
 
 
 def _batch(v: Views, per_query: int = 5) -> DataFrame:
-    """The first five documents of each benchmark item's first two words: one plan for all queries."""
-    short = F.array_join(F.slice(X.tokens(F.col("text")), 1, 2), " ")
-    queries = v.table("benchmark").select(F.col("item_id").alias("query_id"), short.alias("query"))
+    """The first five documents of each benchmark text, whole: one plan for all queries."""
+    queries = v.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     index = bm25.Index.build(v.active(), FIELDS)
     scored = index.score(bm25.query_terms(queries))
     return bm25.top_per_query(scored, per_query, F.desc(F.round("relevance", 9)), F.col("id"))
@@ -340,6 +359,76 @@ def recall_at_k(v: Views) -> DataFrame:
     return rollups.recall_at_k(_batch(v), expected, 5).select("query_id", r6("recall").alias("recall"))
 
 
+_TEN = (
+    ", d10 as (select d.id, d.title, d.body, concat('doc://', collection, '/', path) as filepath, coalesce(category, '') as summary, title as llm_title, difficulty as keywords, lang as intent, collection as concepts, concat('k', d.id % 50) as user_metadata, 'x' as modified_at from labelled d where active)"
+    ", tok as ("
+    + " union all ".join(f"select id, '{f}' as field, unnest(" + _TOKENS.format(f) + ") as term from d10" for f in bm25.DOCUMENT_WEIGHTS)
+    + "), lens as (select id, "
+    + " + ".join("len(" + _TOKENS.format(f) + ")" for f in bm25.DOCUMENT_WEIGHTS)
+    + " as len from d10), stats as (select count(*) as n_rows, avg(len) as avgdl from lens)"
+    + ", w as (select * from (values "
+    + ", ".join(f"('{f}', {w})" for f, w in bm25.DOCUMENT_WEIGHTS.items())
+    + ") t(field, w)), f as (select id, term, sum(w) as f from tok join w using (field) where term in ('this', 'src3', 'k7') group by id, term)"
+    + ", df as (select term, count(*) as df from f group by term)"
+    + ", parts as (select f.id, term, case when ln((n_rows - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n_rows - df + 0.5) / (df + 0.5)) end * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl)) as part from f join df using (term) join lens using (id) cross join stats)"
+)
+
+
+def _ten_fields(v: Views) -> DataFrame:
+    """Documents with all ten searched fields."""
+    return v.labelled().select(
+        "id", "title", "body", X.virtual_path(F.col("collection"), F.col("path")).alias("filepath"), F.coalesce("category", F.lit("")).alias("summary"), F.col("title").alias("llm_title"), F.col("difficulty").alias("keywords"),
+        F.col("lang").alias("intent"), F.col("collection").alias("concepts"), F.concat(F.lit("k"), (F.col("id") % 50).cast("string")).alias("user_metadata"), F.lit("x").alias("modified_at"), "active",
+    )
+
+
+_TEN_PAGE = "select id, round(cast(sum(part) as double), 6) as relevance from parts group by id having count(*) = 2"
+
+
+@query(_TEN.replace("'this', 'src3', 'k7'", "'src3', 'k7'") + _TEN_PAGE)
+def bm25_ten_fields(v: Views) -> DataFrame:
+    return bm25.search(_ten_fields(v).where("active"), "src3 k7", bm25.DOCUMENT_WEIGHTS).select("id", r6("relevance").alias("relevance"))
+
+
+def _kept_index(v: Views, rows: DataFrame):
+    """A kept index in the shared folder; one for each call, as the tables may change between calls."""
+    import tempfile
+    import uuid
+
+    from siftwell.operators.search_index import SearchIndex
+
+    root = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None and not v.spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
+    index = SearchIndex(store.Store(v.spark, f"{root}/siftwell-index/{uuid.uuid4().hex}"), buckets=8, parts=1)
+    return index.build(rows)
+
+
+@query(_TEN.replace("'this', 'src3', 'k7'", "'src3', 'k7'") + _TEN_PAGE)
+def bm25_stored_index(v: Views) -> DataFrame:
+    return _kept_index(v, _ten_fields(v).where("active")).search("src3 k7").select("id", r6("relevance").alias("relevance"))
+
+
+@query(_TEN.replace("where active)", "where active and d.id % 4 <> 1)").replace("'this', 'src3', 'k7'", "'src3', 'k7'") + _TEN_PAGE)
+def index_incremental(v: Views) -> DataFrame:
+    # built over half of the documents with other texts, then updated to the final state
+    rows = _ten_fields(v)
+    index = _kept_index(v, rows.where("active and id % 2 = 1").withColumn("body", F.lit("src3 k7 stale")))
+    changed = rows.withColumn("active", F.col("active") & (F.col("id") % 4 != 1))
+    return index.update(changed).search("src3 k7").select("id", r6("relevance").alias("relevance"))
+
+
+@query(_BATCH + "select query_id, id, round(relevance, 6) as relevance from rel")
+def batch_search_stored_index(v: Views) -> DataFrame:
+    from siftwell.operators.search_index import SearchIndex
+
+    built = _kept_index(v, v.active().select("id", "title", "body", *[F.lit("").alias(f) for f in bm25.DOCUMENT_WEIGHTS if f not in FIELDS]))
+    index = SearchIndex(built.tables, bm25.DOCUMENT_WEIGHTS, buckets=8, parts=1)
+    queries = v.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return index.score(bm25.query_terms(queries)).select("query_id", "id", r6("relevance").alias("relevance"))
+
+
 # -- vectors ----------------------------------------------------------------------------------------
 
 _Q = f"(select cast(embedding as double[]) from embeddings where vec_id = {VECTOR_ID})"
@@ -640,15 +729,15 @@ def search_directories(v: Views) -> DataFrame:
 # -- glossary ---------------------------------------------------------------------------------------
 
 _CONCEPTS = (
-    ", terms as (select item_id * 10 + i as ord, w[i] as term from (select item_id, string_split(array_to_string(list_slice(w0, 1, 5), ' '), ' ') as w, unnest(range(1, 6)) as i from (select item_id, " + _TOKENS.format("text") + " as w0 from benchmark)) where w[i] is not null)"
+    ", terms as (select item_id * 1000000 + i as ord, w[i] as term from (select item_id, w0 as w, unnest(range(1, len(w0) + 1)) as i from (select item_id, " + _TOKENS.format("text") + " as w0 from benchmark)) where w[i] is not null)"
     ", concepts as (select replace(lower(term), ' ', '_') as normalized, arg_min(term, ord) as term from terms group by 1)"
     ", bridge as (select distinct c.normalized, d.hash from concepts c join (select hash, unnest(" + _TOKENS.format("title") + ") as t from docs where active) d on d.t = c.normalized)\n"
 )
 
 
 def _terms(v: Views) -> DataFrame:
-    words = F.slice(X.tokens(F.col("text")), 1, 5)
-    return v.table("benchmark").select("item_id", F.posexplode(words).alias("i", "term")).select((F.col("item_id") * 10 + F.col("i") + 1).alias("ord"), "term")
+    words = X.tokens(F.col("text"))
+    return v.table("benchmark").select("item_id", F.posexplode(words).alias("i", "term")).select((F.col("item_id") * 1_000_000 + F.col("i") + 1).alias("ord"), "term")
 
 
 def _bridge(v: Views, concepts: DataFrame) -> DataFrame:
@@ -714,12 +803,16 @@ _MEMORIES = """with facts as (select conv_id * 1000 + turn as ord, 'm' || conv_i
 """
 
 
-def _memories(v: Views) -> DataFrame:
+def _facts(v: Views) -> DataFrame:
     facts = v.table("conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
         F.when(F.col("role") == "user", "preference").otherwise("fact").alias("category"), F.substring_index("text", " ", 1).alias("content"), ((F.col("turn") % 10) / 10.0).alias("confidence"),
     )
-    return sessions.upsert_memories(facts)
+    return facts
+
+
+def _memories(v: Views) -> DataFrame:
+    return sessions.upsert_memories(_facts(v))
 
 
 @query(_MEMORIES + "select content_hash, id, category, round(confidence, 6) as confidence, access_count from memories", views=False)
@@ -765,6 +858,27 @@ def directory_boost(v: Views) -> DataFrame:
     return sessions.directory_boost(_page(v)).select("id", r6("score").alias("score"))
 
 
+@query(_MEMORIES + """, facts2 as (select id || 'n' as id, 'entity' as category, content, least(confidence + 0.1, 1.0) as confidence, ord from facts where ord % 2 = 0 union all select id || 'o', 'fact', content || '!', 0.5, ord from facts where ord % 3 = 0)
+, m2 as (select sha256(content) as content_hash, arg_min(id, ord) as id, arg_min(category, ord) as category, max(confidence) as confidence, count(*) - 1 as access_count from facts2 group by content)
+select coalesce(a.content_hash, b.content_hash) as content_hash, coalesce(a.id, b.id) as id, coalesce(a.category, b.category) as category, round(greatest(a.confidence, b.confidence), 6) as confidence,
+case when a.id is not null and b.id is not null then a.access_count + b.access_count + 1 else coalesce(a.access_count, b.access_count) end as access_count from memories a full join m2 b using (content_hash)""", views=False)
+def memory_merge(v: Views) -> DataFrame:
+    stored = _memories(v)
+    facts = _facts(v)
+    again = facts.where("ord % 2 = 0").select(F.concat("id", F.lit("n")).alias("id"), F.lit("entity").alias("category"), "content", F.least(F.col("confidence") + 0.1, F.lit(1.0)).alias("confidence"), "ord")
+    other = facts.where("ord % 3 = 0").select(F.concat("id", F.lit("o")).alias("id"), F.lit("fact").alias("category"), F.concat("content", F.lit("!")).alias("content"), F.lit(0.5).alias("confidence"), "ord")
+    merged = sessions.merge_memories(stored, again.unionByName(other))
+    return merged.select("content_hash", "id", "category", r6("confidence").alias("confidence"), "access_count")
+
+
+@query("select event_id as id, ['preference', 'entity', 'pattern', 'fact', 'decision'][event_id % 5 + 1] as category, cast(event_id % 13 as double) / 10 as confidence from events where event_id % 5 <> 4 and event_id % 13 <= 10", views=False)
+def memory_validate(v: Views) -> DataFrame:
+    category = F.element_at(F.array(*map(F.lit, ["preference", "entity", "pattern", "fact", "decision"])), (F.col("event_id") % 5 + 1).cast("int"))
+    fact = F.struct(category.alias("category"), F.lit("x").alias("content"), ((F.col("event_id") % 13).cast("double") / 10).alias("confidence"))
+    answers = v.session_queries().select(F.col("event_id").alias("id"), F.concat(F.lit("so: "), F.to_json(F.array(fact)), F.lit(" .")).alias("response"))
+    return sessions.parse_memories(answers).select("id", "category", "confidence")
+
+
 # -- chunks -----------------------------------------------------------------------------------------
 
 
@@ -847,3 +961,53 @@ def sink_markdown_rows(v: Views) -> DataFrame:
     from siftwell.sources.sinks import markdown_row, xml_element
 
     return v.documents().select("id", markdown_row(F.col("title"), F.col("path")).alias("md"), xml_element("path", F.col("path")).alias("xml"))
+
+
+# -- chunks with vectors and documents ------------------------------------------------------------------
+
+_CHUNK_VECTORS = """, ch as (select hash, min(id) as doc, substring(hash, 1, 32) as chunk_hash from docs where active group by hash), cv as (select chunk_hash, hash, cast(embedding as double[]) as e from ch join embeddings on doc = vec_id)
+"""
+
+
+def _chunk_vectors(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Each active text as one chunk, and the vector of its first document."""
+    chunks = v.active().groupBy("hash").agg(F.min("id").alias("doc")).select(F.substring("hash", 1, 32).alias("hash"), F.col("hash").alias("document_hash"), "doc")
+    vectors = chunks.join(v.vectors(), F.col("doc") == F.col("id")).select(F.col("hash").alias("chunk_hash"), "embedding")
+    return chunks.drop("doc"), vectors
+
+
+@query(_CHUNK_VECTORS + f", q as (select cast(embedding as double[]) as q from embeddings where vec_id = {VECTOR_ID}), near as (select chunk_hash, hash, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) as score from cv cross join q order by score desc, chunk_hash limit 15) select chunk_hash, min(d.id) as id, round(max(score), 6) as score from near n join docs d on d.hash = n.hash and d.active where score >= 0.05 group by chunk_hash")
+def vector_chunk_topk(v: Views) -> DataFrame:
+    chunks, vectors = _chunk_vectors(v)
+    wanted = v.vectors().where(F.col("id") == VECTOR_ID).select(F.col("embedding").alias("q"))
+    return vector.search_chunks(vectors, chunks, v.active().select("id", "hash"), wanted, 15, 0.05).select("chunk_hash", "id", r6("score").alias("score"))
+
+
+@query(_CHUNK_VECTORS + "select chunk_hash, d.id, cast(0.5 as double) as score from (select * from ch order by chunk_hash limit 200) c join docs d on d.hash = c.hash and d.active")
+def chunk_document_fanout(v: Views) -> DataFrame:
+    from siftwell.operators.chunking import fan_out
+
+    chunks, _ = _chunk_vectors(v)
+    found = chunks.orderBy("hash").limit(200).select("hash", F.lit(0.5).alias("score"))
+    return fan_out(found, chunks, v.documents()).select("chunk_hash", "id", "score")
+
+
+@query(_CONCEPTS + "select (select count(*) from concepts) as concepts, (select count(*) from bridge) as links")
+def glossary_totals(v: Views) -> DataFrame:
+    concepts = glossary.upsert_concepts(_terms(v))
+    return rollups.glossary_totals(concepts, _bridge(v, concepts))
+
+
+@query("select document, seq, coalesce(right(lag(content) over (partition by document order by seq), 200), '') || chr(10) || coalesce(left(lead(content) over (partition by document order by seq), 200), '') as context from chunks")
+def chunk_context(v: Views) -> DataFrame:
+    from siftwell.operators.chunking import with_context
+
+    return with_context(v.chunks(), "document").select("document", "seq", "context")
+
+
+@query("select id from labelled where active and contains(category, 'ref') and difficulty = 'beginner'")
+def tool_post_filters(v: Views) -> DataFrame:
+    from siftwell.plans.engine import Engine
+
+    page = v.labelled().where("active").withColumn("keywords", F.array(F.lit("Rust Language")))
+    return Engine(v.spark, {}).post_filtered(page, "REF", "Beginner", "rust").select("id")

@@ -12,13 +12,13 @@ from siftwell.config import Config
 from siftwell.errors import CollectionNotFound, InvalidInput
 from siftwell.functions import text as X
 from siftwell.functions.snippets import with_snippet
-from siftwell.operators import bm25, context, filters, fusion, glossary, graph, rollups, sessions, store, vector
-from siftwell.operators import chunking
+from siftwell.operators import bm25, chunking, context, describe, filters, fusion, glossary, graph, rollups, sessions, store, vector
+from siftwell.operators.search_index import SearchIndex
 from siftwell.plans import hybrid, strategy, workflow
 from siftwell.sources.items import Registry
 
 DETAILS = ("L0", "L1", "L2")
-_DOC_COLUMNS = {"category": "string", "difficulty": "string", "keywords": "array<string>", "concepts": "array<string>", "summary": "string", "importance": "double", "user_metadata": "string", "modified_at": "timestamp", "provider_type": "string"}
+_DOC_COLUMNS = {"category": "string", "difficulty": "string", "keywords": "array<string>", "concepts": "array<string>", "summary": "string", "llm_title": "string", "intent": "string", "importance": "double", "user_metadata": "string", "modified_at": "timestamp", "provider_type": "string"}
 
 
 def project(page: DataFrame, detail: str = "L1") -> DataFrame:
@@ -80,8 +80,37 @@ class Engine:
         for name, kind in _DOC_COLUMNS.items():
             if name not in docs.columns:
                 docs = docs.withColumn(name, F.lit(None).cast(kind))
+        if "filepath" not in docs.columns:
+            docs = docs.withColumn("filepath", X.virtual_path(F.col("collection"), F.col("path")))
         return docs.where("active")
 
+    # -- the kept index
+
+    def index(self) -> SearchIndex | None:
+        """The kept index of documents, if the tables are a store that has one."""
+        found = SearchIndex(self.tables) if isinstance(self.tables, store.Store) else None
+        return found if found is not None and found.exists() else None
+
+    def reindex(self) -> SearchIndex:
+        """Index all documents anew."""
+        if not isinstance(self.tables, store.Store):
+            raise InvalidInput("an index is kept in a store")
+        return SearchIndex(self.tables).build(self.documents())
+
+    def _index_changes(self, changed: DataFrame) -> None:
+        """Bring the kept index up to date with documents (id) that came, changed or went."""
+        if not isinstance(self.tables, store.Store):
+            return
+        fields = list(bm25.DOCUMENT_WEIGHTS)
+        live = self.documents().select("id", *fields)
+        rows = changed.select("id").distinct().join(live.withColumn("active", F.lit(True)), "id", "left").withColumn("active", F.coalesce("active", F.lit(False)))
+        SearchIndex(self.tables).update(rows)
+
+    def _relevance(self, query: str, docs: DataFrame, weights: dict | None) -> DataFrame:
+        """``id, relevance`` from the kept index, or computed from the documents where there is none."""
+        kept = self.index() if weights is None else None
+        return kept.search(query) if kept else bm25.search(docs, query, weights or bm25.DOCUMENT_WEIGHTS)
+
     def has_vectors(self) -> bool:
         return self.embedder is not None and bool(self.table("embeddings").take(1))
 
@@ -124,19 +153,59 @@ class Engine:
         changes = store.diff(current, rows)
         merged = store.apply_diff(current, rows.drop("doc"), changes)
         others = self.table("documents").where(F.col("collection") != name)
+        ids = merged.select("collection", "path", "id").join(changes.where("action <> 'skip'").select("collection", "path", "action"), ["collection", "path"])
         out = changes.select("path", "action").persist()
-        out.count()
-        self._save("content", self.table("content").unionByName(store.new_content(rows.select("hash", "doc", "created_at"), self.table("content"))))
+        touched = ids.select("id").persist()
+        out.count(), touched.count()
+        fresh = store.new_content(rows.select("hash", "doc", "created_at"), self.table("content"))
+        if isinstance(self.tables, store.Store):
+            self.tables.append("content", fresh)
+        else:
+            self._save("content", self.table("content").unionByName(fresh))
         self._save("documents", others.unionByName(merged, allowMissingColumns=True))
+        self._store_chunks(out)
+        self._index_changes(touched)
         rows.unpersist()
         return out
 
+    def _store_chunks(self, changes: DataFrame) -> None:
+        """Chunk the texts that have no chunks yet, and describe the chunks."""
+        if not changes.where("action in ('insert', 'update', 'reactivate')").take(1):
+            return
+        todo = self.documents().join(self.table("chunks").select(F.col("document_hash").alias("hash")).distinct(), "hash", "left_anti")
+        made = chunking.chunk_documents(todo.select("hash", "path", "body"))
+        made = made.join(describe.describe_chunks(made), "hash")
+        self._save("chunks", store.chunk_upsert(self.table("chunks"), made))
+
+    def describe(self, collection: str | None = None, force: bool = False, responses: DataFrame | None = None) -> DataFrame:
+        """Metadata of documents that have none, or of all with ``force``: from a model's ``responses`` (hash,
+        response) or the offline generator. Concepts are linked to the documents' chunks. The hashes described."""
+        docs = self.documents() if collection is None else self.documents().where(F.col("collection") == collection)
+        todo = docs if force else docs.where("summary is null")
+        made = describe.describe_documents(todo) if responses is None else describe.parse_response(responses).join(todo.select("hash").distinct(), "hash", "left_semi")
+        made = made.persist()
+        fields = [f.split()[0] for f in describe.FIELDS.split(", ")]
+        stored = store.with_columns_of(self.table("documents"), "documents")
+        self._save("documents", store.update_columns(stored, made, "hash", fields))
+        terms = made.select("hash", F.posexplode("concepts").alias("ord", "term"))
+        fresh = glossary.upsert_concepts(terms)
+        known = self.table("concepts")
+        new = fresh.join(known.select("normalized"), "normalized", "left_anti").select(F.xxhash64("normalized").alias("id"), "term", "normalized", F.lit(0).cast("long").alias("chunk_count"))
+        concepts = self._save("concepts", known.unionByName(new))
+        extracted = terms.select(F.col("hash").alias("document_hash"), "term", F.lit("").alias("snippet"))
+        links = glossary.link_concepts(concepts.select("normalized"), extracted, self.table("chunks"))
+        links = links.join(concepts.select("normalized", F.col("id").alias("concept_id")), "normalized").select("concept_id", "chunk_hash", "document_hash", "snippet")
+        self._save("concept_chunks", store.upsert(self.table("concept_chunks"), links, ["concept_id", "chunk_hash"]))
+        out = made.select("hash")
+        self._index_changes(self.documents().join(out, "hash", "left_semi"))
+        return out
+
     update = collection_update
 
     def embed(self, embed_batch: Callable[[Sequence[str]], Sequence[Sequence[float]]], model: str, force: bool = False) -> DataFrame:
         """Embed what has no vector yet (everything with ``force``): chunks, cache, misses in batches of 32.
 
-        Returns the new vectors ``hash, seq, chunk_hash, embedding``; hits come from the cache table.
+        Vectors and the cache are stored; returns the new vectors ``hash, seq, chunk_hash, embedding, model, cached``.
         """
         import pandas as pd
 
@@ -154,19 +223,37 @@ class Engine:
                     yield pd.DataFrame({"chunk_hash": part["chunk_hash"], "embedding": [list(map(float, v)) for v in embed_batch(list(part["content"]))]})
 
         fresh = misses.dropDuplicates(["chunk_hash"]).select("chunk_hash", "content").mapInPandas(run, "chunk_hash string, embedding array<float>")
-        made = misses.join(fresh, "chunk_hash").select("hash", "seq", "chunk_hash", "embedding").unionByName(hits.select("hash", "seq", "chunk_hash", "embedding"))
-        return made.withColumn("model", F.lit(model))
+        columns = ["hash", "seq", "chunk_hash", "embedding"]
+        made = misses.join(fresh, "chunk_hash").select(*columns, F.lit(False).alias("cached")).unionByName(hits.select(*columns, F.lit(True).alias("cached")))
+        made = made.withColumn("model", F.lit(model)).persist()
+        vectors = made.select("hash", "seq", "model", "embedding")
+        self._save("embeddings", store.upsert(store.with_columns_of(self.table("embeddings"), "embeddings"), vectors, ["hash", "seq", "model"]))
+        new = made.where("not cached").dropDuplicates(["chunk_hash"]).select("chunk_hash", "model", "embedding")
+        self._save("chunk_embeddings", store.upsert(self.table("chunk_embeddings"), new, ["chunk_hash", "model"]))
+        first = made.select(F.size("embedding").alias("n")).first()
+        if first:
+            self._save("model_metadata", store.register_model(self.table("model_metadata"), model, first["n"]))
+        return made
 
     def cleanup(self) -> dict[str, int]:
-        """Drop content and vectors of no active document, concepts of no chunk; counts of what went."""
+        """Drop content, vectors and chunks of no active document, and concepts of no chunk; counts of what went."""
         live, out = self.table("documents").where("active"), {}
-        for name in ("content", "embeddings"):
-            rows = self.table(name)
-            kept = store.live_only(rows, live)
-            out[name] = rows.count() - kept.count()
+
+        def keep(name: str, kept: DataFrame) -> None:
+            out[name] = self.table(name).count() - kept.count()
             self._save(name, kept)
+
+        for name, key in (("content", "hash"), ("embeddings", "hash"), ("chunks", "document_hash")):
+            keep(name, store.live_only(self.table(name), live.select(F.col("hash").alias(key)), key))
+        keep("concept_chunks", store.live_only(self.table("concept_chunks"), self.table("chunks").select(F.col("hash").alias("chunk_hash")), "chunk_hash"))
+        keep("concepts", store.live_only(self.table("concepts"), self.table("concept_chunks").select(F.col("concept_id").alias("id")), "id"))
         return out
 
+    def migrate(self) -> None:
+        """Bring stored tables of earlier versions to today's columns."""
+        for name in ("documents", "chunks", "memories", "embeddings"):
+            self._save(name, store.with_columns_of(self.table(name), name))
+
     # -- contexts, lookups
 
     def context_add(self, path: str, text: str) -> DataFrame:
@@ -213,8 +300,7 @@ class Engine:
         """Keyword search; inline filters apply, ``min_score`` after the limit."""
         clean, pairs = X.parse_filters(query)
         docs = self.documents()
-        weights = weights or {"path": 1.0, "title": 10.0, "body": 5.0}
-        found = bm25.search(docs, clean, weights)
+        found = self._relevance(clean, docs, weights)
         rows = self._filtered(docs, pairs, collection, provider).drop("body")
         scored = found.join(rows, "id").withColumn("score", bm25.score_of(F.col("relevance"), F.col("importance"), mode or self.config.score_mode)).drop("relevance")
         return bm25.top(scored, limit, F.desc("score"), F.col("id")).where(F.col("score") >= min_score)
@@ -234,8 +320,11 @@ class Engine:
             return bm25.top(keyword, limit, F.desc("score"), F.col("id")).where(F.col("score") >= min_score)
         near = self.search_vector(query, 3 * limit, collection)
         if use_expansion and self.expander:
-            for q in self.expander(query):
-                keyword = keyword.unionByName(self.search_bm25(q, limit, collection))
+            for kind, q in self._expansions(query):
+                if kind == "lexical":
+                    keyword = keyword.unionByName(self.search_bm25(q, limit, collection))
+                else:
+                    near = near.unionByName(self.search_vector(q, limit, collection))
         lists = [fusion.ranked(fusion.keep_first(fusion.ranked(p, F.desc("score"), F.col("id")), "id", "rank").drop("rank"), F.desc("score"), F.col("id")) for p in (keyword, near)]
         rerank = None
         if use_reranking and self.reranker:
@@ -245,6 +334,24 @@ class Engine:
         fused = hybrid.fuse_and_rerank(lists[0], lists[1], rerank, min_score=min_score, limit=limit)
         return F.broadcast(fused).join(self.documents().drop("body"), "id").orderBy(F.desc("score"), "id")
 
+    def _expansions(self, query: str) -> list[tuple[str, str]]:
+        """The expander's further queries with their kind: lexical ones go to keyword search, semantic and hyde
+        ones to vector search. Plain strings are lexical."""
+        out = []
+        for x in self.expander(query):
+            kind, text = ("lexical", x) if isinstance(x, str) else x
+            if kind not in ("lexical", "semantic", "hyde"):
+                raise InvalidInput(f"unknown kind of expansion: {kind}")
+            if text.strip() and text != query:
+                out.append((kind, text))
+        return out
+
+    def search_hybrid_plain(self, query: str, limit: int = 20, collection: str | None = None) -> DataFrame:
+        """Both lists fused by rank alone, without expansion, reranking or a shortcut."""
+        lists = [fusion.ranked(p, F.desc("score"), F.col("id")) for p in (self.search_bm25(query, 3 * limit, collection), self.search_vector(query, 3 * limit, collection))]
+        fused = hybrid.fuse_and_rerank(lists[0], lists[1], None, limit=limit)
+        return F.broadcast(fused).join(self.documents().drop("body"), "id").orderBy(F.desc("score"), "id")
+
     def search_chunks(self, query: str, limit: int | None = 20, labels: dict[str, str] | None = None) -> DataFrame:
         """Chunk search; ``label:name=value`` words in the query are label filters too."""
         wanted, words = dict(labels or {}), []
@@ -258,7 +365,27 @@ class Engine:
         found = chunking.search_chunks(chunks, X.sanitise_query(" ".join(words)), limit, "id", store.label_table(self.table("chunks")) if wanted else None, wanted)
         return found.join(chunks, "id").drop("id").orderBy(F.desc("score"), "hash")
 
-    def get_chunk(self, chunk_hash: str) -> DataFrame:
+    def search_chunks_vector(self, query: str, limit: int = 20, collection: str | None = None, min_score: float = 0.0, model: str | None = None) -> DataFrame:
+        """Chunk search by raw cosine over the chunks' vectors."""
+        if self.embedder is None:
+            raise InvalidInput("vector search needs an embedder")
+        vectors, docs = self.table("chunk_embeddings"), self.documents().drop("body", "summary", "concepts")
+        if model:
+            vectors = vectors.where(F.col("model") == model)
+        if collection:
+            docs = docs.where(F.col("collection") == collection)
+            own = self.table("chunks").join(docs.select(F.col("hash").alias("document_hash")), "document_hash", "left_semi")
+            vectors = vectors.join(own.select(F.col("hash").alias("chunk_hash")), "chunk_hash", "left_semi")
+        return vector.search_chunks(vectors, self.table("chunks"), docs, list(self.embedder("search_query: " + query)), limit, min_score)
+
+    def chunk_documents_of(self, found: DataFrame) -> DataFrame:
+        """Hits of :meth:`search_chunks` with every active document that has the chunk's text."""
+        return chunking.fan_out(found.select("hash", "score"), self.table("chunks"), self.documents().withColumn("active", F.lit(True)).drop("body", "summary", "concepts"))
+
+    def get_chunk(self, chunk_hash: str | None = None, label: tuple[str, str] | None = None) -> DataFrame:
+        """A chunk with its neighbours, or all chunks with a label."""
+        if label is not None:
+            return chunking.by_label(self.table("chunks"), store.label_table(self.table("chunks")), *label)
         return chunking.surrounding(self.table("chunks"), chunk_hash)
 
     navigate_chunks = get_chunk
@@ -275,7 +402,7 @@ class Engine:
                 "vector_search": lambda q, n, a: self.search_vector(q, n),
                 "hybrid_search": lambda q, n, a: self.search_hybrid(q, n, use_expansion=a.get("use_expansion", True), use_reranking=a.get("use_reranking", True)),
                 "bm25_chunk_search": chunk,
-                "vector_chunk_search": chunk,
+                "vector_chunk_search": lambda q, n, a: self.search_chunks_vector(q, n).withColumn("id", F.xxhash64("chunk_hash")).withColumnRenamed("document_hash", "hash"),
                 "glossary_search": lambda q, n, a: self.glossary(q, n),
             },
             self.reranker,
@@ -291,19 +418,36 @@ class Engine:
         return page.orderBy("ord")
 
     def unified(self, query: str, limit: int = 20, after: str | None = None, before: str | None = None, metadata: Sequence[str] = ()) -> DataFrame:
-        """Search by the heuristic strategy, then time and metadata filters."""
+        """Search by the heuristic strategy, then time and metadata filters; where it asks for chunks, documents of
+        the best chunks come in as well."""
         choice = strategy.heuristic_strategy(query, self.has_vectors())
-        pages = []
-        if choice.granularity in ("document", "both") or choice.strategy != "bm25":
-            pages.append({"bm25": self.search_bm25, "vector": self.search_vector, "hybrid": self.search_hybrid}[choice.strategy](query, limit))
-        page = pages[0]
+        page = {"bm25": self.search_bm25, "vector": self.search_vector, "hybrid": self.search_hybrid}[choice.strategy](query, limit)
+        if choice.granularity in ("chunk", "both") and self.table("chunks").take(1):
+            hits = self.chunk_documents_of(self.search_chunks(query, limit)).groupBy("id").agg(F.max("score").alias("score"))
+            more = hits.join(self.documents().drop("body"), "id").join(page.select("id"), "id", "left_anti")
+            page = page.unionByName(more.select(*page.columns) if set(page.columns) <= set(more.columns) else more, allowMissingColumns=True)
         now = self.now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         page = filters.temporal(page, filters.parse_time(after, now), filters.parse_time(before, now))
         for text in metadata:
             page = page.where(filters.parse_predicate(text).column(F.col("user_metadata")))
         return page
 
-    smart = unified
+    def smart(self, query: str, limit: int = 20, metadata: Sequence[str] = ()) -> DataFrame:
+        """:meth:`unified` of a query in words: what it says of time ("last week", "since 2 days ago") filters by
+        time and isn't searched for."""
+        words, after, before = strategy.time_in(query)
+        return self.unified(words or query, limit, after, before, metadata)
+
+    def post_filtered(self, page: DataFrame, category: str | None = None, difficulty: str | None = None, concept: str | None = None) -> DataFrame:
+        """A page's rows whose category contains a text, whose difficulty is one, or that have a keyword that
+        contains a concept; letter case doesn't count."""
+        if category:
+            page = page.where(F.lower("category").contains(category.lower()))
+        if difficulty:
+            page = page.where(F.lower("difficulty") == difficulty.lower())
+        if concept:
+            page = page.where(F.exists("keywords", lambda k: F.lower(k).contains(concept.lower())))
+        return page
 
     def snippets(self, page: DataFrame, query: str) -> DataFrame:
         """A page with snippets: bodies are fetched for its rows only."""
@@ -312,7 +456,8 @@ class Engine:
 
     def batch_search(self, queries: DataFrame, limit: int = 5, weights: dict | None = None) -> DataFrame:
         """``query_id, id, rank, relevance`` of many queries (query_id, query) in one plan, each document once."""
-        index = bm25.Index.build(self.documents(), weights or {"path": 1.0, "title": 10.0, "body": 5.0})
+        kept = self.index() if weights is None else None
+        index = kept or bm25.Index.build(self.documents(), weights or bm25.DOCUMENT_WEIGHTS)
         pages = bm25.top_per_query(index.score(bm25.query_terms(queries)), limit, F.desc("relevance"), F.col("id"))
         return context.first_of(pages, "id", "query_id", "rank")
 
@@ -383,6 +528,15 @@ class Engine:
         docs = self.documents()
         return graph.importance(docs, graph.link_edges(graph.links(docs), docs))
 
+    def store_importance(self) -> DataFrame:
+        """Rebuild the link table and write each document's importance back to it."""
+        docs = self.documents()
+        edges = graph.link_edges(graph.links(docs), docs)
+        self._save("document_links", edges.withColumn("link_type", F.lit("link")))
+        scores = graph.importance(docs, edges).select("id", F.col("importance").alias("importance_score"))
+        stored = store.with_columns_of(self.table("documents"), "documents")
+        return self._save("documents", store.update_columns(stored, scores, "id", ["importance_score"]))
+
     def directories(self) -> DataFrame:
         return rollups.directories(self.documents().withColumn("concepts", F.coalesce("concepts", F.expr("cast(array() as array<string>)"))).withColumn("active", F.lit(True)))
 
@@ -394,9 +548,37 @@ class Engine:
         found = bm25.search(dirs, X.sanitise_query(query), {"words": 1.0}, "path")
         return dirs.join(found, "path").orderBy(F.desc("relevance"), "path").limit(limit).drop("words")
 
+    _MEMORY = ("id", "category", "content", "content_hash", "confidence", "source", "access_count", "created_at", "updated_at", "last_accessed_at")
+
     def memory_store(self, facts: DataFrame) -> DataFrame:
-        """Facts (id, category, content, confidence, ord) merged by content."""
-        return sessions.upsert_memories(sessions.valid_memories(facts))
+        """Facts (id, category, content, confidence, ord) merged by content with the stored memories; invalid ones are left out."""
+        stored = self.table("memories")
+        merged = sessions.merge_memories(stored.withColumn("updated", F.lit(None).cast("long")), sessions.valid_memories(facts).withColumn("ord", F.col("ord").cast("long")))
+        old = stored.select("content_hash", "source", "created_at", "last_accessed_at", F.col("updated_at").alias("was_updated"))
+        joined = merged.join(old, "content_hash", "left")
+        rows = joined.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())).withColumn("updated_at", F.when(F.col("updated").isNull(), F.col("was_updated")).otherwise(F.current_timestamp()))
+        return self._save("memories", rows.select(*self._MEMORY))
+
+    def memory_list(self, limit: int = 20, offset: int = 0, category: str | None = None) -> DataFrame:
+        """A page of memories, the latest updated first."""
+        return sessions.memory_page(self.table("memories").withColumn("updated", F.col("updated_at")), limit, offset, category).drop("updated")
+
+    def memory_extract(self, session: str, extractor: Callable[[Sequence[str]], str]) -> DataFrame:
+        """Memories of a session: ``extractor`` gets its last 50 queries and answers with a JSON list of
+        ``category, content, confidence``; the valid ones are stored."""
+        log = self.session_history(session).orderBy(F.desc("created_at")).limit(sessions.MOST_LOGGED).select("query").collect()
+        if not log:
+            return self.table("memories").limit(0)
+        answer = self.spark.createDataFrame([(extractor([r["query"] for r in reversed(log)]),)], "response string")
+        facts = sessions.parse_memories(answer).select(F.concat(F.lit("mem-"), F.expr("uuid()")).alias("id"), "*", F.monotonically_increasing_id().alias("ord"))
+        return self.memory_store(facts)
+
+    def memory_get(self, memory_id: str) -> DataFrame:
+        """A memory; that it was read is counted."""
+        own = F.col("id") == memory_id
+        rows = self.table("memories")
+        self._save("memories", rows.withColumns({"access_count": F.when(own, F.col("access_count") + 1).otherwise(F.col("access_count")), "last_accessed_at": F.when(own, F.current_timestamp()).otherwise(F.col("last_accessed_at"))}))
+        return self.table("memories").where(own)
 
     def memory_search(self, query: str, limit: int = 10, category: str | None = None) -> DataFrame:
         rows = self.table("memories")

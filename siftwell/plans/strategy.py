@@ -64,3 +64,33 @@ def is_code_identifier(query: str) -> bool:
         if (w[0].isupper() and lower and upper) or (w[0].islower() and upper):
             return True
     return False
+
+
+#: How a query says a span of time, and how it begins and ends there.
+_SPAN = r"(?:(\d+)\s+)?(hour|day|week|month|year)s?"
+_PHRASES = (
+    (rf"\b(?:in|from|within|over)?\s*(?:the\s+)?(?:last|past)\s+{_SPAN}\b", "after"),
+    (rf"\bsince\s+{_SPAN}\s+ago\b", "after"),
+    (rf"\b(?:before|older than)\s+{_SPAN}(?:\s+ago)?\b", "before"),
+    (r"\b(?:from\s+)?(yesterday|today)\b", "day"),
+)
+
+
+def time_in(query: str) -> tuple[str, str | None, str | None]:
+    """A query without its first phrase of each kind about time, and what :func:`filters.parse_time` is given for
+    the time after which and before which rows must be."""
+    import re
+
+    after = before = None
+    for pattern, kind in _PHRASES:
+        found = re.search(pattern, query, re.IGNORECASE)
+        if not found:
+            continue
+        if kind == "day":
+            after = after or ("1 day ago" if found.group(1).lower() == "today" else "2 days ago")
+        else:
+            n = found.group(1) or "1"
+            said = f"{n} {found.group(2).lower()}{'' if n == '1' else 's'} ago"
+            after, before = (after or said, before) if kind == "after" else (after, before or said)
+        query = (query[: found.start()] + " " + query[found.end() :]).strip()
+    return " ".join(query.split()), after, before

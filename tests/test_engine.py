@@ -177,3 +177,87 @@ def test_streams(spark, tmp_path):
     q.stop()
     got = {(r["session"], r["expired"]): r["n"] for r in spark.sql("select * from state").collect()}
     assert got[("u", False)] == 3 and got.get(("u", True), 3) == 3
+
+
+# -- the kept index, chunks, memories
+
+
+@pytest.fixture(scope="module")
+def kept(spark, folder, tmp_path_factory):
+    e = Engine(spark, Store(spark, str(tmp_path_factory.mktemp("kept"))), embedder=embed, expander=lambda q: ["ownership", ("semantic", "python"), ("hyde", "async rust")])
+    e.collection_add("docs", folder)
+    e.update("docs")
+    return e
+
+
+def test_the_index_is_kept_and_follows_updates(kept, folder):
+    assert kept.index() is not None
+    plain = {r["id"]: r["relevance"] for r in bm25.search(kept.documents(), "rust", bm25.DOCUMENT_WEIGHTS).collect()}
+    assert {r["id"]: r["relevance"] for r in kept.index().search("rust").collect()} == pytest.approx(plain) and len(plain) == 2
+    path = os.path.join(folder, "late.md")
+    with open(path, "w") as f:
+        f.write("# Late\n\nRust comes late here, rust and zebra.\n")
+    kept.update("docs")
+    assert kept.search_bm25("zebra").first()["path"] == "late.md" and kept.search_bm25("rust").count() == 3
+    with open(path, "w") as f:
+        f.write("# Late\n\nOnly giraffes now.\n")
+    kept.update("docs")
+    assert kept.search_bm25("zebra").count() == 0 and kept.search_bm25("giraffes").count() == 1
+    os.remove(path)
+    kept.update("docs")
+    assert kept.search_bm25("giraffes").count() == 0 and kept.search_bm25("rust").count() == 2
+    before = {r["id"]: r["relevance"] for r in kept.index().search("rust").collect()}
+    kept.index().compact()
+    assert {r["id"]: r["relevance"] for r in kept.index().search("rust").collect()} == pytest.approx(before) and before == pytest.approx(plain)
+    assert kept.tables.read("index_dead").count() == 0
+
+
+def test_chunks_vectors_and_expansions(kept):
+    assert kept.cleanup()["chunks"] == 2  # of the two texts that went
+    assert kept.table("chunks").count() == 3 and kept.table("chunks").where("summary is not null").count() == 3
+    made = kept.embed(lambda texts: [[0.1 + t.lower().count(w) for w in ("rust", "python", "async", "error")] for t in texts], "m")
+    assert made.count() == 3 and kept.table("embeddings").count() == 3 and kept.embed(lambda texts: 1 / 0, "m").count() == 0
+    again = kept.embed(lambda texts: 1 / 0, "m", force=True)
+    assert again.count() == 3 and again.where("cached").count() == 3
+    best = kept.search_chunks_vector("python", 2).first()
+    assert best["path"] == "python-intro.md" and best["chunk_hash"] and kept.search_chunks_vector("python", 2, collection="none").count() == 0
+    assert kept.chunk_documents_of(kept.search_chunks("ownership")).first()["path"] == "rust-intro.md"
+    assert kept.get_chunk(label=("type", "text")).count() == 3
+    assert kept.search_hybrid("what is rust", 5).count() >= 2 and kept.search_hybrid_plain("rust", 5).count() == 3
+    assert kept.smart("rust in the last 2 weeks", 5).count() >= 1 and kept.smart("rust before 2 weeks ago", 5).count() == 0
+    kept.describe()
+    assert kept.search_bm25("describes").count() == 3 and kept.table("concept_chunks").count() > 0
+    page = kept.search_bm25("rust")
+    assert kept.post_filtered(page, category="TUTOR").count() >= 1 and kept.post_filtered(page, concept="RUS").count() == 2 and kept.post_filtered(page, difficulty="Advanced").count() == 0
+    kept.store_importance()
+    assert kept.documents().where("importance > 0.7").count() == 1 and kept.table("document_links").count() == 1
+    kept.migrate()
+    assert kept.cleanup()["chunks"] == 0
+
+
+def test_memories(kept):
+    rows = [("a", "fact", "one", 0.5, 1), ("b", "entity", "two", 0.6, 2), ("c", "decision", "three", 0.6, 3), ("d", "fact", "four", 1.5, 4), ("e", "fact", "", 0.5, 5), ("f", "pattern", "one", 0.9, 6)]
+    frame = lambda r: kept.spark.createDataFrame(r, "id string, category string, content string, confidence double, ord long")
+    kept.memory_store(frame(rows))
+    got = {r["content"]: (r["id"], r["category"], r["confidence"], r["access_count"]) for r in kept.memory_list().collect()}
+    assert got == {"one": ("a", "fact", 0.9, 1), "two": ("b", "entity", 0.6, 0)}
+    kept.memory_store(frame([("z", "fact", "two", 0.1, 1)]))
+    assert kept.memory_list(1).first()["id"] == "b" and kept.memory_list().where("content = 'two'").first()["access_count"] == 1
+    kept.explore("rust", "m1")
+    kept.memory_extract("m1", lambda queries: f'Here: [{{"category": "preference", "content": "likes {queries[0]}", "confidence": 0.8}}, {{"category": "x", "content": "y", "confidence": 1}}] done')
+    assert kept.memory_search("likes").first()["content"] == "likes rust" and kept.memory_list(category="preference").count() == 1
+    kept.memory_extract("m1", lambda queries: "nothing")
+    assert kept.memory_get("a").first()["access_count"] == 2 and kept.table("memories").count() == 3
+
+
+def test_a_stopped_write_changes_nothing(spark, tmp_path, monkeypatch):
+    tables = Store(spark, str(tmp_path))
+    tables.write("contexts", spark.createDataFrame([("a", "1")], "path string, context string"))
+    monkeypatch.setattr(Store, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+    with pytest.raises(RuntimeError):
+        tables.write("contexts", spark.createDataFrame([("b", "2")], "path string, context string"))
+    assert tables.read("contexts").first()["path"] == "a"
+    monkeypatch.undo()
+    tables.write("contexts", spark.createDataFrame([("b", "2")], "path string, context string"))
+    tables.append("contexts", spark.createDataFrame([("c", "3")], "path string, context string"))
+    assert sorted(r["path"] for r in tables.read("contexts").collect()) == ["b", "c"]
