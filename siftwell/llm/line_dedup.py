@@ -9,8 +9,8 @@ three lines in a row share a fingerprint of them. A line of at least ``least_byt
 
 Each fingerprint is joined to its first occurrence, by document and position. Fingerprints within a shared
 run leave no gap, and at most one line at either end is missing; the hashes of those neighbours travel with
-the fingerprint, so matches are extended both ways. A fingerprint is 64 bits and is verified by 31 others
-and a sign that are computed from the same lines in another way, a neighbour by 64. Runs of covered lines with at
+the fingerprint, so matches are extended both ways. A fingerprint is 64 bits and is verified by 32 others
+that are computed from the same lines in another way, a neighbour is compared by 48. Runs of covered lines with at
 least ``least_bytes`` are deleted, each from every text but the first that holds it. Lines are compared
 with letter case, without the spaces (before a newline, white space) at their ends.
 
@@ -32,7 +32,12 @@ from siftwell.llm.common import row_numbers, staged
 LEAST_BYTES = 120
 #: What ends a line where a space follows, and the rules for lines of so many bytes.
 PICKED = ".n"
-FURTHER = ((96, "(?<=[!?sStTrR] )"), (128, "(?<=[a-mA-M] )"), (384, "(?<= )"))
+_END = "[!?,;:.]{1,3} "  # punctuation after a word's last letter, and the space
+FURTHER = (
+    (96, f"(?<=[sStTrR] )|(?<=[nNsStTrR]{_END})"),
+    (128, f"(?<=[a-mA-M] )|(?<=[a-mA-M]{_END})"),
+    (384, "(?<= )"),
+)
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -57,15 +62,15 @@ def _units(text: str = "text") -> str:
 
 
 def lines(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``doc_id, version, hashes, sizes, proofs``: line hashes and bytes of each text, and where any line is
-    long another hash of long lines (0 for others); version is a hash of the text."""
+    """``doc_id, version, hashes, longs``: line hashes of each text, and the places of its long lines, each with
+    another hash; version is a hash of the text."""
     clean = "if(endswith(u, '\\n'), btrim(u, ' \\t\\r\\n'), trim(u))"
-    proof = f"if(octet_length(u) < {least_bytes}, 0L, cast(conv(substr(md5({clean}), 1, 15), 16, 10) as bigint))"
+    proof = f"cast(conv(substr(md5({clean}), 1, 8), 16, 10) as bigint)"
+    long = f"filter(transform(units, (u, i) -> if(octet_length(u) < {least_bytes}, null, struct(i as i, {proof} as proof))), x -> x is not null)"
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
         .selectExpr("doc_id", "xxhash64(text) as version", f"{_units()} as units")
-        .selectExpr("doc_id", "version", f"transform(units, u -> xxhash64({clean})) as hashes", "transform(units, u -> octet_length(u)) as sizes", "units")
-        .selectExpr("doc_id", "version", "hashes", "sizes", f"if(array_max(sizes) >= {least_bytes}, transform(units, u -> {proof}), array()) as proofs")
+        .selectExpr("doc_id", "version", f"transform(units, u -> xxhash64({clean})) as hashes", f"if(exists(units, u -> octet_length(u) >= {least_bytes}), {long}, array()) as longs")
     )
 
 
@@ -82,16 +87,16 @@ def numbered_lines(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[Dat
     ranked = ranked.select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "doc")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("version").eqNullSafe(F.col("of_version"))
     # copies are dropped by aggregation, so that many rows of one document meet as one of each task
-    one = cut.groupBy("doc_id", "version").agg(*[F.first(c).alias(c) for c in ("hashes", "sizes", "proofs")])
+    one = cut.groupBy("doc_id", "version").agg(*[F.first(c).alias(c) for c in ("hashes", "longs")])
     return staged(one.join(ranked, same).drop("of", "of_version"), "lines"), base
 
 
-def fingerprints(cut: DataFrame, base: int, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``print, spot, proof, before, after`` of each text's fingerprints.
+def fingerprints(cut: DataFrame, base: int, slim: bool = False) -> DataFrame:
+    """``print, spot, before, after`` of each text's fingerprints; the first two only if ``slim``.
 
     ``spot`` is document and place as one number, so that the first of many is a plain minimum:
-    doc * base + line * 2 + whether it is a line by itself. ``proof`` verifies the print; ``before`` and
-    ``after`` are the hashes of the lines around, or null.
+    doc * base + line * 2 + whether it is a line by itself. ``before`` and ``after`` each hold 16 bits of the
+    proof that verifies the print and, above them, 48 bits of the hash of the line there, or 0.
     """
     n = "size(hashes)"
     grams = f"if({n} >= 2, zip_with(slice(hashes, 1, {n} - 1), slice(hashes, 2, {n} - 1), (a, b) -> xxhash64(a, b)), array())"
@@ -99,39 +104,44 @@ def fingerprints(cut: DataFrame, base: int, least_bytes: int = LEAST_BYTES) -> D
     minima = f"if({m} < 3, array(array_min(grams)), slice(zip_with(grams, slice(grams, 2, {m} - 1), (a, b) -> least(a, b)), 1, {m} - 1))"
     own = "x = get(minima, i) or x = get(minima, i - 1)"
     chosen = f"filter(transform(grams, (x, i) -> if(({own}) and not (x <=> get(grams, i + 1)), i, -1)), i -> i >= 0)"
-    long = f"if(array_max(sizes) >= {least_bytes}, filter(sequence(0, {n} - 1), i -> sizes[i] >= {least_bytes}), array())"
-    pair = f"transform(chosen, i -> struct(grams[i] as print, place + i * 2 as spot, cast((hashes[i] ^ shiftrightunsigned(hashes[i + 1], 7)) % 2147483647L as int) as proof, get(hashes, i - 1) as before, get(hashes, i + 2) as after))"
-    single = f"transform({long}, i -> struct(xxhash64(hashes[i], 1) as print, place + i * 2 + 1 as spot, cast(proofs[i] % 2147483647L as int) as proof, get(hashes, i - 1) as before, get(hashes, i + 1) as after))"
+
+    def around(first: str, last: str, proof: str) -> str:
+        if slim:
+            return ""
+        side = lambda at, bits: f"shiftleft(coalesce(get(hashes, {at}), 0L), 16) | ({bits} & 65535L)"
+        return f", {side(f'{first} - 1', proof)} as before, {side(f'{last} + 1', f'shiftright({proof}, 16)')} as after"
+
+    pair = f"transform(chosen, i -> struct(grams[i] as print, place + i * 2 as spot{around('i', 'i + 1', '(hashes[i] ^ shiftrightunsigned(hashes[i + 1], 7))')}))"
+    single = f"transform(longs, x -> struct(xxhash64(hashes[x.i], 1) as print, place + x.i * 2 + 1 as spot{around('x.i', 'x.i', 'x.proof')}))"
     return (
-        cut.selectExpr(f"doc * {base} as place", "hashes", "sizes", "proofs", f"{grams} as grams")
+        cut.selectExpr(f"doc * {base} as place", "hashes", "longs", f"{grams} as grams")
         .selectExpr("*", f"{minima} as minima")
         .selectExpr("*", f"{chosen} as chosen")
-        .selectExpr(f"explode(concat({pair}, {single})) as s")
+        .selectExpr(f"explode(if(size(longs) = 0, {pair}, concat({pair}, {single}))) as s")
         .select("s.*")
     )
 
 
 def repeated_runs(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``doc_id, version, runs``: runs of repeated lines of each text that has any, as structs lo, hi in order."""
+    """``doc_id, version, runs``: runs of repeated lines of each text that has any, as structs lo, hi in order, of any size."""
     cut, base = numbered_lines(docs, least_bytes)
-    prints = fingerprints(cut, base, least_bytes)
-    first = prints.groupBy("print").agg(F.min("spot").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = fingerprints(cut, base, slim=True).groupBy("print").agg(F.min("spot").alias("first"), F.count("*").alias("n")).where("n > 1")
     # as tables of their own, so that the joins below deal both sides anew and can split a common fingerprint
     first = staged(first.select("print", "first"), "first")
-    found = staged(prints.join(first, "print"), "found")
-    own = found.where("spot = first").selectExpr("print", "proof as first_proof", "before as first_before", "after as first_after")
-    later = found.where("spot <> first").join(own, "print").where("proof = first_proof")
+    found = staged(fingerprints(cut, base).join(first, "print"), "found")
+    own = found.where("spot = first").selectExpr("print", "before as first_before", "after as first_after")
+    proof = lambda x, y: f"(({x} ^ {y}) & 65535L) = 0"
+    later = found.where("spot <> first").join(own, "print").where(f"{proof('before', 'first_before')} and {proof('after', 'first_after')}")
+    same = lambda x, y: f"if({x} = {y} and shiftright({x}, 16) <> 0L, 1, 0)"
     hits = later.selectExpr(
-        f"spot div {base} as doc", f"cast((spot % {base}) div 2 as int) as line", f"2 - cast(spot % 2 as int) as len", "if(before = first_before, 1, 0) as left", "if(after = first_after, 1, 0) as right"
+        f"spot div {base} as doc", f"cast((spot % {base}) div 2 as int) as line", "2 - cast(spot % 2 as int) as len", f"{same('before', 'first_before')} as left", f"{same('after', 'first_after')} as right"
     ).selectExpr("doc", "line - left as lo", "line + len - 1 + right as hi")
     own = Window.partitionBy("doc").orderBy("lo", "hi")
     before = F.coalesce(F.max("hi").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2))
     islands = hits.withColumn("fresh", F.when(F.col("lo") > before + 1, 1).otherwise(0)).withColumn("island", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     runs = islands.groupBy("doc", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    listed = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("found"))
-    joined = listed.join(cut.select(F.col("doc").alias("of"), "doc_id", "version", "sizes"), F.col("doc") == F.col("of"))
-    long_enough = f"filter(found, r -> aggregate(slice(sizes, r.lo + 1, r.hi - r.lo + 1), 0L, (t, x) -> t + x) >= {least_bytes})"
-    return joined.selectExpr("doc_id", "version", f"{long_enough} as runs").where("size(runs) > 0")
+    listed = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
+    return listed.join(cut.select(F.col("doc").alias("of"), "doc_id", "version"), F.col("doc") == F.col("of")).select("doc_id", "version", "runs")
 
 
 def line_dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -139,13 +149,14 @@ def line_dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     runs = repeated_runs(docs, least_bytes).select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "runs")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     joined = chosen.join(runs, F.col("doc_id").eqNullSafe(F.col("of")) & F.xxhash64("text").eqNullSafe(F.col("of_version")), "left")
-    start, end = "if(j = 0, 0, runs[j - 1].hi + 1)", "if(j = size(runs), size(units), runs[j].lo)"
-    pieces = f"array_join(flatten(transform(sequence(0, size(runs)), j -> slice(units, {start} + 1, greatest({end} - ({start}), 0)))), '')"
-    kept = f"element_at(transform(array({_units()}), units -> {pieces}), 1)"
-    cleaned = joined.selectExpr("doc_id", "text as whole", "runs", f"case when runs is null then text else {kept} end as text")
+    start, end = "if(j = 0, 0, r[j - 1].hi + 1)", "if(j = size(r), size(units), r[j].lo)"
+    pieces = f"array_join(flatten(transform(sequence(0, size(r)), j -> slice(units, {start} + 1, greatest({end} - ({start}), 0)))), '')"
+    long = f"filter(runs, x -> octet_length(array_join(slice(units, x.lo + 1, x.hi - x.lo + 1), '')) >= {least_bytes})"
+    made = f"struct({pieces} as text, aggregate(r, 0, (a, x) -> a + x.hi - x.lo + 1) as n)"
+    cleaned = joined.selectExpr("doc_id", "text as whole", f"if(runs is null, null, {_let('units', _units(), _let('r', long, made))}) as made")
     return cleaned.selectExpr(
         "doc_id",
-        "text",
-        "cast(if(runs is null, 0, aggregate(runs, 0, (a, r) -> a + r.hi - r.lo + 1)) as int) as n_lines_deleted",
-        "if(runs is null, 0L, cast(octet_length(whole) - octet_length(text) as bigint)) as bytes_deleted",
+        "if(made is null, whole, made.text) as text",
+        "coalesce(made.n, 0) as n_lines_deleted",
+        "if(made is null, 0L, cast(octet_length(whole) - octet_length(made.text) as bigint)) as bytes_deleted",
     )

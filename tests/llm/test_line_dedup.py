@@ -3,6 +3,8 @@
 import random
 import re
 
+import regex
+
 from siftwell.llm import line_dedup as L
 
 SCHEMA = "doc_id long, text string"
@@ -12,7 +14,7 @@ def cut(text):
     """The lines by the docstring's words, a piece at a time."""
     out = re.split(f"(?<=\\n)|(?<=[{L.PICKED}] )", text or "")
     for least, after in L.FURTHER:
-        out = [p for u in out for p in (re.split(after, u) if len(u.encode()) >= least else [u])]
+        out = [p for u in out for p in (regex.split(after, u) if len(u.encode()) >= least else [u])]
     return [u for u in out if u]
 
 
