@@ -32,10 +32,9 @@ from siftwell.llm.common import row_numbers, staged
 LEAST_BYTES = 120
 #: What ends a line where a space follows, and the rules for lines of so many bytes.
 PICKED = ".n"
-_END = "[!?,;:.]{1,3} "  # punctuation after a word's last letter, and the space
 FURTHER = (
-    (96, f"(?<=[sStTrR] )|(?<=[nNsStTrR]{_END})"),
-    (128, f"(?<=[a-mA-M] )|(?<=[a-mA-M]{_END})"),
+    (96, "(?<= )(?<=[sStTrR] |[nNsStTrR][!?,;:.] |[nNsStTrR]!! )"),
+    (128, "(?<= )(?<=[a-mA-M] |[a-mA-M][!?,;:.] |[a-mA-M]!! )"),
     (384, "(?<= )"),
 )
 
@@ -153,10 +152,7 @@ def line_dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     pieces = f"array_join(flatten(transform(sequence(0, size(r)), j -> slice(units, {start} + 1, greatest({end} - ({start}), 0)))), '')"
     long = f"filter(runs, x -> octet_length(array_join(slice(units, x.lo + 1, x.hi - x.lo + 1), '')) >= {least_bytes})"
     made = f"struct({pieces} as text, aggregate(r, 0, (a, x) -> a + x.hi - x.lo + 1) as n)"
-    cleaned = joined.selectExpr("doc_id", "text as whole", f"if(runs is null, null, {_let('units', _units(), _let('r', long, made))}) as made")
-    return cleaned.selectExpr(
-        "doc_id",
-        "if(made is null, whole, made.text) as text",
-        "coalesce(made.n, 0) as n_lines_deleted",
-        "if(made is null, 0L, cast(octet_length(whole) - octet_length(made.text) as bigint)) as bytes_deleted",
-    )
+    whole = f"if(runs is null, struct(text as text, 0 as n), {_let('units', _units(), _let('r', long, made))})"
+    # by a generator, which computes its struct once
+    cleaned = joined.selectExpr("doc_id", "text as whole", "runs is null as same", f"inline(array({whole})) as (text, n)")
+    return cleaned.selectExpr("doc_id", "text", "n as n_lines_deleted", "if(same, 0L, cast(octet_length(whole) - octet_length(text) as bigint)) as bytes_deleted")
