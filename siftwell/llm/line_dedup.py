@@ -61,15 +61,16 @@ def _units(text: str = "text") -> str:
 
 
 def lines(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``doc_id, version, hashes, longs``: line hashes of each text, and the places of its long lines, each with
-    another hash; version is a hash of the text."""
+    """``doc_id, version, hashes, sizes, longs``: line hashes and bytes of each text, and the places of its long lines,
+    each with another hash; version is a hash of the text."""
     clean = "if(endswith(u, '\\n'), btrim(u, ' \\t\\r\\n'), trim(u))"
     proof = f"cast(conv(substr(md5({clean}), 1, 8), 16, 10) as bigint)"
     long = f"filter(transform(units, (u, i) -> if(octet_length(u) < {least_bytes}, null, struct(i as i, {proof} as proof))), x -> x is not null)"
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
         .selectExpr("doc_id", "xxhash64(text) as version", f"{_units()} as units")
-        .selectExpr("doc_id", "version", f"transform(units, u -> xxhash64({clean})) as hashes", f"if(exists(units, u -> octet_length(u) >= {least_bytes}), {long}, array()) as longs")
+        .selectExpr("doc_id", "version", f"transform(units, u -> xxhash64({clean})) as hashes", "transform(units, u -> octet_length(u)) as sizes", "units")
+        .selectExpr("doc_id", "version", "hashes", "sizes", f"if(array_max(sizes) >= {least_bytes}, {long}, array()) as longs")
     )
 
 
@@ -86,7 +87,7 @@ def numbered_lines(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[Dat
     ranked = ranked.select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "doc")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("version").eqNullSafe(F.col("of_version"))
     # copies are dropped by aggregation, so that many rows of one document meet as one of each task
-    one = cut.groupBy("doc_id", "version").agg(*[F.first(c).alias(c) for c in ("hashes", "longs")])
+    one = cut.groupBy("doc_id", "version").agg(*[F.first(c).alias(c) for c in ("hashes", "sizes", "longs")])
     return staged(one.join(ranked, same).drop("of", "of_version"), "lines"), base
 
 
@@ -122,7 +123,7 @@ def fingerprints(cut: DataFrame, base: int, slim: bool = False) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``doc_id, version, runs``: runs of repeated lines of each text that has any, as structs lo, hi in order, of any size."""
+    """``doc_id, version, runs``: runs of repeated lines of each text that has any, as structs lo, hi in order."""
     cut, base = numbered_lines(docs, least_bytes)
     first = fingerprints(cut, base, slim=True).groupBy("print").agg(F.min("spot").alias("first"), F.count("*").alias("n")).where("n > 1")
     # as tables of their own, so that the joins below deal both sides anew and can split a common fingerprint
@@ -140,7 +141,9 @@ def repeated_runs(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     islands = hits.withColumn("fresh", F.when(F.col("lo") > before + 1, 1).otherwise(0)).withColumn("island", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     runs = islands.groupBy("doc", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     listed = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
-    return listed.join(cut.select(F.col("doc").alias("of"), "doc_id", "version"), F.col("doc") == F.col("of")).select("doc_id", "version", "runs")
+    joined = listed.join(cut.select(F.col("doc").alias("of"), "doc_id", "version", "sizes"), F.col("doc") == F.col("of"))
+    long_enough = f"filter(runs, r -> aggregate(slice(sizes, r.lo + 1, r.hi - r.lo + 1), 0L, (t, x) -> t + x) >= {least_bytes})"
+    return joined.selectExpr("doc_id", "version", f"{long_enough} as runs").where("size(runs) > 0")
 
 
 def line_dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -148,11 +151,10 @@ def line_dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     runs = repeated_runs(docs, least_bytes).select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "runs")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     joined = chosen.join(runs, F.col("doc_id").eqNullSafe(F.col("of")) & F.xxhash64("text").eqNullSafe(F.col("of_version")), "left")
-    start, end = "if(j = 0, 0, r[j - 1].hi + 1)", "if(j = size(r), size(units), r[j].lo)"
-    pieces = f"array_join(flatten(transform(sequence(0, size(r)), j -> slice(units, {start} + 1, greatest({end} - ({start}), 0)))), '')"
-    long = f"filter(runs, x -> octet_length(array_join(slice(units, x.lo + 1, x.hi - x.lo + 1), '')) >= {least_bytes})"
-    made = f"struct({pieces} as text, aggregate(r, 0, (a, x) -> a + x.hi - x.lo + 1) as n)"
-    whole = f"if(runs is null, struct(text as text, 0 as n), {_let('units', _units(), _let('r', long, made))})"
+    start, end = "if(j = 0, 0, runs[j - 1].hi + 1)", "if(j = size(runs), size(units), runs[j].lo)"
+    pieces = f"array_join(flatten(transform(sequence(0, size(runs)), j -> slice(units, {start} + 1, greatest({end} - ({start}), 0)))), '')"
+    made = f"struct({pieces} as text, aggregate(runs, 0, (a, x) -> a + x.hi - x.lo + 1) as n)"
+    whole = f"if(runs is null, struct(text as text, 0 as n), {_let('units', _units(), made)})"
     # by a generator, which computes its struct once
     cleaned = joined.selectExpr("doc_id", "text as whole", "runs is null as same", f"inline(array({whole})) as (text, n)")
     return cleaned.selectExpr("doc_id", "text", "n as n_lines_deleted", "if(same, 0L, cast(octet_length(whole) - octet_length(text) as bigint)) as bytes_deleted")
