@@ -6,6 +6,7 @@ Nothing here collects rows of a corpus to the driver, and nothing writes outside
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -186,6 +187,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: the workers of one executor share its memory, and stay for other stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most_bytes`` of text each, or a single row."""
     import pyarrow.compute as pc
@@ -197,7 +208,7 @@ def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 8 << 20) -> Itera
         stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
         yield batch.slice(start, stop - start)
         start = stop
-        pa.default_memory_pool().release_unused()  # workers of one executor share its memory
+        _give_back()
 
 
 class Words:

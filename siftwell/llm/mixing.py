@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import binary_texts, free_name, row_numbers, staged
+from siftwell.llm.common import binary_texts, free_name, row_numbers, slices, staged
 
 #: The weights that sources get in turn, and the most epochs of a source.
 WEIGHTS = (5, 2, 1)
@@ -53,7 +53,7 @@ def sample_key(doc_id: int | None, weight: float, seed: int) -> float:
 
 def _keys(seed: int, size: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 1)):
             sizes, keys = [], []
             for doc, text in zip(b.column(0).to_pylist(), binary_texts(b.column(1))):
                 words = text.split()

@@ -506,7 +506,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         matcher = worker_cache(("matcher", m.token), lambda: Matcher(m.lexicon, m.context))
-        for b in (x for batch in batches for x in slices(batch, place)):
+        for b in (x for batch in batches for x in slices(batch, place, 2 << 20)):
             rows, _ = matcher.features(b.column(place))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.scores(rows))], names=[*b.schema.names, name])
 
@@ -530,7 +530,7 @@ def _slim(chosen: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         matcher = worker_cache(("matcher", m.token), lambda: Matcher(m.lexicon, m.context))
-        for b in (x for batch in batches for x in slices(batch, 2)):
+        for b in (x for batch in batches for x in slices(batch, 2, 2 << 20)):
             rows, _ = matcher.features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m.scores(rows))], names=["doc_id", "held_out", "score"])
 
