@@ -254,8 +254,9 @@ def numbered(docs: DataFrame, name: str = "numbered") -> tuple[DataFrame, str]:
 
 
 def keep_rows(rows: DataFrame, row_id: str, kept: DataFrame) -> DataFrame:
-    """The rows of a :func:`numbered` table whose number is in ``kept`` (one column), without it."""
-    return rows.join(kept.select(F.col(kept.columns[0]).alias(row_id)), row_id, "left_semi").drop(row_id)
+    """The rows of a :func:`numbered` table whose number is in ``kept`` (one column), without it. Numbers grow with
+    the rows, so they are never broadcast."""
+    return rows.join(kept.select(F.col(kept.columns[0]).alias(row_id)).hint("merge"), row_id, "left_semi").drop(row_id)
 
 
 def first_rows(rows: DataFrame, row_id: str = "row_id", most_live: int = 100_000) -> DataFrame:
