@@ -186,6 +186,66 @@ def embedding_cache_hits(v: Views) -> DataFrame:
     return stats.select(F.col("chunks").alias("n"), F.col("cached_chunks").alias("hits"), r6(F.col("hit_rate") / 100).alias("hit_rate"))
 
 
+@query(_INCOMING + "select distinct hash from incoming where hash not in (select hash from content)")
+def ingest_new_content(v: Views) -> DataFrame:
+    return store.new_content(_incoming(v).select("hash"), v.content())
+
+
+@query(_INCOMING + "select collection, path, coalesce(i.hash, d.hash) as hash, i.hash is not null as active from docs d full outer join incoming i using (collection, path)")
+def ingest_apply_diff(v: Views) -> DataFrame:
+    current, incoming = v.documents().select("collection", "path", "hash", "active"), _incoming(v)
+    return store.apply_diff(current, incoming, store.diff(current, incoming)).select("collection", "path", "hash", "active")
+
+
+@query("select id, case when collection = 'src0' then 'renamed' else collection end as collection, active and not coalesce(collection = 'src1', false) as active from docs")
+def collection_rename_remove(v: Views) -> DataFrame:
+    return store.rename_collection(store.remove_collection(v.documents(), "src1"), "src0", "renamed").select("id", "collection", "active")
+
+
+@query("select id, case when id % 3 = 0 then 'set by ' || lang else difficulty end as difficulty from docs")
+def update_columns_by_key(v: Views) -> DataFrame:
+    docs = v.documents().select("id", "difficulty", "lang")
+    changes = docs.where("id % 3 = 0").select("id", F.concat(F.lit("set by "), "lang").alias("difficulty"))
+    return store.update_columns(docs, changes, "id", ["difficulty"]).select("id", "difficulty")
+
+
+@query("select document as document_hash, seq, chunk_id as hash from chunks where document % 5 <> 0 union all select distinct document, seq, 'n' || chunk_id from chunks where document % 5 = 0")
+def chunk_replace(v: Views) -> DataFrame:
+    stored = v.chunks().select(F.col("document").alias("document_hash"), "seq", F.col("chunk_id").alias("hash"))
+    again = stored.where("document_hash % 5 = 0")
+    incoming = again.withColumn("hash", F.concat(F.lit("a"), "hash")).unionByName(again.withColumn("hash", F.concat(F.lit("n"), "hash")))
+    return store.chunk_upsert(stored, incoming).select("document_hash", "seq", "hash")
+
+
+@query("select chunk_id as chunk_hash, 'type' as key, chunk_type as value from chunks union all select chunk_id, 'parity', cast(seq % 2 as varchar) from chunks")
+def chunk_label_rows(v: Views) -> DataFrame:
+    labels = F.create_map(F.lit("type"), "chunk_type", F.lit("parity"), (F.col("seq") % 2).cast("string"))
+    return store.label_table(v.chunks().select(F.col("chunk_id").alias("hash"), labels.alias("labels")))
+
+
+@query("select distinct cast(label as varchar) as model, cast(64 + label % 2 as int) as dimensions from embeddings where label = 3 and 64 + label % 2 <> 64", views=False)
+def incompatible_models(v: Views) -> DataFrame:
+    models = v.vectors().select(F.col("label").cast("string").alias("model"), (64 + F.col("label") % 2).cast("int").alias("dimensions")).distinct()
+    return store.incompatible_models(models, "3", 64)
+
+
+# -- texts of queries and documents -------------------------------------------------------------------
+
+
+@query("select item_id, case item_id % 3 when 0 then 'category:Ref' when 1 then 'tag:x|keyword:Y:z' else '' end as filters, regexp_replace('std::' || text || '->f<T>', '::|->|<|>', ' ', 'g') as plain from benchmark", views=False)
+def query_filters_and_code(v: Views) -> DataFrame:
+    rest, m = F.col("text"), F.col("item_id") % 3
+    q = F.when(m == 0, F.concat(F.lit("Category:Ref "), rest)).when(m == 1, F.concat(F.lit("tag:x "), rest, F.lit(" KEYWORD:Y:z"))).otherwise(rest)
+    code = F.concat(F.lit("std::"), rest, F.lit("->f<T>"))
+    return v.table("benchmark").select("item_id", F.array_join(X.inline_filters(q), "|").alias("filters"), X.code_query(code).alias("plain"))
+
+
+@query("select id, octet_length(encode(body)) // 4 as tokens, 'title: ' || title || ' | text: ' || path as embedded, case id % 4 when 0 then 'rust' when 1 then 'tsx' when 2 then 'python' end as language from docs")
+def text_estimates(v: Views) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, ["src/a.RS", "b.tsx", "x/c.pyi", "d.md"])), (F.col("id") % 4 + 1).cast("int"))
+    return v.documents().select("id", X.token_estimate(F.col("body")).alias("tokens"), X.embedding_text(F.col("title"), F.col("path")).alias("embedded"), X.language_of(name).alias("language"))
+
+
 # -- counts -----------------------------------------------------------------------------------------
 
 
