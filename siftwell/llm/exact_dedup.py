@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import batches_of, binary_texts, free_name, staged
+from siftwell.llm.common import batches_of, binary_texts, free_name, map_texts, staged
 
 _SPACE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -218,7 +218,7 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row_id:
     """``row_id, doc_id, n_points, digest`` for each row, staged so that row_id is fixed; ``row_id`` names a
     column that numbers the rows already."""
     chosen = docs.select(F.col(doc_id).cast("long"), F.col(text), *([F.col(row_id).cast("long")] if row_id else []))
-    return staged(chosen.mapInArrow(_digest, _DIGESTS), "digests")
+    return staged(map_texts(chosen, _digest, _DIGESTS), "digests")
 
 
 def groups_of(digested: DataFrame, most_live: int = 100_000, bucket_rows: int = 200_000) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import binary_texts, free_name, row_numbers, slices, staged
+from siftwell.llm.common import binary_texts, free_name, map_texts, row_numbers, slices, staged
 
 #: The weights that sources get in turn, and the most epochs of a source.
 WEIGHTS = (5, 2, 1)
@@ -69,7 +69,7 @@ def with_keys(docs: DataFrame, seed: int, size: str, key: str) -> DataFrame:
     import pyspark.sql.types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField(size, T.LongType()), T.StructField(key, T.DoubleType())])
-    return docs.mapInArrow(_keys(seed, size, key), schema)
+    return map_texts(docs, _keys(seed, size, key), schema)
 
 
 def targets(sizes: list[tuple], weights: Sequence[float] = WEIGHTS, most_epochs: float = MOST_EPOCHS) -> list[tuple]:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, slices, staged, worker_cache
+from siftwell.llm.common import Words, map_texts, slices, staged, worker_cache
 
 LENGTH = 4096
 END_ID = 2
@@ -129,7 +129,7 @@ def _cut(path: str | None, length: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path or tokenizer_path()).batch
         row = TaskContext.get().partitionId() << 33
-        for b in (x for batch in batches for x in slices(batch, 1)):
+        for b in (x for batch in batches for x in slices(batch, 1, 2 << 20)):
             cols: list[list] = [[] for _ in schema.names]
             ids, ends = encode(b.column(1))
             at = 0
@@ -153,7 +153,7 @@ def _cut(path: str | None, length: int, end_id: int, with_ids: bool):
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """The documents' ids cut into pieces of ``length`` and a rest, staged; ``with_ids`` keeps the ids themselves."""
     run, schema = _cut(path, length, end_id, with_ids)
-    return staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "pieces")
+    return staged(map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, schema), "pieces")
 
 
 def pack_histogram(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:

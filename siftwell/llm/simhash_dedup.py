@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import binary_texts, components, slices, staged
+from siftwell.llm.common import binary_texts, components, map_texts, slices, staged
 
 SHINGLE = 4
 MOST_BITS = 4
@@ -128,7 +128,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, print`` (the fingerprint as a signed long) for each row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_prints, "doc_id long, print long")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), _prints, "doc_id long, print long")
 
 
 def _spread(sent, most_bits: int):
@@ -241,7 +241,7 @@ def first_rows(rows: DataFrame, row_id: str = "row_id", most_bits: int = MOST_BI
     """``keep_row``: the number of one row of each component of a table numbered by ``row_id``: that of the smallest
     doc_id (null only if there is no other), then of the smallest number."""
     chosen = rows.select(F.struct(F.col(row_id).cast("long").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id")).alias("ids"), "text")
-    of = staged(chosen.mapInArrow(_prints, "ids struct<row_id:long,doc_id:long>, print long").select("ids.*", "print"), "prints")
+    of = staged(map_texts(chosen, _prints, "ids struct<row_id:long,doc_id:long>, print long").select("ids.*", "print"), "prints")
     member = _members(of.select("doc_id", "print"), most_bits, popular, block).select(F.col("print").alias("p"), "root")
     # of each fingerprint first, so that copies of one text travel as a row for each task
     best = of.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("best"))

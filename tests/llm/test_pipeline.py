@@ -94,3 +94,64 @@ def test_clashing_and_nested_columns_and_long_texts(spark):
         if name in ("exact_dedup", "simhash_dedup"):
             assert docs.count() == 7
     assert docs.count() >= 7
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    """Every stage bounds the bytes of the batches that JVM and worker both hold; 10,000 rows are no bound. A lower bound stays."""
+    import pyarrow as pa
+
+    from siftwell.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat(cast(id as string), 2000) as text")
+    assert texts.selectExpr("sum(length(text))").first()[0] > 4 * common.BATCH_BYTES
+    before = spark.conf.get(key)
+    try:
+        for _, stage in C.STAGES:
+            spark.conf.set(key, "64m")
+            stage(spark, docs, SF)
+            got = texts.mapInArrow(sizes, "rows long, size long").collect()
+            assert sum(r["rows"] for r in got) == 3000 and max(r["size"] for r in got) <= common.BATCH_BYTES + (64 << 10)
+        spark.conf.set(key, "1m")
+        C.pack_sequences(spark, docs, SF)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_packing_encodes_little_at_a_time(monkeypatch):
+    """What a worker expands to ids at once is bounded, and its pieces are those of the whole batch."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from siftwell.llm import packing
+
+    seen = []
+
+    class Encode:
+        def batch(self, column):
+            seen.append(sum(map(len, column.to_pylist())))
+            ids = [np.frombuffer(x.encode(), np.uint8).astype(np.uint32) for x in column.to_pylist()]
+            return np.concatenate(ids), np.cumsum([len(x) for x in ids])
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Encode())
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    texts = [chr(97 + i % 26) * 5000 for i in range(1400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1400), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    run, _ = packing._cut("none", 4096, 2, False)
+    rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    assert sum(seen) == 7_000_000 and max(seen) <= 2 << 20
+    assert [(r["row_id"] - (3 << 33), r["doc_id"], r["start"], r["length"]) for r in rows] == [(i, i, s, n) for i in range(1400) for s, n in ((0, 4096), (4096, 905))]
+    whole = np.append(np.frombuffer(texts[9].encode(), np.uint8).astype("<u4"), np.uint32(2))
+    assert [r["ids_crc32"] for r in rows[18:20]] == [zlib.crc32(whole[:4096].tobytes()), zlib.crc32(whole[4096:].tobytes())]
