@@ -37,6 +37,8 @@ FURTHER = (
     (128, "(?<= )(?<=[a-mA-M] |[a-mA-M][!?,;:.] |[a-mA-M]!! )"),
     (384, "(?<= )"),
 )
+#: Prints of a partition that are joined by a table in memory, of a few dozen bytes each; more are sorted.
+MAPPED = 200_000
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -61,27 +63,16 @@ def _units(text: str = "text") -> str:
 
 
 def lines(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``doc_id, version, hashes, sizes, longs, chosen``: line hashes and bytes of each text, the places of its long
-    lines, each with another hash, and of the pairs that are winnowing minima; version is a hash of the text."""
+    """``doc_id, version, hashes, sizes, longs``: line hashes and bytes of each text, and the places of its long
+    lines, each with another hash; version is a hash of the text."""
     clean = "if(endswith(u, '\\n'), btrim(u, ' \\t\\r\\n'), trim(u))"
     proof = f"cast(conv(substr(md5({clean}), 1, 8), 16, 10) as bigint)"
     long = f"filter(transform(units, (u, i) -> if(octet_length(u) < {least_bytes}, null, struct(i as i, {proof} as proof))), x -> x is not null)"
-    n = "size(hashes)"
-    grams = f"if({n} >= 2, zip_with(slice(hashes, 1, {n} - 1), slice(hashes, 2, {n} - 1), (a, b) -> xxhash64(a, b)), array())"
-    m = "size(grams)"
-    minima = f"if({m} < 3, array(array_min(grams)), slice(zip_with(grams, slice(grams, 2, {m} - 1), (a, b) -> least(a, b)), 1, {m} - 1))"
-    own = "x = get(minima, i) or x = get(minima, i - 1)"
-    chosen = f"filter(transform(grams, (x, i) -> if(({own}) and not (x <=> get(grams, i + 1)), i, -1)), i -> i >= 0)"
-
-    kept = ("doc_id", "version", "hashes", "sizes", "longs")
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
         .selectExpr("doc_id", "xxhash64(text) as version", f"{_units()} as units")
         .selectExpr("doc_id", "version", f"transform(units, u -> xxhash64({clean})) as hashes", "transform(units, u -> octet_length(u)) as sizes", "units")
         .selectExpr("doc_id", "version", "hashes", "sizes", f"if(array_max(sizes) >= {least_bytes}, {long}, array()) as longs")
-        .selectExpr("*", f"{grams} as grams")
-        .selectExpr("*", f"{minima} as minima")
-        .selectExpr(*kept, f"{chosen} as chosen")
     )
 
 
@@ -98,7 +89,7 @@ def numbered_lines(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[Dat
     ranked = ranked.select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "doc")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("version").eqNullSafe(F.col("of_version"))
     # copies are dropped by aggregation, so that many rows of one document meet as one of each task
-    one = cut.groupBy("doc_id", "version").agg(*[F.first(c).alias(c) for c in ("hashes", "sizes", "longs", "chosen")])
+    one = cut.groupBy("doc_id", "version").agg(*[F.first(c).alias(c) for c in ("hashes", "sizes", "longs")])
     return staged(one.join(ranked, same).drop("of", "of_version"), "lines"), base
 
 
@@ -109,18 +100,21 @@ def fingerprints(cut: DataFrame, base: int, slim: bool = False) -> DataFrame:
     doc * base + line * 2 + whether it is a line by itself. ``before`` and ``after`` each hold 16 bits of the
     proof that verifies the print and, above them, 48 bits of the hash of the line there, or 0.
     """
-    def around(first: str, last: str, proof: str) -> str:
-        if slim:
-            return ""
-        side = lambda at, bits: f"shiftleft(coalesce(get(hashes, {at}), 0L), 16) | ({bits} & 65535L)"
-        return f", {side(f'{first} - 1', proof)} as before, {side(f'{last} + 1', f'shiftright({proof}, 16)')} as after"
-
-    pair = f"transform(chosen, i -> struct(xxhash64(hashes[i], hashes[i + 1]) as print, place + i * 2 as spot{around('i', 'i + 1', '(hashes[i] ^ shiftrightunsigned(hashes[i + 1], 7))')}))"
-    single = f"transform(longs, x -> struct(xxhash64(hashes[x.i], 1) as print, place + x.i * 2 + 1 as spot{around('x.i', 'x.i', 'x.proof')}))"
-    return (
-        cut.selectExpr(f"doc * {base} as place", "hashes", "longs", "chosen")
-        .selectExpr(f"explode(if(size(longs) = 0, {pair}, concat({pair}, {single}))) as s")
-        .select("s.*")
+    # a pair is at i >= 0, the long line number k at -1 - k; expressions of rows are compiled, unlike those of arrays
+    at = cut.where("size(hashes) > 0").selectExpr(f"doc * {base} as place", "hashes", "longs", "explode(sequence(-size(longs), size(hashes) - 1)) as i")
+    around = "get(hashes, i - 1) as a", "get(hashes, i) as b", "get(hashes, i + 1) as c", "get(hashes, i + 2) as d"
+    own, left, right = "xxhash64(b, c)", "xxhash64(a, b)", "xxhash64(c, d)"
+    minimum = f"(a is null and d is null) or (a is not null and {own} <= {left}) or (d is not null and {own} < {right})"
+    chosen = at.selectExpr("*", *around).where(f"i < 0 or (c is not null and not (d is not null and {own} = {right}) and ({minimum}))")
+    line, n = "get(longs, -1 - i).i", "if(i < 0, 1, 2)"
+    spots = chosen.selectExpr("hashes", "longs", "place", "i", f"if(i < 0, {line}, i) as line", "b", "c")
+    found = "if(i < 0, xxhash64(get(hashes, line), 1), xxhash64(b, c)) as print", "place + line * 2 + if(i < 0, 1, 0) as spot"
+    if slim:
+        return spots.selectExpr(*found)
+    proof = "if(i < 0, get(longs, -1 - i).proof, b ^ shiftrightunsigned(c, 7)) as proof"
+    side = lambda where, bits: f"shiftleft(coalesce(get(hashes, {where}), 0L), 16) | ({bits} & 65535L)"
+    return spots.selectExpr("hashes", *found, "line", "i", proof).selectExpr(
+        "print", "spot", f"{side('line - 1', 'proof')} as before", f"{side(f'line + {n}', 'shiftright(proof, 16)')} as after"
     )
 
 
@@ -130,8 +124,11 @@ def repeated_runs(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     first = fingerprints(cut, base, slim=True).groupBy("print").agg(F.min("spot").alias("first"), F.count("*").alias("n")).where("n > 1")
     # as tables of their own, so that the joins below deal both sides anew and can split a common fingerprint
     first = staged(first.select("print", "first"), "first")
-    found = staged(fingerprints(cut, base).join(first, "print"), "found")
-    own = found.where("spot = first").selectExpr("print", "before as first_before", "after as first_after")
+    # prints are dealt evenly and each is there once, so that few enough fit a table in memory and nothing is sorted
+    few = first.count() <= MAPPED * docs.sparkSession._jsparkSession.sessionState().conf().numShufflePartitions()
+    mapped = lambda df: df.hint("shuffle_hash") if few else df
+    found = staged(fingerprints(cut, base).join(mapped(first), "print"), "found")
+    own = mapped(found.where("spot = first").selectExpr("print", "before as first_before", "after as first_after"))
     proof = lambda x, y: f"(({x} ^ {y}) & 65535L) = 0"
     later = found.where("spot <> first").join(own, "print").where(f"{proof('before', 'first_before')} and {proof('after', 'first_after')}")
     same = lambda x, y: f"if({x} = {y} and shiftright({x}, 16) <> 0L, 1, 0)"

@@ -141,3 +141,26 @@ def test_lines_concatenate_to_the_text(spark):
     texts = ["", " ", "a  b " * 30, "x" * 90 + " y", "\x01" + "one two, three four five. " * 9, "Tab\tand\nline " * 12 + "\n\n", "end of a line that is long enough to be cut. \n"]
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     assert {r["doc_id"]: "".join(r["u"]) for r in df.selectExpr("doc_id", f"{L._units()} as u").collect()} == dict(enumerate(texts))
+
+
+def test_fingerprints_are_the_minima_and_long_lines_and_compiled(spark):
+    texts = rng_texts() + ["", "One line", "a one. b two.", "a one. b two. c three.", "again. " * 9 + "x. y. " + "again. " * 3, "x" * 130, "y" * 150 + "\nz z.\n" + "y" * 150]
+    cut, base = L.numbered_lines(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+    want = set()
+    for r in cut.selectExpr("doc", "hashes", "longs", "transform(sequence(0, size(hashes)), i -> xxhash64(get(hashes, i), get(hashes, i + 1))) as g").collect():
+        g = r["g"][: max(len(r["hashes"]) - 1, 0)]
+        least = {0} if len(g) == 1 else {i + (g[i + 1] <= g[i]) for i in range(len(g) - 1)}
+        # of equals in a row, the last
+        want |= {r["doc"] * base + i * 2 for i in least if i + 1 >= len(g) or g[i] != g[i + 1]} | {r["doc"] * base + x["i"] * 2 + 1 for x in r["longs"]}
+    for slim in (True, False):
+        prints = L.fingerprints(cut, base, slim)
+        assert sorted(r["spot"] for r in prints.collect()) == sorted(want)
+        # array functions with lambdas are interpreted, which took a third of the query's time
+        assert "lambda" not in prints._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prints_joined_in_memory_and_sorted_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(rng_texts())), SCHEMA)
+    mapped = sorted(map(tuple, L.line_dedup(docs).collect()))
+    monkeypatch.setattr(L, "MAPPED", 0)
+    assert sorted(map(tuple, L.line_dedup(docs).collect())) == mapped and any(n for *_, n, _ in mapped)
