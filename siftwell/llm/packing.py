@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, map_texts, slices, staged, worker_cache
+from siftwell.llm.common import Words, map_texts, slices, small_table, staged, worker_cache
 
 LENGTH = 4096
 END_ID = 2
@@ -114,7 +114,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, so that its cache lives across tasks."""
+    """One for each Python worker, so that its cache lives across a stage's tasks."""
     return worker_cache(("encoder", path), lambda: Encoder(path))
 
 
@@ -220,7 +220,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 def with_ranks(cut: DataFrame, histogram: dict[int, int], part_rows: int = 1_000) -> DataFrame:
     """``rank`` of each piece among those of its length, gapless from 0, counted in hashed parts."""
     spark = cut.sparkSession
-    parts = spark.createDataFrame([(k, max(1, -(-n // part_rows))) for k, n in histogram.items()] or [(0, 1)], "of long, parts long").coalesce(1)
+    parts = small_table(spark, {"of": list(histogram), "parts": [max(1, -(-n // part_rows)) for n in histogram.values()]})
     dealt = cut.join(F.broadcast(parts), F.col("length") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("row_id", "start"), F.col("parts")))
     dealt = dealt.drop("of", "parts").repartition("length", "part")
     own = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("row_id", "start")) - 1)

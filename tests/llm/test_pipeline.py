@@ -155,3 +155,42 @@ def test_packing_encodes_little_at_a_time(monkeypatch):
     assert [(r["row_id"] - (3 << 33), r["doc_id"], r["start"], r["length"]) for r in rows] == [(i, i, s, n) for i in range(1400) for s, n in ((0, 4096), (4096, 905))]
     whole = np.append(np.frombuffer(texts[9].encode(), np.uint8).astype("<u4"), np.uint32(2))
     assert [r["ids_crc32"] for r in rows[18:20]] == [zlib.crc32(whole[:4096].tobytes()), zlib.crc32(whole[4096:].tobytes())]
+
+
+def test_no_stage_starts_python_rdds(spark, monkeypatch):
+    """Rows sent as a Python list start a second daemon with workers in every executor, beside those of the stages."""
+    from pyspark import SparkContext
+
+    def refuse(*_, **__):
+        raise AssertionError("a Python RDD")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for rows in (docs, docs.limit(0)):
+        for name, stage in C.STAGES:
+            rows = staged(stage(spark, rows, SF), name)
+        assert (rows.count() > 0) == (rows.agg({"length": "sum"}).first()[0] is not None)
+
+
+def test_workers_keep_nothing_for_other_stages(spark):
+    """A worker's cache lives through its stage and is gone when the next stage's task begins."""
+    import pyarrow as pa
+
+    from siftwell.llm import common
+
+    def keep(batches):
+        from siftwell.llm import common
+
+        for b in batches:
+            made = [common.worker_cache("kept", lambda: bytearray(1000)) for _ in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(made[0] is made[1])])], names=["n"])
+
+    def look(batches):
+        from siftwell.llm import common
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._kept)])], names=["n"])
+
+    rows = spark.range(0, 400, 1, 16)
+    assert {r["n"] for r in common.map_texts(rows, keep, "n long").collect()} == {1}
+    assert {r["n"] for r in common.map_texts(rows, look, "n long").collect()} == {0}
