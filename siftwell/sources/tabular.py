@@ -4,29 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.errors import InvalidInput
 from siftwell.sources.items import item_columns
 
 
+BINS, SAMPLED = 64, 8192  # ranges of an ordered table, and rows whose keys place their bounds
+
+
+def _bin_of(key: Column, cuts: list[Column]) -> Column:
+    """How many of the sorted ``cuts`` a key isn't below, by a tree of comparisons."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(cuts))
+
+
+def _ordered(rows: DataFrame, order: str, tie: Column) -> DataFrame:
+    """``rows`` with their ``__row`` in order of a column. A row's range depends on nothing but its values and on
+    bounds that are literals, so the count of the ranges and the rows agree however each is partitioned; bounds are
+    sampled, which moves no row's number."""
+    keyed = rows.withColumn("__tie", tie)
+    key = F.struct(F.col(order).alias("k"), F.col("__tie").alias("t"))
+    sample = keyed.where(F.col(order).isNotNull()).select(order, "__tie").orderBy(F.rand(7)).limit(SAMPLED).orderBy(order, "__tie").collect()
+    step = max(1, -(-len(sample) // BINS))
+    kind = rows.schema[order].dataType
+    cuts = [F.struct(F.lit(r[0]).cast(kind).alias("k"), F.lit(r[1]).alias("t")) for r in sample[step::step]]
+    binned = keyed.withColumn("__bin", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(_bin_of(key, cuts)))
+    sizes = binned.groupBy(F.col("__bin").alias("__of")).agg(F.count("*").alias("__n"))
+    shifts = sizes.select("__of", F.coalesce(F.sum("__n").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = binned.withColumn("__nth", F.row_number().over(Window.partitionBy("__bin").orderBy(order, "__tie")))
+    return within.join(F.broadcast(shifts), F.col("__bin") == F.col("__of")).withColumn("__row", F.col("__nth") + F.col("__before"))
+
+
+def _as_read(rows: DataFrame) -> DataFrame:
+    """``rows``, a scan of files, with their ``__row`` as they are read: counted by the scan's partitions, then shifted."""
+    marked = rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    sizes = marked.groupBy("__part").agg(F.count("*").alias("__n"))
+    shifts = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    return marked.join(F.broadcast(shifts), "__part").withColumn("__row", F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33) + F.col("__before") + 1)
+
+
 def row_documents(rows: DataFrame, name: str, order: str | None = None, source_type: str = "csv") -> DataFrame:
     """One document for each row: ``column: value`` lines, title ``name - Row n``, values as metadata.
 
-    Rows are numbered from 1 in order of ``order``, or as they are read. Numbers are counted by
-    partition and then shifted, so no task gets all rows.
+    Rows are numbered from 1 in order of ``order``, nulls first and ties by their values' hash, or as a scan of files
+    reads them. Numbers are counted by range or partition and then shifted, so no task gets all rows.
     """
     columns = rows.columns
-    spark = rows.sparkSession
-    if order is not None:
-        rows = rows.sort(order)
-    marked = rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    sizes = marked.groupBy("__part").agg(F.count("*").alias("__n"))
-    shifts = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    numbered = marked.join(F.broadcast(shifts), "__part").withColumn("__row", F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33) + F.col("__before") + 1)
-    del spark
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}
+    numbered = _as_read(rows) if order is None else _ordered(rows, order, F.xxhash64(*text.values()))
     content = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), text[c]) for c in columns])
     meta = F.create_map(*[x for c in columns for x in (F.lit(c), text[c])])
     number = F.col("__row").cast("string")

@@ -198,3 +198,17 @@ def test_config(tmp_path):
     Config(limit=7, contexts={"a": "A", "a/b": "AB"}, global_context="G").save(path)
     c = Config.load(path, {"SIFTWELL_MIN_SCORE": "0.5"})
     assert c.limit == 7 and c.min_score == 0.5 and c.context_for("a/b/x") == "G\n\nA\n\nAB"
+
+
+def test_rows_of_large_tables_are_numbered_once_in_order(spark, tmp_path):
+    from siftwell.sources.tabular import row_documents
+
+    n = 200_000
+    table = spark.range(0, n, numPartitions=8).select(((F.col("id") * 7919) % n).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("t"))
+    table.write.parquet(str(tmp_path / "t"))
+    got = row_documents(spark.read.parquet(str(tmp_path / "t")), "a.csv", order="k").select(F.col("metadata")["k"].cast("long").alias("k"), F.regexp_extract("title", r"(\d+)$", 1).cast("long").alias("n"), "content")
+    assert got.agg(F.count("*"), F.count_if(F.expr("n = k + 1")), F.min(F.length("content"))).first()[:] == (n, n, 72)
+    few = spark.createDataFrame([(None, "b"), ("x", "b"), ("x", "a"), ("w", "c"), ("x", "a")], "k string, t string")
+    found = sorted((int(r["title"].split()[-1]), r["metadata"]["k"]) for r in row_documents(few, "a", order="k").collect())
+    assert found == [(1, ""), (2, "w"), (3, "x"), (4, "x"), (5, "x")]
+    assert row_documents(few.limit(0), "a", order="k").collect() == []
