@@ -31,6 +31,29 @@ def field_tokens(rows: DataFrame, fields: Sequence[str], key: str = "id", analys
     return rows.select(key, *[analyse(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"__{f}") for f in fields])
 
 
+def _placed(field: str, at: int) -> Column:
+    """The tokens of a field as structs with the field's place."""
+    return F.transform(F.col(f"__{field}"), lambda x: F.struct(x.alias("term"), F.lit(at).alias("at")))
+
+
+def entries(rows: DataFrame, fields: Sequence[str], key: str = "id", analyse=X.tokens) -> DataFrame:
+    """``key, len, term, hits``: each row's distinct terms with their hits in every field, counted inside the row by
+    runs of its sorted tokens, so nothing is shuffled. A key stands for one row."""
+    arrays = field_tokens(rows, fields, key, analyse)
+    size = sum((F.size(f"__{f}") for f in fields), F.lit(0)).cast("int")
+    placed = F.sort_array(F.flatten(F.array(*[_placed(f, i) for i, f in enumerate(fields)])))
+    tokens = arrays.select(key, size.alias("len"), placed.alias("__t"))
+    starts = F.transform("__t", lambda x, i: F.when((i == 0) | (x["term"] != F.get("__t", i - 1)["term"]), i))
+    marked = tokens.select(key, "len", "__t", F.filter(starts, lambda i: i.isNotNull()).alias("__s"))
+    runs = F.transform("__s", lambda s, i: F.slice("__t", s + 1, F.coalesce(F.get("__s", i + 1), F.size("__t")) - s))
+
+    def hits(run: Column, at: int) -> Column:
+        return F.size(F.filter(run, lambda x: x["at"] == at))
+
+    each = marked.select(key, "len", F.explode(F.transform(runs, lambda r: F.struct(F.get(r, F.lit(0))["term"].alias("term"), F.array(*[hits(r, at) for at in range(len(fields))]).alias("hits")))).alias("p"))
+    return each.select(key, "len", F.col("p.term").alias("term"), F.col("p.hits").alias("hits"))
+
+
 def _named(field: str) -> Column:
     """The tokens of a field as structs with the field's name."""
     return F.transform(F.col(f"__{field}"), lambda x: F.struct(F.lit(field).alias("field"), x.alias("term")))
@@ -76,15 +99,44 @@ def query_terms(queries: DataFrame, query: str = "query", qid: str = "query_id",
     return arrays.select(qid, F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
 
 
+MOST_BROADCAST = 200_000  # terms of all queries that are sent to every executor; more are joined by shuffles
+
+
+def is_small(terms: DataFrame) -> bool:
+    return terms.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
+def relevance(hits: DataFrame, terms: DataFrame, stats: DataFrame, small: bool, key: str = "id", qid: str = "query_id") -> DataFrame:
+    """``qid, key, relevance`` of every row that holds all of a query's terms.
+
+    ``hits`` are ``key, len, term, f`` of the asked terms, ``terms`` the queries' ``qid, term, n_terms``, ``stats`` one row
+    of ``n_rows, avgdl``. Hits are shuffled once, by row. A row that lacks a query's rarest term can't match it, so only rows
+    that hold it meet the query's other terms.
+    """
+    sent = F.broadcast if small else lambda x: x
+    by_row = hits.select(key, "len", "term", "f").repartition(key)
+    # every column is used in both branches: their shuffle is then the same one and is done once
+    df = by_row.groupBy(F.col("term").alias("__of")).agg(F.count_if(F.col("f") + F.col("len") + F.hash(key) * 0.0 >= 0).alias("df"))
+    asked = df.join(sent(terms.select(qid, "term", "n_terms")), F.col("__of") == F.col("term")).select(F.col(qid).alias("__q"), "term", "n_terms", "df").crossJoin(F.broadcast(stats))
+    found = asked.groupBy("__q").agg(F.min(F.struct("df", "term")).alias("m"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
+    leads = found.where("n = n_terms").groupBy(F.col("m.term").alias("__lead")).agg(F.collect_list("__q").alias("__qs"))
+    led = by_row.join(sent(leads), F.col("term") == F.col("__lead"), "left")
+    queries = F.flatten(F.collect_list("__qs").over(Window.partitionBy(key)))
+    met = led.withColumn("__qs", queries).select(key, "len", F.col("term").alias("__term"), "f", F.explode("__qs").alias(qid))
+    joined = met.join(sent(asked), (F.col("__term") == F.col("term")) & (F.col(qid) == F.col("__q")))
+    part = idf(F.col("n_rows"), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    return joined.groupBy(qid, key).agg(F.sum(part).alias("relevance"), F.count("*").alias("held"), F.first("n_terms").alias("n_terms")).where("held = n_terms").select(qid, key, "relevance")
+
+
 class Index:
     """Postings with what scoring needs; keep it by :meth:`write`, or use it lazily."""
 
-    def __init__(self, post: DataFrame, row_lengths: DataFrame, weights: Mapping[str, float], key: str = "id"):
-        self.postings, self.lengths, self.weights, self.key = post, row_lengths, dict(weights), key
+    def __init__(self, post: DataFrame, row_lengths: DataFrame, weights: Mapping[str, float], key: str = "id", own: DataFrame | None = None):
+        self.postings, self.lengths, self.weights, self.key, self.entries = post, row_lengths, dict(weights), key, own
 
     @classmethod
     def build(cls, rows: DataFrame, weights: Mapping[str, float], key: str = "id", analyse=X.tokens) -> "Index":
-        return cls(postings(rows, weights, key, analyse=analyse), lengths(rows, weights, key, analyse), weights, key)
+        return cls(postings(rows, weights, key, analyse=analyse), lengths(rows, weights, key, analyse), weights, key, entries(rows, list(weights), key, analyse))
 
     def write(self, path: str, buckets: int = 64) -> None:
         """Postings by hash of their term, sorted, so that a query's terms prune row groups."""
@@ -101,25 +153,23 @@ class Index:
         ``terms`` is what :func:`query_terms` gives. A term limited to a field has a ``field``
         column; null means any field.
         """
-        weight = F.create_map(*[F.lit(x) for kv in self.weights.items() for x in kv])
         fielded = "field" in terms.columns
         wanted = terms.withColumnRenamed("field", "only") if fielded else terms.withColumn("only", F.lit(None).cast("string"))
-        distinct = wanted.select("term", "only").distinct()
-        hits = self.postings.join(distinct, "term").where(F.col("only").isNull() | (F.col("field") == F.col("only")))
-        per = hits.groupBy("term", "only", self.key).agg(F.sum(weight[F.col("field")] * F.col("tf")).alias("f"))
-        df = per.groupBy(F.col("term").alias("df_term"), F.col("only").alias("df_only")).agg(F.count("*").alias("df"))
-        stats = statistics(self.lengths)
-        weighed = (
-            per.join(df, (F.col("term") == F.col("df_term")) & F.col("only").eqNullSafe(F.col("df_only")))
-            .join(self.lengths, self.key)
-            .crossJoin(F.broadcast(stats))
-        )
-        part = idf(F.col("n_rows"), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-        parts = weighed.select("term", "only", self.key, part.alias("part"))
-        asked = wanted.select(qid, "n_terms", F.col("term").alias("q_term"), F.col("only").alias("q_only"))
-        joined = parts.join(asked, (F.col("term") == F.col("q_term")) & F.col("only").eqNullSafe(F.col("q_only"))).select(qid, "n_terms", self.key, "part")
-        return joined.groupBy(qid, self.key).agg(F.sum("part").alias("relevance"), F.count("*").alias("held"), F.first("n_terms").alias("n_terms")).where("held = n_terms").select(qid, self.key, "relevance")
-
+        # no token holds a zero character, so a term with its field is a term of its own
+        named = F.when(F.col("only").isNull(), F.col("term")).otherwise(F.concat("only", F.lit("\0"), "term"))
+        distinct, small = wanted.select("term", "only").distinct(), is_small(terms)
+        distinct = F.broadcast(distinct) if small else distinct
+        if self.entries is not None:
+            held = self.entries.join(distinct, "term")
+            in_field = [F.when(F.col("only").isNull() | (F.col("only") == f), F.col("hits")[i]).otherwise(0) for i, f in enumerate(self.weights)]
+            f = sum((F.lit(float(w)) * n for w, n in zip(self.weights.values(), in_field)), F.lit(0.0))
+            hits = held.where(sum(in_field, F.lit(0)) > 0).select(self.key, "len", named.alias("term"), f.alias("f"))
+        else:
+            weight = F.create_map(*[F.lit(x) for kv in self.weights.items() for x in kv])
+            held = self.postings.join(distinct, "term").where(F.col("only").isNull() | (F.col("field") == F.col("only")))
+            per = held.groupBy("term", "only", self.key).agg(F.sum(weight[F.col("field")] * F.col("tf")).alias("f"))
+            hits = per.join(self.lengths, self.key).select(self.key, "len", named.alias("term"), "f")
+        return relevance(hits, wanted.select(qid, named.alias("term"), "n_terms"), statistics(self.lengths), small, self.key, qid)
 
     def search(self, query: str, limit: int | None = None) -> DataFrame:
         """``key, relevance`` of one query, best first; its terms are pushed to the postings' scan."""

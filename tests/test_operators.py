@@ -212,3 +212,20 @@ def test_rows_of_large_tables_are_numbered_once_in_order(spark, tmp_path):
     found = sorted((int(r["title"].split()[-1]), r["metadata"]["k"]) for r in row_documents(few, "a", order="k").collect())
     assert found == [(1, ""), (2, "w"), (3, "x"), (4, "x"), (5, "x")]
     assert row_documents(few.limit(0), "a", order="k").collect() == []
+
+
+def test_many_queries_are_scored_like_each_alone(spark):
+    words = [(i, " ".join(f"w{(i * k) % 11}" for k in range(1, 6)), f"common w{i % 3} w{i % 3}") for i in range(60)] + [(60, None, "")]
+    docs = spark.createDataFrame(words, "id long, title string, body string")
+    weights = {"title": 10.0, "body": 5.0}
+    entries = bm25.entries(docs, list(weights))
+    assert "Exchange" not in entries._jdf.queryExecution().executedPlan().toString()
+    flat = {(r["id"], f, r["term"], n) for r in entries.collect() for f, n in zip(weights, r["hits"]) if n}
+    assert flat == set(map(tuple, bm25.postings(docs, weights).collect()))
+    queries = [(1, "common w1"), (2, "w2 w4 w6"), (3, "common absent"), (4, "common"), (5, "w0 w0 common"), (6, "")]
+    index = bm25.Index.build(docs, weights)
+    got = {(r["query_id"], r["id"]): r["relevance"] for r in index.score(bm25.query_terms(spark.createDataFrame(queries, "query_id long, query string"))).collect()}
+    want = {(q, r["id"]): r["relevance"] for q, text in queries for r in bm25.search(docs, text, weights).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    fielded = spark.createDataFrame([(1, "w1", 2, "title"), (1, "w1", 2, None)], "query_id long, term string, n_terms int, field string")
+    assert {r["id"] for r in index.score(fielded).collect()} == {i for i, t, _ in words if t and "w1" in t.split()}
