@@ -24,11 +24,6 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _placed(tokens: Column, at: int) -> Column:
-    """Tokens as structs with the place of their field."""
-    return F.transform(tokens, lambda x: F.struct(F.lit(at).alias("at"), x.alias("term")))
-
-
 class SearchIndex:
     """The index ``name`` of a store. ``weights`` are those of the fields; ``key`` is the rows' id."""
 
@@ -41,19 +36,15 @@ class SearchIndex:
     # -- writing
 
     def _entries(self, rows: DataFrame, generation: int) -> tuple[DataFrame, DataFrame]:
-        arrays = bm25.field_tokens(rows, list(self.weights), self.key)
-        size = sum((F.size(f"__{f}") for f in self.weights), F.lit(0)).cast("int")
-        pairs = F.flatten(F.array(*[_placed(F.col(f"__{f}"), i) for i, f in enumerate(self.weights)]))
-        each = arrays.select(self.key, size.alias("len"), F.explode(pairs).alias("p"))
-        hits = F.array(*[F.count(F.when(F.col("p.at") == i, 1)).cast("int") for i in range(len(self.weights))])
-        post = each.groupBy(self.key, F.col("p.term").alias("term")).agg(hits.alias("hits"), F.first("len").alias("len"))
-        gen = F.lit(generation).alias("gen")
-        return post.select(_bucket(F.col("term"), self.buckets).alias("bucket"), "term", self.key, "hits", "len", gen), arrays.select(self.key, size.alias("len"), gen)
+        post, gen = bm25.entries(rows, list(self.weights), self.key), F.lit(generation).alias("gen")
+        lengths = bm25.lengths(rows, list(self.weights), self.key).select(self.key, F.col("len").cast("int").alias("len"), gen)
+        return post.select(_bucket(F.col("term"), self.buckets).alias("bucket"), "term", self.key, "hits", "len", gen), lengths
 
     def _write(self, name: str, rows: DataFrame, append: bool, by_bucket: bool = False) -> None:
         if by_bucket:
             part = F.pmod(F.xxhash64(self.key), F.lit(self.parts))
-            rows = rows.repartition("bucket", part).sortWithinPartitions("bucket", "term", self.key)
+            # a bucket's part that outgrows Spark's advisory size is split further, however few buckets and parts there are
+            rows = rows.withColumn("__part", part).hint("rebalance", "bucket", "__part").sortWithinPartitions("bucket", "term", self.key).drop("__part")
         write = self.tables.append if append else self.tables.write
         write(f"{self.name}_{name}", rows, ["bucket"] if by_bucket else ())
 
@@ -101,7 +92,7 @@ class SearchIndex:
         dead = self.tables.read(f"{self.name}_dead").groupBy(F.col(self.key).alias("__dead")).agg(F.max("below").alias("below"))
         return rows.join(dead, (F.col(self.key) == F.col("__dead")) & (F.col("gen") < F.col("below")), "left_anti")
 
-    def _hits(self, terms: Sequence[str] | None, asked: DataFrame | None = None) -> DataFrame:
+    def _hits(self, terms: Sequence[str] | None, asked: DataFrame | None = None, small: bool = False) -> DataFrame:
         """``term, key, f, len``: weighted hits of the terms' live postings."""
         rows = self.tables.read(f"{self.name}_postings")
         if terms is not None:
@@ -109,7 +100,8 @@ class SearchIndex:
             buckets = sorted({r[0] for r in frame.select(_bucket(F.col("term"), self.buckets)).collect()}) if terms else []
             rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
         elif asked is not None:
-            rows = rows.join(asked.select(_bucket(F.col("term"), self.buckets).alias("bucket"), "term").distinct(), ["bucket", "term"], "left_semi")
+            asked = asked.select(_bucket(F.col("term"), self.buckets).alias("bucket"), "term").distinct()
+            rows = rows.join(F.broadcast(asked) if small else asked, ["bucket", "term"], "left_semi")
         f = sum((F.lit(float(w)) * F.col("hits")[i] for i, w in enumerate(self.weights.values())), F.lit(0.0))
         return self._alive("postings", rows).select("term", self.key, f.alias("f"), "len")
 
@@ -117,17 +109,11 @@ class SearchIndex:
         """``qid, key, relevance`` of every row that holds all of a query's terms; ``terms`` is what
         :func:`bm25.query_terms` gives."""
         distinct = [r["term"] for r in terms.select("term").distinct().limit(MOST_LISTED + 1).collect()]
-        hits = self._hits(sorted(distinct)) if len(distinct) <= MOST_LISTED else self._hits(None, terms)
+        listed, small = len(distinct) <= MOST_LISTED, bm25.is_small(terms)
+        hits = self._hits(sorted(distinct)) if listed else self._hits(None, terms, small)
         totals = self._totals()
-        df = hits.groupBy(F.col("term").alias("of")).agg(F.count("*").alias("df"))
-        each = hits.join(df, F.col("term") == F.col("of"))
-        k1, b = bm25.K1, bm25.B
-        avgdl = totals["avgdl"] or 1.0
-        part = bm25.idf(F.lit(totals["n_rows"]), F.col("df")) * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.lit(avgdl)))
-        asked = terms.select(qid, "n_terms", F.col("term").alias("wanted"))
-        joined = each.select("term", self.key, part.alias("part")).join(asked, F.col("term") == F.col("wanted"))
-        found = joined.groupBy(qid, self.key).agg(F.sum("part").alias("relevance"), F.count("*").alias("held"), F.first("n_terms").alias("n_terms"))
-        return found.where("held = n_terms").select(qid, self.key, "relevance")
+        stats = self.tables.spark.range(1).select(F.lit(totals["n_rows"]).alias("n_rows"), F.lit(totals["avgdl"] or 1.0).alias("avgdl"))
+        return bm25.relevance(hits, terms, stats, small, self.key, qid)
 
     def search(self, query: str, limit: int | None = None) -> DataFrame:
         """``key, relevance`` of one query, best first."""

@@ -214,6 +214,20 @@ def test_rows_of_large_tables_are_numbered_once_in_order(spark, tmp_path):
     assert row_documents(few.limit(0), "a", order="k").collect() == []
 
 
+def test_a_buckets_postings_are_written_by_size(spark, tmp_path):
+    from siftwell.operators.search_index import SearchIndex
+
+    docs = spark.range(0, 2000, numPartitions=8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("title"), F.concat_ws(" ", F.sequence(F.col("id"), F.col("id") + 30).cast("array<string>")).alias("body"))
+    name, kept = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set(name, "16k")
+    try:
+        index = SearchIndex(store.Store(spark, f"file://{tmp_path}"), {"title": 10.0, "body": 5.0}, buckets=1, parts=1).build(docs)
+    finally:
+        spark.conf.set(name, kept)
+    assert len(index.tables.read("index_postings").inputFiles()) > 4
+    assert sorted(r["id"] for r in index.search("40 50").collect()) == list(range(20, 41))
+
+
 def test_many_queries_are_scored_like_each_alone(spark):
     words = [(i, " ".join(f"w{(i * k) % 11}" for k in range(1, 6)), f"common w{i % 3} w{i % 3}") for i in range(60)] + [(60, None, "")]
     docs = spark.createDataFrame(words, "id long, title string, body string")
